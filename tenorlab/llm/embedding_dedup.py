@@ -1,0 +1,265 @@
+"""Embedding near-dedup on a robust-pruned flat graph.
+
+Vectors of equal label and direction bits are collapsed first. The rest are dealt to the shards of their nearest few pivots, so
+shards overlap; a shard larger than CHUNK is cut into chunks of stored vectors. Every chunk builds a robust-pruned neighbour list
+for its vectors; the lists of a vector from all its shards are united. A query then searches every chunk of its home shard:
+greedily from the chunk's medoid and from its own place in the graph, and from whatever it reaches the range is expanded over the
+united lists until no vector within the threshold is left to expand. Each chunk audits the recall of a fixed share of its
+queries against brute force and, below MIN_RECALL, searches again with wider lists. Reported links are cosines in double precision.
+
+Only counts and a spanning forest of links leave a chunk, never the pairs of a group. Pivots are bounded by MAX_PIVOTS
+whatever the data's size; chunks bound a task's memory whatever a shard's size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tenorlab.llm._common import let, materialize, read
+from tenorlab.llm.components import connected_components
+
+THRESHOLD = 0.98
+SHARD, OVERLAP, CHUNK, MAX_PIVOTS = 600, 4, 2048, 8192
+#: Neighbours kept, candidates pruned from, the pruning slack, the beam, and how far below the threshold the range still expands.
+DEGREE, CANDIDATES, SLACK, BEAM, MARGIN = 16, 48, 1.2, 8, 0.02
+AUDITED, MIN_RECALL = 16, 0.98
+
+
+def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarray]:
+    """Each vector's neighbours: the nearest candidate is kept and those it is SLACK times nearer to than the vector are dropped, and so on."""
+    n = len(cos)
+    k = min(candidates, n - 1)
+    if k < 1:
+        return [np.empty(0, np.int64)] * n
+    own = cos.copy()
+    np.fill_diagonal(own, -np.inf)
+    near = np.argpartition(-own, k - 1, axis=1)[:, :k]
+    far = 1 - np.take_along_axis(own, near, 1)
+    order = np.argsort(far, axis=1, kind="stable")
+    near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+    alive, rows = np.ones(near.shape, bool), np.arange(n)
+    kept = np.full((n, degree), -1)
+    for r in range(degree):
+        first = alive.argmax(1)
+        some = alive[rows, first]
+        if not some.any():
+            break
+        best = near[rows, first]
+        kept[some, r] = best[some]
+        alive &= ~(SLACK * (1 - cos[best[:, None], near]) <= far)
+        alive[rows, first] = False
+    return [x[x >= 0] for x in kept]
+
+
+def range_search(cos: np.ndarray, lists: list[np.ndarray], medoid: int, own: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean queries x stored: what the search reaches within the threshold. cos: queries x stored; own: a query's place or -1."""
+    n_q, n = cos.shape
+    seen, open_ = np.zeros((n_q, n), bool), np.zeros((n_q, n), bool)
+    width = max(map(len, lists), default=0)
+    table = np.full((n, max(1, width)), -1)
+    for i, x in enumerate(lists):
+        table[i, : len(x)] = x
+    rows = np.arange(n_q)
+    beam = np.full((n_q, BEAM), -1)
+    beam[:, 0] = medoid
+    done = np.zeros((n_q, n), bool)
+    for _ in range(24):
+        fresh = (beam >= 0) & ~done[rows[:, None], beam]
+        if not fresh.any():
+            break
+        q, b = np.nonzero(fresh)
+        nodes = beam[q, b]
+        done[q, nodes] = seen[q, nodes] = True
+        reached = table[nodes]
+        qq, flat = np.repeat(q, reached.shape[1]), reached.ravel()
+        qq, flat = qq[flat >= 0], flat[flat >= 0]
+        seen[qq, flat] = True
+        offered = np.full((n_q, n), -np.inf, np.float32)
+        offered[qq, flat] = cos[qq, flat]
+        held = beam >= 0
+        offered[np.nonzero(held)[0], beam[held]] = cos[np.nonzero(held)[0], beam[held]]
+        k = min(BEAM, n)
+        best = np.argpartition(-offered, k - 1, axis=1)[:, :k]
+        beam = np.where(np.take_along_axis(offered, best, 1) > -np.inf, best, -1)
+        if k < BEAM:
+            beam = np.pad(beam, ((0, 0), (0, BEAM - k)), constant_values=-1)
+    placed = np.flatnonzero(own >= 0)
+    seen[placed, own[placed]] = True
+    open_ = seen & (cos >= threshold - MARGIN)
+    open_[placed, own[placed]] = True
+    expanded = np.zeros((n_q, n), bool)
+    while True:
+        q, nodes = np.nonzero(open_ & ~expanded)
+        if not len(q):
+            return seen & (cos >= threshold)
+        expanded[q, nodes] = True
+        reached = table[nodes]
+        qq, flat = np.repeat(q, reached.shape[1]), reached.ravel()
+        qq, flat = qq[flat >= 0], flat[flat >= 0]
+        seen[qq, flat] = True
+        open_[qq, flat] |= cos[qq, flat] >= threshold - MARGIN
+
+
+def forest(found: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+    """(query, stored) pairs, enough of ``found`` to join what it joins; own: a query's place among the stored or -1."""
+    n_q, n = found.shape
+    parent = list(range(n_q + n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, o in enumerate(own.tolist()):
+        if o >= 0:
+            parent[top(i)] = top(n_q + o)
+    out = []
+    for i in np.flatnonzero(found.any(1)).tolist():
+        mine = top(i)
+        for j in np.flatnonzero(found[i]).tolist():
+            if (other := top(n_q + j)) != mine:
+                parent[other] = mine
+                out.append((i, j))
+    return out
+
+
+def _unit(column: Column) -> Column:
+    """The vector over its length in double precision; null for what links with nothing."""
+    v = F.transform(column, lambda x: x.cast("double"))
+    clean = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y * y))
+    return F.when(clean & (F.size(v) > 0), let(v, lambda x: F.when((norm(x) > 0) & (norm(x) < float("inf")), let(norm(x), lambda n: F.transform(x, lambda y: y / n)))))
+
+
+def _pivots(reps: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
+    """(label, dimension) -> pivot vectors and the number of the first; at most MAX_PIVOTS vectors reach the driver."""
+    sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    total = reps.count()
+    share = max(SHARD, -(-total // MAX_PIVOTS))
+    wanted = sizes.select("label", "dim", F.floor(F.col("n") / share).alias("k")).where(F.col("k") >= 2)  # those need pivots
+    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("g", F.lit(5)), "g")
+    ranked = reps.select("g", "label", "dim").withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_PIVOTS)
+    chosen = ranked.join(wanted, ["label", "dim"]).where(F.col("r") <= F.col("k")).select("g")
+    by: dict[tuple[int, int], list] = {}
+    for r in reps.join(chosen, "g").select("label", "dim", "unit").orderBy("label", "dim", "g").collect():
+        by.setdefault((r["label"], r["dim"]), []).append(r["unit"])
+    out, first = {}, 0
+    for key, vectors in by.items():
+        out[key] = (np.array(vectors), first)
+        first += len(vectors)
+    return out
+
+
+def _stored(reps: DataFrame) -> DataFrame:
+    """g, unit, mult, home, label, dim, shard: every vector in the shards of its OVERLAP nearest pivots; -1 where a label has one shard."""
+    pivots = reps.sparkSession.sparkContext.broadcast(_pivots(reps))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, dim = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
+            row, shard, home = [], [], []
+            by: dict[tuple[int, int], list[int]] = {}
+            for i, key in enumerate(zip(label, dim, strict=True)):
+                by.setdefault(key, []).append(i)
+            for key, at in by.items():
+                if key not in pivots.value:
+                    row.append(np.array(at))
+                    shard.append(np.full(len(at), -1))
+                    home.append(np.ones(len(at), bool))
+                    continue
+                vectors, first = pivots.value[key]
+                x = np.array(batch.column("unit").take(pa.array(at)).to_pylist())
+                near = np.argsort(-(x @ vectors.T), axis=1, kind="stable")[:, :OVERLAP]
+                row.append(np.repeat(at, near.shape[1]))
+                shard.append(first + near.ravel())
+                home.append(np.tile(np.arange(near.shape[1]) == 0, len(at)))
+            table = batch.take(pa.array(np.concatenate(row))) if row else batch
+            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(np.concatenate(shard) if row else [], pa.int64()), pa.array(np.concatenate(home) if row else [], pa.bool_())], [*batch.schema.names, "shard", "home"])
+
+    return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label int, dim int, mult long, unit array<double>, shard long, home boolean")
+
+
+def _build(key, frame: pd.DataFrame) -> pd.DataFrame:
+    x = np.array(frame["unit"].tolist())
+    g = frame["g"].to_numpy()
+    return pd.DataFrame({"g": g, "near": [g[i] for i in robust_prune(x @ x.T, DEGREE, CANDIDATES)]})
+
+
+def _search(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Counts and forest links of one chunk's queries: g, links, other (null in a count row)."""
+    stored, asked = frame[frame["stored"]].sort_values("g"), frame[frame["home"]].sort_values("g")
+    empty = pd.DataFrame({"g": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64")})
+    if not len(stored) or not len(asked):
+        return empty
+    g, mult = stored["g"].to_numpy(), stored["mult"].to_numpy()
+    x = np.array(stored["unit"].tolist())
+    place = {v: i for i, v in enumerate(g.tolist())}
+    lists = [np.array([place[v] for v in near if v in place], np.int64) for near in stored["near"]]
+    medoid = int((x @ x.mean(0)).argmax())
+    out = [empty]
+    for at in range(0, len(asked), CHUNK):
+        part = asked.iloc[at : at + CHUNK]
+        mine = part["g"].to_numpy()
+        own = np.array([place.get(v, -1) for v in mine.tolist()])
+        cos = np.array(part["unit"].tolist()) @ x.T
+        found = range_search(cos, lists, medoid, own, THRESHOLD)
+        audit = np.arange(0, len(mine), AUDITED)
+        truth = cos[audit] >= THRESHOLD
+        if (found[audit] & truth).sum() < MIN_RECALL * truth.sum():
+            wide = [np.union1d(a, b) for a, b in zip(lists, robust_prune(x @ x.T, 4 * DEGREE, 4 * CANDIDATES), strict=True)]
+            found |= range_search(cos, wide, medoid, own, THRESHOLD)
+        placed = np.flatnonzero(own >= 0)
+        found[placed, own[placed]] = False
+        out.append(pd.DataFrame({"g": mine, "links": found @ mult, "other": pd.array([None] * len(mine), "Int64")}))
+        pairs = forest(found, own)
+        out.append(pd.DataFrame({"g": [mine[i] for i, _ in pairs], "links": [0] * len(pairs), "other": pd.array([g[j] for _, j in pairs], "Int64")}))
+    return pd.concat([o for o in out if len(o)] or [empty], ignore_index=True)
+
+
+def near_duplicates(vectors: DataFrame) -> DataFrame:
+    """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
+
+    A null label, and a vector that is null, empty, zero or holds null or non-finite components, links with nothing and is its own
+    component. Repeated rows are other vectors that link. Vectors of other lengths never meet. A null id is never a
+    component's smallest and is not kept. Other columns are ignored; an empty table gives an empty result.
+    """
+    rows = vectors.select(
+        F.col("vec_id").cast("long"), F.col("label").cast("int").alias("label"), _unit(F.col("embedding")).alias("unit"),
+        F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7919), "embedding").alias("h2"),
+    )
+    linked = F.col("label").isNotNull() & F.col("unit").isNotNull()
+    classes = rows.where(linked).groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
+    reps = materialize(classes.withColumn("dim", F.size("unit")).withColumn("g", F.monotonically_increasing_id()), "vectors")
+    stored = materialize(_stored(reps), "shards")
+    place = ["label", "dim", "shard"]
+    sizes = stored.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    sized = stored.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
+    built = sized.select(*place, "chunk", "g", "unit").groupBy(*place, "chunk").applyInPandas(_build, "g long, near array<long>")
+    lists = built.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # a vector is stored in its chunk of each shard and asks in every chunk of its home shard
+    every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    asking = sized.withColumn("to", F.explode(every)).withColumn("stored", F.col("to") == F.col("chunk"))
+    asking = asking.join(lists, "g").select(*place, "to", "g", "mult", "unit", "home", "stored", "near")
+    found = materialize(asking.groupBy(*place, "to").applyInPandas(_search, "g long, links long, other long"), "found")
+    counts = found.where(F.col("other").isNull()).groupBy("g").agg(F.sum("links").alias("links"))
+    edges = found.where(F.col("other").isNotNull()).select(F.col("g").alias("a"), F.col("other").alias("b"))
+    named = reps.select("g", "label", "h1", "h2", "mult", "least").join(counts, "g", "left")
+    roots = connected_components(edges)
+    named = named.join(roots, named["g"] == roots["node"], "left").withColumn("root", F.coalesce("root", "g"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_class = named.join(least, "root").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
+    joined = rows.where(linked).select("vec_id", "label", "h1", "h2").join(of_class, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~linked).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"))

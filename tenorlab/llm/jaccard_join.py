@@ -1,0 +1,317 @@
+"""N-gram Jaccard join with parity sketches.
+
+A document's set is its distinct word shingles, as 64-bit hashes. A parity sketch flips one bit for every token of a set, so the Hamming
+distance of two sketches never exceeds the symmetric difference of the sets, and sets of sizes a and b that reach similarity t
+differ in at most d = (1 - t)(a + b) / (1 + t) tokens.
+
+Sizes fall into bands; a band's scheme takes the sizes that can meet a member of the band. Its sketch is cut into more than d blocks, so two linked sets
+agree in at least one block (pigeonhole). A block's key is the XOR of its flipped bits' numbers. With B blocks two linked sets agree in B - d or
+more; a set with u blocks that hold fewer than two tokens needs only its fuller blocks as long as u < B - d, which keeps empty blocks,
+alike in all documents, from becoming keys. A set with more such blocks uses all of them.
+
+Sets that share a key are candidates. Equal sets are one class from the start. In each round a key's sets meet the key's
+centre, not each other: a candidate must pass the bound of two dense parity sketches and then the exact count over both whole texts.
+Verified links join components; a key whose sets are in one component is finished, since a further link in it
+changes no component. What is left over after the rounds, sets of different components that share a key, is compared
+pair by pair in blocks, so no link between components is lost.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tenorlab.llm._common import lower_ascii, materialize, mix64, read, word_hashes
+from tenorlab.llm.components import connected_components
+
+#: Bytes of text handled at once.
+SLICE = 1 << 21
+BAND, TOKENS_A_BLOCK = 1.3, 4.6
+ROUNDS = 3
+#: Sets of one key that meet in one task in the last, exact comparison.
+CHUNK = 256
+
+
+class Similarity:
+    """At least percent / 100, in whole numbers; shingles of k words."""
+
+    def __init__(self, k: int, percent: int):
+        self.k, self.percent = k, percent
+
+    def most_apart(self, total: int) -> int:
+        """Largest symmetric difference of two linked sets whose sizes sum to ``total``."""
+        return (100 - self.percent) * total // (100 + self.percent)
+
+    def schemes(self, largest: int) -> list[tuple[int, int, int, int]]:
+        """(least size, largest size, d, blocks) of every band up to ``largest``."""
+        out, low = [], 1
+        while low <= largest:
+            above = max(low + 1, int(low * BAND))
+            high = (above - 1) * 100 // self.percent
+            d = self.most_apart(above - 1 + high)
+            out.append((low, high, d, max(d + 1, round(high / TOKENS_A_BLOCK))))
+            low = above
+        return out
+
+
+def shingle_sets(values: list[str | None], k: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer than k words is one shingle of all, none without words."""
+    encoded, size = [], 0
+
+    def work(parts: list[bytes]) -> Iterator[np.ndarray]:
+        data = np.frombuffer(b"\n".join(parts), np.uint8)
+        first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
+        starts, words = word_hashes(lower_ascii(data))
+        cut = np.searchsorted(starts, first)
+        rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
+        for i in range(k):
+            rolled = mix64(rolled * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(rolled)])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if b - a >= k:
+                one = np.sort(rolled[a : b - k + 1])
+                yield one[np.concatenate([[True], one[1:] != one[:-1]])]
+            elif b > a:
+                h = np.uint64(b - a)
+                for w in words[a:b]:
+                    h = mix64(np.array([h * np.uint64(31) + w], np.uint64))[0]
+                yield np.array([h], np.uint64)
+            else:
+                yield np.empty(0, np.uint64)
+
+    with np.errstate(over="ignore"):
+        for v in values:
+            encoded.append((v or "").encode("utf-8", "surrogatepass"))
+            size += len(encoded[-1]) + 1
+            if size >= SLICE:
+                yield from work(encoded)
+                encoded, size = [], 0
+        if encoded:
+            yield from work(encoded)
+
+
+def _class_of(one: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    if not len(one):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        a = np.bitwise_xor.reduce(mix64(one ^ np.uint64(0xA5A5A5A5DEADBEEF)))
+        b = np.add.reduce(mix64(one + np.uint64(0x1234567890ABCDEF)))
+        pair = mix64(np.array([a + np.uint64(len(one)), b ^ a], np.uint64)).view(np.int64)
+    return int(pair[0]), int(pair[1])
+
+
+def dense_sketch(one: np.ndarray) -> bytes:
+    """A parity sketch of two to four bits a token."""
+    bits = 64
+    while bits < 2 * len(one):
+        bits *= 2
+    at = np.bincount((one >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """Distance of two parity sketches; the longer is folded onto the shorter, which keeps it a lower bound."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def block_keys(one: np.ndarray, schemes: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+    """The keys of a set in each scheme of its size."""
+    out, n = [], len(one)
+    for number, (low, high, d, blocks) in enumerate(schemes):
+        if not low <= n <= high or not d:  # sets that may not differ at all are one class already
+            continue
+        with np.errstate(over="ignore"):
+            token = mix64(one + np.uint64(0x9E3779B97F4A7C15))
+            block = ((token >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+            held = np.bincount(block.astype(np.int64), minlength=blocks)
+            order = np.argsort(block, kind="stable")
+            parity = np.zeros(blocks, np.uint64)
+            full = np.flatnonzero(held)
+            parity[full] = np.bitwise_xor.reduceat(mix64(token[order]), np.concatenate([[0], np.cumsum(held[full])[:-1]]))
+            used = np.flatnonzero(held >= 2)
+            if blocks - len(used) >= blocks - d:
+                used = np.arange(blocks)
+            out.append(mix64(parity[used] + mix64(used.astype(np.uint64) + np.uint64(number << 32))))
+    return out
+
+
+def profiles(docs: DataFrame, how: Similarity) -> DataFrame:
+    """doc_id, n, c1, c2 (the class of the set), sketch for every row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, c1, c2, sketch = [], [], [], []
+            for one in shingle_sets(batch.column(1).to_pylist(), how.k):
+                a, b = _class_of(one)
+                n.append(len(one))
+                c1.append(a)
+                c2.append(b)
+                sketch.append(dense_sketch(one))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), pa.array(sketch, pa.binary())], ["doc_id", "n", "c1", "c2", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, c1 long, c2 long, sketch binary")
+
+
+def keys(docs: DataFrame, how: Similarity, largest: int) -> DataFrame:
+    """key, c1 of every set; a task sends a class once as long as it remembers it."""
+    schemes = how.schemes(largest)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            parts, owner = [], []
+            for one in shingle_sets(batch.column(0).to_pylist(), how.k):
+                c = _class_of(one)[0]
+                if c in seen or not len(one):
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(c)
+                for k in block_keys(one, schemes):
+                    parts.append(k)
+                    owner.append(np.full(len(k), c, np.int64))
+                if len(parts) > 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "c1"])
+                    parts, owner = [], []
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "c1"])
+
+    return docs.select("text").mapInArrow(work, "key long, c1 long")
+
+
+def shared_keys(found: DataFrame) -> DataFrame:
+    """key, c1 of the keys that at least two classes share."""
+    w = Window.partitionBy("key")
+    return found.withColumn("lo", F.min("c1").over(w)).withColumn("hi", F.max("c1").over(w)).where(F.col("lo") != F.col("hi")).select("key", "c1").distinct()
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Similarity) -> DataFrame:
+    """a, b: the pairs of classes that reach the similarity, by sketch bound and then by count over both whole texts."""
+    k, percent = how.k, how.percent
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(c).to_pylist() for c in ("an", "bn", "asketch", "bsketch"))
+            ok = [100 * min(i, j) >= percent * max(i, j) and hamming(p, q) <= (100 - percent) * (i + j) // (100 + percent) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "aid", "bid"])
+
+    side = lambda s: classes.select(F.col("c1").alias(s), F.col("n").alias(f"{s}n"), F.col("sketch").alias(f"{s}sketch"), F.col("doc_id").alias(f"{s}id"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "aid", "bid", "an", "bn", "asketch", "bsketch").mapInArrow(near, "a long, b long, aid long, bid long")
+    close = materialize(close, "close")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(left, k), shingle_sets(right, k), strict=True):
+                # an id that several rows share brings several texts: only those of the classes count
+                if _class_of(x)[0] != a or _class_of(y)[0] != b:
+                    ok.append(False)
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    text = lambda s: docs.select(F.col("doc_id").cast("long").alias(f"t{s}"), F.col("text").alias(f"{s}text"))
+    a, b = text("a"), text("b")
+    full = close.join(a, close["aid"].eqNullSafe(a["ta"])).join(b, close["bid"].eqNullSafe(b["tb"]))
+    return full.select("a", "b", "atext", "btext").mapInArrow(exact, "a long, b long").distinct()
+
+
+def _centre(members: DataFrame, turn: int) -> DataFrame:
+    """a, b: each key's sets paired with the key's centre, another one in every round."""
+    rank = F.struct(F.xxhash64("c1", F.lit(turn)).alias("h"), F.col("c1").alias("c"))
+    centre = F.min(rank).over(Window.partitionBy("key"))["c"]
+    return members.select("key", "c1", centre.alias("m"), *(["root"] if "root" in members.columns else []))
+
+
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame | None:
+    """node, root: the components of the classes that link with another one; None if no key is shared."""
+    largest = classes.agg(F.max("n")).first()[0] or 0
+    members = materialize(shared_keys(keys(docs, how, largest)), "members")
+    links, roots = None, None
+    for turn in range(ROUNDS + 1):
+        if roots is not None:  # keys whose sets are all in one component are finished
+            at = roots.select(F.col("node").alias("c1"), "root")
+            placed = members.select("key", "c1").join(at, "c1", "left").withColumn("root", F.coalesce("root", "c1"))
+            w = Window.partitionBy("key")
+            open_ = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where(F.col("lo") != F.col("hi"))
+            members = materialize(open_.select("key", "c1", "root"), "members")
+        if turn < ROUNDS:
+            met = _centre(members, turn).where(F.col("c1") != F.col("m"))
+            pairs = met.select(*_ordered(F.col("c1"), F.col("m"))).distinct()
+        else:
+            pairs = _left_over(members)
+        if turn:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.limit(1).count():
+            if turn == 0 or turn == ROUNDS:
+                break
+            continue
+        tried = pairs if turn == 0 else tried.unionByName(pairs)
+        fresh = materialize(verify(pairs, classes, docs, how), "links")
+        if not fresh.limit(1).count():
+            continue
+        links = fresh if links is None else links.unionByName(fresh)
+        roots = connected_components(links)
+    return roots
+
+
+def _left_over(members: DataFrame) -> DataFrame:
+    """All pairs of sets of different components that share a key, a chunk of a key's sets against a chunk."""
+    w = Window.partitionBy("key")
+    n = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
+    sized = members.join(n, "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
+    del w
+    left = sized.select("key", "chunk", F.col("c1").alias("x"), F.col("root").alias("xr"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    right = sized.select("key", F.col("chunk").alias("other"), F.col("c1").alias("y"), F.col("root").alias("yr"))
+    met = left.join(right, ["key", "other"]).where((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")))
+    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    Two rows link when their sets' similarity is at least ``percent`` / 100. A null or empty text and one without words have no
+    shingles, link with nothing and are their own component. Repeated rows link with each other. A null doc_id is never a component's
+    smallest; where there is no other it is null. Other columns are ignored; an empty table gives an empty result.
+    """
+    how = Similarity(k, percent)
+    docs = docs.select("doc_id", "text")
+    rows = materialize(profiles(docs, how), "profiles")
+    held = rows.where(F.col("n") > 0)
+    # a class's document: the smallest id; its sketch is the same in all of them
+    classes = materialize(held.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    roots = link_classes(docs, classes, how)
+    root = F.col("c1")
+    if roots is not None:
+        at = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+        classes = classes.join(at, classes["c1"] == at["__node"], "left")
+        root = F.coalesce("__root", "c1")
+    named = classes.select("c1", "c2", "n", "doc_id", root.alias("root"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least, "root").select("c1", "c2", "n", "component_id")
+    out = held.select("doc_id", "n", "c1", "c2").join(of_class, ["c1", "c2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
