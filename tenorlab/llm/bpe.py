@@ -10,11 +10,13 @@ Each worker remembers a bounded number of words; a batch looks a word up once, h
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import os
+import shutil
 import struct
 import tempfile
 import uuid
@@ -229,12 +231,12 @@ def compile_lexicon(docs: DataFrame, vocabulary_path: str, min_share: float = MI
     frequent = [r["word"] for r in counts.where(F.col("n") >= F.lit(min_share * total)).select("word").collect()]
     known = vocabulary(vocabulary_path)
     name = f"lexicon-{uuid.uuid4().hex}.fst"
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, name)
-        with open(path, "wb") as f:
-            f.write(Transducer.build((w, known.merge(w)) for w in frequent if w not in known.special))
-        docs.sparkSession.sparkContext.addFile(path)
-        _local[name] = Transducer(path)  # the driver's own view stays mapped
+    folder = tempfile.mkdtemp()  # the driver serves the file from here to executors, new ones included, while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, name)
+    with open(path, "wb") as f:
+        f.write(Transducer.build((w, known.merge(w)) for w in frequent if w not in known.special))
+    docs.sparkSession.sparkContext.addFile(path)
     return name
 
 

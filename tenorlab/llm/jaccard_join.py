@@ -4,10 +4,11 @@ A document's set is its distinct word shingles, as 64-bit hashes. A parity sketc
 distance of two sketches never exceeds the symmetric difference of the sets, and sets of sizes a and b that reach similarity t
 differ in at most d = (1 - t)(a + b) / (1 + t) tokens.
 
-Sizes fall into bands; a band's scheme takes the sizes that can meet a member of the band. Its sketch is cut into more than d blocks, so two linked sets
-agree in at least one block (pigeonhole). A block's key is the XOR of its flipped bits' numbers. With B blocks two linked sets agree in B - d or
-more; a set with u blocks that hold fewer than two tokens needs only its fuller blocks as long as u < B - d, which keeps empty blocks,
-alike in all documents, from becoming keys. A set with more such blocks uses all of them.
+Sizes fall into bands; a band's scheme takes the sizes that can meet a member of the band. Its sketch is cut into B > d blocks, so two
+linked sets agree in at least B - d blocks (pigeonhole). A block's key is the XOR of its flipped bits' numbers. A set uses its fullest
+blocks: all that hold t tokens or more, for the largest t that leaves more than d of them. Blocks that agree hold the same
+tokens, so of any B - d that agree one at least holds t, for the larger t of the two sets, and both use it. Empty blocks,
+alike in all documents, and blocks of one common shingle thus stay out of the keys.
 
 Sets that share a key are candidates. Equal sets are one class from the start. In each round a key's sets meet the key's
 centre, not each other: a candidate must pass the bound of two dense parity sketches and then the exact count over both whole texts.
@@ -31,7 +32,8 @@ from tenorlab.llm.components import connected_components
 
 #: Bytes of text handled at once.
 SLICE = 1 << 21
-BAND, TOKENS_A_BLOCK = 1.3, 4.6
+#: Ratio of a band's ends; d over the number of blocks.
+BAND, FILL = 1.3, 0.78
 ROUNDS = 3
 #: Sets of one key that meet in one task in the last, exact comparison.
 CHUNK = 256
@@ -47,17 +49,21 @@ class Similarity:
         """Largest symmetric difference of two linked sets whose sizes sum to ``total``."""
         return (100 - self.percent) * total // (100 + self.percent)
 
-    def schemes(self, largest: int) -> list[tuple[int, int, int, int]]:
-        """(least size, largest size, d, blocks) of every band up to ``largest``."""
+    def schemes(self, largest: int) -> list[tuple[int, int, int]]:
+        """(least size, largest size, blocks) of every band up to ``largest``."""
         out, low = [], 1
         while low <= largest:
             above = max(low + 1, int(low * BAND))
             high = (above - 1) * 100 // self.percent
             d = self.most_apart(above - 1 + high)
-            out.append((low, high, d, max(d + 1, round(high / TOKENS_A_BLOCK))))
+            out.append((low, high, max(d + 1, round(d / FILL))))
             low = above
         return out
 
+    def apart_from_any(self, n: int, high: int) -> int:
+        """Largest symmetric difference of a set of size n and a linked one of at most ``high``."""
+        return self.most_apart(n + min(high, n * 100 // self.percent))
+
 
 def shingle_sets(values: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer than k words is one shingle of all, none without words."""
@@ -125,23 +131,22 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def block_keys(one: np.ndarray, schemes: list[tuple[int, int, int, int]]) -> list[np.ndarray]:
+def block_keys(one: np.ndarray, how: Similarity, schemes: list[tuple[int, int, int]]) -> list[np.ndarray]:
     """The keys of a set in each scheme of its size."""
     out, n = [], len(one)
-    for number, (low, high, d, blocks) in enumerate(schemes):
-        if not low <= n <= high or not d:  # sets that may not differ at all are one class already
+    for number, (low, high, blocks) in enumerate(schemes):
+        if not low <= n <= high or not (d := how.apart_from_any(n, high)):  # sets that may not differ at all are one class already
             continue
         with np.errstate(over="ignore"):
             token = mix64(one + np.uint64(0x9E3779B97F4A7C15))
-            block = ((token >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-            held = np.bincount(block.astype(np.int64), minlength=blocks)
+            block = (((token >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+            held = np.bincount(block, minlength=blocks)
+            least = int(np.partition(held, blocks - d - 1)[blocks - d - 1])  # d + 1 blocks hold so many or more
             order = np.argsort(block, kind="stable")
             parity = np.zeros(blocks, np.uint64)
             full = np.flatnonzero(held)
             parity[full] = np.bitwise_xor.reduceat(mix64(token[order]), np.concatenate([[0], np.cumsum(held[full])[:-1]]))
-            used = np.flatnonzero(held >= 2)
-            if blocks - len(used) >= blocks - d:
-                used = np.arange(blocks)
+            used = np.flatnonzero(held >= least)
             out.append(mix64(parity[used] + mix64(used.astype(np.uint64) + np.uint64(number << 32))))
     return out
 
@@ -178,7 +183,7 @@ def keys(docs: DataFrame, how: Similarity, largest: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
-                for k in block_keys(one, schemes):
+                for k in block_keys(one, how, schemes):
                     parts.append(k)
                     owner.append(np.full(len(k), c, np.int64))
                 if len(parts) > 2000:
@@ -230,10 +235,10 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Similarit
 
 
 def _centre(members: DataFrame, turn: int) -> DataFrame:
-    """a, b: each key's sets paired with the key's centre, another one in every round."""
-    rank = F.struct(F.xxhash64("c1", F.lit(turn)).alias("h"), F.col("c1").alias("c"))
-    centre = F.min(rank).over(Window.partitionBy("key"))["c"]
-    return members.select("key", "c1", centre.alias("m"), *(["root"] if "root" in members.columns else []))
+    """c1, n, m, mn: each key's sets paired with the key's centre, another one in every round."""
+    rank = F.struct(F.xxhash64("c1", F.lit(turn)).alias("h"), F.col("c1").alias("c"), "n")
+    met = members.withColumn("centre", F.min(rank).over(Window.partitionBy("key")))
+    return met.select("c1", "n", F.col("centre.c").alias("m"), F.col("centre.n").alias("mn")).where(F.col("c1") != F.col("m"))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -243,28 +248,27 @@ def _ordered(a: Column, b: Column) -> list[Column]:
 def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame | None:
     """node, root: the components of the classes that link with another one; None if no key is shared."""
     largest = classes.agg(F.max("n")).first()[0] or 0
-    members = materialize(shared_keys(keys(docs, how, largest)), "members")
-    links, roots = None, None
+    sizes = classes.groupBy("c1").agg(F.min("n").alias("n"))
+    members = materialize(shared_keys(keys(docs, how, largest)).join(sizes, "c1").select("key", "c1", "n"), "members")
+    alike = lambda a, b: 100 * F.least(a, b) >= how.percent * F.greatest(a, b)
+    links, roots, tried = None, None, None
     for turn in range(ROUNDS + 1):
         if roots is not None:  # keys whose sets are all in one component are finished
             at = roots.select(F.col("node").alias("c1"), "root")
-            placed = members.select("key", "c1").join(at, "c1", "left").withColumn("root", F.coalesce("root", "c1"))
+            placed = members.select("key", "c1", "n").join(at, "c1", "left").withColumn("root", F.coalesce("root", "c1"))
             w = Window.partitionBy("key")
             open_ = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where(F.col("lo") != F.col("hi"))
-            members = materialize(open_.select("key", "c1", "root"), "members")
+            members = materialize(open_.select("key", "c1", "n", "root"), "members")
         if turn < ROUNDS:
-            met = _centre(members, turn).where(F.col("c1") != F.col("m"))
-            pairs = met.select(*_ordered(F.col("c1"), F.col("m"))).distinct()
+            pairs = _centre(members, turn).where(alike(F.col("n"), F.col("mn"))).select(*_ordered(F.col("c1"), F.col("m"))).distinct()
         else:
-            pairs = _left_over(members)
-        if turn:
+            pairs = _left_over(members).where(alike(F.col("xn"), F.col("yn"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if not pairs.limit(1).count():
-            if turn == 0 or turn == ROUNDS:
-                break
             continue
-        tried = pairs if turn == 0 else tried.unionByName(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         fresh = materialize(verify(pairs, classes, docs, how), "links")
         if not fresh.limit(1).count():
             continue
@@ -274,16 +278,15 @@ def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFr
 
 
 def _left_over(members: DataFrame) -> DataFrame:
-    """All pairs of sets of different components that share a key, a chunk of a key's sets against a chunk."""
-    w = Window.partitionBy("key")
-    n = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    """All pairs (x < y) of sets of different components that share a key, a chunk of a key's sets against a chunk."""
+    if "root" not in members.columns:
+        members = members.withColumn("root", F.col("c1"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
-    sized = members.join(n, "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
-    del w
-    left = sized.select("key", "chunk", F.col("c1").alias("x"), F.col("root").alias("xr"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    right = sized.select("key", F.col("chunk").alias("other"), F.col("c1").alias("y"), F.col("root").alias("yr"))
-    met = left.join(right, ["key", "other"]).where((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")))
-    return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    sized = members.join(sizes, "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
+    left = sized.select("key", F.col("c1").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    right = sized.select("key", F.col("chunk").alias("other"), F.col("c1").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"))
+    return left.join(right, ["key", "other"]).where((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -313,5 +316,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     return out.unionByName(alone)
 
 
+def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``docs`` without all but one document of each group of linked ones; texts without words stay.
+
+    The document of the group's smallest id stays. Rows that repeat it wholly go too. A group whose ids are all null stays as it is.
+    """
+    groups = jaccard_components(docs, k, percent)
+    stay = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))

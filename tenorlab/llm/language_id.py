@@ -177,20 +177,20 @@ def predict_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
     return langs, np.clip(score, 0.0, 1.0)
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred and score, replacing columns of those names.
+def predict(docs: DataFrame, model: dict, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score in the columns ``out``, replacing columns of those names.
 
     A null text or one without a letter is ``und`` with score 0. Rows may repeat and ids may be null: each row is judged
     by its text alone. An empty table gives an empty result.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in out]
     sent = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES rows of one number per language
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + f", `{out[0]}` string, `{out[1]}` double"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, score = predict_texts(sent.value, batch.column(kept.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())], [*kept, *out])
 
     return docs.select(*kept).mapInArrow(label, schema)
 
