@@ -45,7 +45,7 @@ def tips_first_issue(spark, sf):
 
 @query
 def eod_panel(spark, sf):
-    return rounded(A.eod(spark, sf), px_last=4, yld_ytm_mid=6)
+    return rounded(A.eod(spark, sf), px_last=9, yld_ytm_mid=6)
 
 
 def _headline(spark, sf):
@@ -54,7 +54,7 @@ def _headline(spark, sf):
 
 @query
 def headline_rank(spark, sf):
-    return rounded(_headline(spark, sf), px_last=4, yld_ytm_mid=6)
+    return rounded(_headline(spark, sf), px_last=9, yld_ytm_mid=6)
 
 
 @query
@@ -201,7 +201,7 @@ def upsert_merge(spark, sf):
 
 @query
 def full_refresh(spark, sf):
-    rows = A.eod(spark, sf).select("ts", "cusip", F.round("px_last", 4).alias("px_last"))
+    rows = A.eod(spark, sf).select("ts", "cusip", F.round("px_last", 9).alias("px_last"))
     return dml.full_refresh(dml.with_year(rows), shared_path(spark, "refresh"), ["year"]).select("ts", "cusip", "px_last", F.col("year").cast("int").alias("year"))
 
 
@@ -228,8 +228,8 @@ def schema_probe(spark, sf):
 @query
 def lenient_parse(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("19"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("-02-"), F.lpad((F.col("p_size") % 31 + 1).cast("string"), 2, "0")))
-        .when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise("").alias("day"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice").cast("string")).otherwise(F.col("p_name")).alias("number"))
-    return rows.select("p_partkey", lenient_date(F.col("day")).alias("day"), lenient_double(F.col("number")).alias("number"), typed(F.col("number"), "INTEGER64").alias("whole"))
+        .when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise("").alias("day"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice").cast("string")).otherwise(F.col("p_name")).alias("number"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_name")).alias("size"))
+    return rows.select("p_partkey", lenient_date(F.col("day")).alias("day"), lenient_double(F.col("number")).alias("number"), typed(F.col("size"), "INTEGER64").alias("whole"))
 
 
 @query

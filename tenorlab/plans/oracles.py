@@ -71,7 +71,7 @@ def _price(p: str, carry: bool = False) -> str:
     w, e = f"CAST(floor({p}) AS BIGINT)", f"CAST(round_even(({p} - floor({p})) * 256, 0) AS BIGINT)"
     if carry:
         w, e = f"({w} + {e} // 256)", f"({e} % 256)"
-    return f"""CASE WHEN {p} >= 0 THEN lpad(CAST({w} AS VARCHAR), greatest(3, length(CAST({w} AS VARCHAR))), '0') || '-' || lpad(CAST({e} // 8 AS VARCHAR), 2, '0') ||
+    return f"""CASE WHEN {p} >= 0 THEN lpad(CAST({w} AS VARCHAR), CAST(greatest(3, length(CAST({w} AS VARCHAR))) AS INTEGER), '0') || '-' || lpad(CAST({e} // 8 AS VARCHAR), 2, '0') ||
   CASE {e} % 8 WHEN 0 THEN '' WHEN 4 THEN '+' ELSE CAST({e} % 8 AS VARCHAR) END END"""
 
 
@@ -98,9 +98,9 @@ def _tickers() -> str:
 ORACLES: dict[str, str] = {
     "first_auction": f"WITH {_AUCTIONS}, {_FIRST} SELECT * FROM first_auction",
     "tips_first_issue": f"WITH {_AUCTIONS}, {_TIPS} SELECT * FROM tips",
-    "eod_panel": f"WITH {_EOD} SELECT ts, cusip, round(px_last, 4) AS px_last, round(yld_ytm_mid, 6) AS yld_ytm_mid FROM eod",
-    "headline_rank": f"WITH {_HEADLINE} SELECT ts, tenor, asset_class, cusip, status, round(px_last, 4) AS px_last, round(yld_ytm_mid, 6) AS yld_ytm_mid FROM headline",
-    "headline_current": f"WITH {_HEADLINE} SELECT ts, tenor, asset_class, cusip, round(px_last, 4) AS px_last FROM headline WHERE status = 'c'",
+    "eod_panel": f"WITH {_EOD} SELECT ts, cusip, round(px_last, 9) AS px_last, round(yld_ytm_mid, 6) AS yld_ytm_mid FROM eod",
+    "headline_rank": f"WITH {_HEADLINE} SELECT ts, tenor, asset_class, cusip, status, round(px_last, 9) AS px_last, round(yld_ytm_mid, 6) AS yld_ytm_mid FROM headline",
+    "headline_current": f"WITH {_HEADLINE} SELECT ts, tenor, asset_class, cusip, round(px_last, 9) AS px_last FROM headline WHERE status = 'c'",
     "headline_status_counts": f"WITH {_HEADLINE} SELECT asset_class, status, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM headline GROUP BY 1, 2",
     "headline_incremental": f"WITH {_HEADLINE} SELECT ts, tenor, asset_class, status, cusip FROM headline WHERE ts > (SELECT max(ts) FROM headline WHERE ts <= DATE '1999-01-01')",
     "tips_nominal_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
@@ -123,12 +123,12 @@ ORACLES: dict[str, str] = {
     "insert_ignore": f"WITH old AS ({_OLD}), new AS ({_NEW}) SELECT new.* FROM new ANTI JOIN old USING (l_orderkey, l_linenumber)",
     "upsert_merge": f"""WITH old AS ({_OLD}), new AS ({_NEW}) SELECT *, 't0' AS created_at FROM old ANTI JOIN new USING (l_orderkey, l_linenumber)
         UNION ALL SELECT new.*, CASE WHEN old.l_orderkey IS NULL THEN 't1' ELSE 't0' END AS created_at FROM new LEFT JOIN old USING (l_orderkey, l_linenumber)""",
-    "full_refresh": f"WITH {_EOD} SELECT ts, cusip, round(px_last, 4) AS px_last, CAST(year(ts) AS INTEGER) AS year FROM eod",
+    "full_refresh": f"WITH {_EOD} SELECT ts, cusip, round(px_last, 9) AS px_last, CAST(year(ts) AS INTEGER) AS year FROM eod",
     "schema_align_union": """SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS source FROM customer
         UNION ALL SELECT s_suppkey, s_name, s_nationkey, s_acctbal, NULL, 'supplier' FROM supplier""",
-    "normalize_columns": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part",
+    "normalize_columns": "SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice AS p_retail_price FROM part",
     "lenient_parse": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN try_cast('19' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '-02-' || lpad(CAST(p_size % 31 + 1 AS VARCHAR), 2, '0') AS DATE) END AS day,
-        CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS number, CASE WHEN p_partkey % 2 = 0 THEN CAST(trunc(p_retailprice) AS BIGINT) END AS whole FROM part""",
+        CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS number, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) END AS whole FROM part""",
     "json_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "explode_bulk": "SELECT o_orderkey AS security, l_linenumber, l_partkey, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey",
     "snapshot_fields": """SELECT c_name AS security, c_acctbal, c_mktsegment, 'USD' AS currency FROM customer

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tenorlab.operators.bars import intraday_bars
@@ -42,7 +43,7 @@ def run_available(result: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     query = result.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(result.schema.add("batch", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    rows = spark.read.schema(StructType([*result.schema, StructField("batch", LongType())])).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     latest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
     return rows.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") == 1).select(*result.columns)
 
