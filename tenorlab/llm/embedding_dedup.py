@@ -187,13 +187,13 @@ def _stored(reps: DataFrame) -> DataFrame:
     return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label int, dim int, mult long, unit array<double>, shard long, home boolean")
 
 
-def _build(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _build(frame: pd.DataFrame) -> pd.DataFrame:
     x = np.array(frame["unit"].tolist())
     g = frame["g"].to_numpy()
     return pd.DataFrame({"g": g, "near": [g[i] for i in robust_prune(x @ x.T, DEGREE, CANDIDATES)]})
 
 
-def _search(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _search(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts and forest links of one chunk's queries: g, links, other (null in a count row)."""
     stored, asked = frame[frame["stored"]].sort_values("g"), frame[frame["home"]].sort_values("g")
     empty = pd.DataFrame({"g": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "other": pd.Series(dtype="Int64")})

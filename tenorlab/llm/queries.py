@@ -8,6 +8,7 @@ from tenorlab.llm.html_extraction import op9_html_extraction
 from tenorlab.llm.jaccard_join import op6_jaccard_join
 from tenorlab.llm.language_id import op3_language_id
 from tenorlab.llm.license_scan import op1_license_scan
+from tenorlab.llm.oracles import ORACLES  # noqa: F401
 from tenorlab.llm.packing import op7_packing
 from tenorlab.llm.quality_rules import op4_quality_rules
 from tenorlab.llm.secret_scan import op2_secret_scan
@@ -20,4 +21,4 @@ QUERIES = {
         op10_sharding,
     )
 }
-ORACLES: dict[str, str] = {}
+

@@ -1,0 +1,127 @@
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from tenorlab.llm import license_scan, quality_rules, secret_scan, sharding
+from tests.llm.conftest import rows, words
+
+
+def test_licenses_match_a_plain_scan(docs, none):
+    got = Counter(tuple(r)[:6] for r in license_scan.scan_licenses(docs).collect())
+    want = Counter()
+    for i, t, *_ in rows():
+        w = re.findall(license_scan.WORD, (t or "").lower())
+        at = [(k, label) for phrase, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        starts = [k for k, _ in at]
+        want[(i, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})))] += 1
+    assert got == want
+    assert license_scan.scan_licenses(none).count() == 0
+
+
+def test_license_diagonals_merge_across_an_inserted_word(spark):
+    t = license_scan.TEMPLATES["mit-grant"].split()
+    edited = [*t[:12], "surely", *t[12:]]
+    frame = spark.createDataFrame([(1, f"{words(1, 30)} {' '.join(edited)} {words(2, 30)}"), (2, " ".join(t[:8])), (3, words(3, 200))], "doc_id long, text string")
+    spans = license_scan.diagonal_spans(frame).where("license = 'mit-grant'").collect()
+    assert [(r.doc_id, r.start, r.end) for r in spans] == [(1, 30, 30 + len(edited))] and 0.6 <= spans[0].coverage <= 1
+    got = {r.doc_id: (r.labels, round(r.score, 3)) for r in license_scan.scan_licenses(frame).collect()}
+    assert got[1][0] == "mit-grant" and got[2] == ("", 0.0) and got[3] == ("", 0.0)
+
+
+PLAIN = {"assign": (r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8), "access": (r"AKIA[A-Z0-9]+", 0, 16), "hex": (r"[0-9a-f]+", 0, 32)}
+
+
+def plain_secrets(t):
+    out = []
+    for k, (kind, (p, g, n)) in enumerate(PLAIN.items()):
+        for m in re.finditer(p, t, re.I | re.A if kind == "assign" else 0):
+            if len(m[g]) >= n:
+                out.append((m.start(), k, kind, m.end(), m[g]))
+    return sorted(out)
+
+
+def test_secrets_match_a_plain_scan(docs, none):
+    got = secret_scan.scan_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang")).collect()
+    owners = defaultdict(set)
+    for _, t, _, s, *_ in rows():
+        for x in plain_secrets(t or ""):
+            owners[x[4]].add(s)
+    want = Counter()
+    for i, t, *_ in rows():
+        found = plain_secrets(t or "")
+        say = ",".join(f"{k}:{a}:{b}" for a, _, k, b, _ in found)
+        want[(i, *[sum(x[2] == k for x in found) for k in PLAIN], hashlib.sha256(say.encode()).hexdigest())] += 1
+        shared = sum(len(owners[x[4]]) >= secret_scan.EXAMPLE_OWNERS for x in found)
+        assert shared in {r.n_example for r in got if r.doc_id == i}
+    assert Counter(tuple(r)[:5] for r in got) == want
+    # the long mixed token belongs to one owner only; abcdefghij is everybody's
+    assert [r.spans.count("generic:") for r in got if r.doc_id == 13] == [1]
+    assert secret_scan.scan_secrets(none, F.col("source"), F.col("lang")).count() == 0
+
+
+def test_redaction_masks_live_secrets_only(docs):
+    got = secret_scan.redact(docs, F.col("source"), F.col("lang"))
+    assert got.columns == docs.columns and got.count() == docs.count()
+    text = {r.doc_id: r.text for r in got.collect()}
+    assert text[13].count("[SECRET]") == 5 and "hunter2" not in text[13] and text[13].startswith("[SECRET]' Token:short [SECRET] [SECRET] [SECRET] [SECRET]")
+    assert text[15] == "secret=abcdefghij" and text[3] is None
+
+
+def plain_quality(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    rep = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep), len(w) < 20 or 100 * len(rep) > 30 * len(w)
+
+
+def test_quality_counts_match_a_plain_count(docs, none):
+    got = quality_rules.apply_rules(docs)
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter((r[0], *plain_quality(r[1])) for r in rows())
+    assert got.where("base_failed and kept").count() == 0 and quality_rules.apply_rules(none).count() == 0
+
+
+def test_quality_distance_matches_numpy_and_rejects_foreign_text(spark):
+    import numpy as np
+
+    normal = [(i, " ".join((words(i, 100) + " the of and to in is").split()), "en") for i in range(20)]
+    odd = [(100, " ".join(f"{i * 7919}::{i}" for i in range(200)), None), (101, "the the", "en")]
+    frame = spark.createDataFrame(normal + odd, "doc_id long, text string, lang string")
+    counts = quality_rules.text_counts(frame, "doc_id", "lang")
+    (lang, c, w), = quality_rules.references(counts)
+    r = {x.doc_id: x for x in quality_rules.judge(counts, [(lang, c, w)]).collect()}
+
+    def distance(n, q):
+        p, q = np.array(n, float) / sum(n), np.array(q)
+        m = (p + q) / 2
+        kl = lambda a: (a[a > 0] * np.log2(a[a > 0] / m[a > 0])).sum()
+        return np.sqrt((kl(p) + kl(q)) / 2)
+
+    for x in r.values():
+        cls = [*x.class_hist, x.n_all - sum(x.class_hist)]
+        assert abs(x.distance - (distance(cls, c) + distance(x.word_hist, w)) / 2) < 1e-9
+    assert all(r[i].kept for i in range(20)) and not r[100].kept and not r[100].base_failed and r[101].base_failed
+    assert {x.doc_id for x in quality_rules.keep_good(frame).collect()} == set(range(20))
+
+
+def test_without_labelled_text_the_base_rules_decide(spark):
+    frame = spark.createDataFrame([(1, words(1, 100), None), (2, "x", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: (r.kept, r.distance) for r in quality_rules.apply_rules(frame).collect()} == {1: (True, None), 2: (False, None)}
+
+
+def test_sharding(docs, none):
+    shards = [f"s{i}" for i in range(7)]
+    table = sharding.fill_table(shards, 1009)
+    share = Counter(table)
+    assert max(share.values()) - min(share.values()) <= 1
+    moved = sum(shards[a] != shards[:6][b] for a, b in zip(table, sharding.fill_table(shards[:6], 1009), strict=True) if a != 6)
+    assert moved < 1009 * 0.2
+    got = sharding.assign_shards(docs, "doc_id", shards, 1009)
+    assert got.count() == len(rows()) and set(got.columns) == set(docs.columns)
+    assert all(r.shard == shards[table[r.slot]] for r in got.collect())
+    assert got.select("doc_id", "shard").distinct().groupBy("doc_id").count().where("count > 1").count() == 0
+    assert sharding.assign_shards(none, "doc_id").count() == 0
