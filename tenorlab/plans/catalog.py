@@ -119,17 +119,17 @@ def _ou(spark, sf):
 
 @query
 def rolling_trend_oos(spark, sf):
-    return rounded(_oos(spark, sf).select("ts", "fitted_oos", "residual_oos"), fitted_oos=3, residual_oos=3)
+    return rounded(_oos(spark, sf).select("ts", "fitted_oos", "residual_oos"), fitted_oos=2, residual_oos=2)
 
 
 @query
 def trend_params(spark, sf):
-    return rounded(_oos(spark, sf).select("ts", "trend_slope", "trend_intercept"), trend_slope=3, trend_intercept=3)
+    return rounded(_oos(spark, sf).select("ts", "trend_slope", "trend_intercept"), trend_slope=4, trend_intercept=2)
 
 
 @query
 def residual_diff(spark, sf):
-    return rounded(research.residual_diff(_oos(spark, sf)).select("ts", "lag_resid", "d_resid"), lag_resid=3, d_resid=3)
+    return rounded(research.residual_diff(_oos(spark, sf)).select("ts", "lag_resid", "d_resid"), lag_resid=2, d_resid=2)
 
 
 OU = {"theta": 5, "ou_mu": 2, "ou_half_life": 5, "ou_sigma": 3}

@@ -108,9 +108,9 @@ ORACLES: dict[str, str] = {
     "breakeven_incremental": f"WITH {_BREAKEVEN} SELECT ts, tenor, status, nominal_cusip, tips_cusip FROM be WHERE ts > (SELECT max(ts) FROM be WHERE ts <= DATE '1999-01-01')",
     "chart_long": f"""WITH {_BREAKEVEN} SELECT ts, tenor, status, 'nominal_yield' AS series, round(nominal_yield, 6) AS value FROM be
         UNION ALL SELECT ts, tenor, status, 'tips_yield', round(tips_yield, 6) FROM be UNION ALL SELECT ts, tenor, status, 'breakeven', round(breakeven, 6) FROM be""",
-    "rolling_trend_oos": f"WITH {_OOS} SELECT ts, round(fitted_oos, 3) AS fitted_oos, round(residual_oos, 3) AS residual_oos FROM oos",
-    "trend_params": f"WITH {_OOS} SELECT ts, round(trend_slope, 3) AS trend_slope, round(trend_intercept, 3) AS trend_intercept FROM oos",
-    "residual_diff": f"WITH {_OOS} SELECT ts, round(lag(residual_oos) OVER (ORDER BY ts), 3) AS lag_resid, round(residual_oos - lag(residual_oos) OVER (ORDER BY ts), 3) AS d_resid FROM oos",
+    "rolling_trend_oos": f"WITH {_OOS} SELECT ts, round(fitted_oos, 2) AS fitted_oos, round(residual_oos, 2) AS residual_oos FROM oos",
+    "trend_params": f"WITH {_OOS} SELECT ts, round(trend_slope, 4) AS trend_slope, round(trend_intercept, 2) AS trend_intercept FROM oos",
+    "residual_diff": f"WITH {_OOS} SELECT ts, round(lag(residual_oos) OVER (ORDER BY ts), 2) AS lag_resid, round(residual_oos - lag(residual_oos) OVER (ORDER BY ts), 2) AS d_resid FROM oos",
     "ou_params": f"WITH {_OU} SELECT ts, n_pairs, round(theta, 5) AS theta, round(ou_mu, 2) AS ou_mu, round(ou_half_life, 5) AS ou_half_life, round(ou_sigma, 3) AS ou_sigma FROM ou",
     "ou_halflife_filtered": f"WITH {_PLAUSIBLE} SELECT ts, round(ou_half_life, 5) AS ou_half_life, round(ou_sigma, 3) AS ou_sigma FROM good",
     "ou_describe": f"WITH {_PLAUSIBLE} {_DESCRIBE.format(c='theta')} UNION ALL {_DESCRIBE.format(c='ou_half_life')}",
