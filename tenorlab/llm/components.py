@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         fresh = materialize(jumped, "labels")
         changed = fresh.where(F.col("was") != F.col("root")).limit(1).count()
         drop_table(labels)
-        labels = fresh
         if not changed:
-            return labels.select("node", "root")
+            return fresh.select("node", "root")
+        labels = fresh.select("node", "root")
+        labels._shared_path = fresh._shared_path
