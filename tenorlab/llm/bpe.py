@@ -24,8 +24,10 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: A lexicon word holds at least this share of all occurrences.
 MIN_SHARE = 1e-6
 #: Words a worker remembers, and counts it holds before it emits them.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def default_vocabulary() -> str:
@@ -67,6 +69,9 @@ class Vocabulary:
         self.merges = {(self.ids[raw(a)], self.ids[raw(b)]): (rank, self.ids[raw(a) + raw(b)]) for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
+        # where ids stand in merge order, byte strings and ids are all that a rank-merging library needs
+        merged = [new for _, new in self.merges.values()]
+        self.core = tiktoken.Encoding("own", pat_str=WORDS.pattern, mergeable_ranks=self.ids, special_tokens=self.special) if merged == sorted(merged) else None
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
@@ -78,10 +83,20 @@ class Vocabulary:
             out += [part] if k % 2 else WORDS.findall(part)
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        """All ids of a text."""
+        if self.core is not None:
+            return self.core.encode_to_numpy(text, allowed_special="all")
+        return np.array([i for w in self.words(text) for i in self.merge(w)], np.uint32)
+
     def merge(self, word: str) -> list[int]:
-        """The word's ids by merging the pair of lowest rank, leftmost first, until none is left; a heap keeps long words cheap."""
+        """The exact ids of one word."""
         if word in self.special:
             return [self.special[word]]
+        return self.core.encode_ordinary(word) if self.core is not None else self.merge_by_pairs(word)
+
+    def merge_by_pairs(self, word: str) -> list[int]:
+        """The word's ids by merging the pair of lowest rank, leftmost first, until none is left; a heap keeps long words cheap."""
         ids = [self.ids[bytes((b,))] for b in word.encode("utf-8", "surrogatepass")]
         n, merges = len(ids), self.merges
         if n < 2:
