@@ -3,7 +3,7 @@
 Features are hashed 1- to 3-grams of the lower-cased text with everything but letters turned to spaces; a feature's value
 is its share of the text's n-grams times its inverse document frequency. Document frequencies cover every training row.
 Weights are trained by follow-the-regularised-leader with elastic-net penalties, so most are exactly zero, on a bounded
-sample: the SAMPLE_PER_LANGUAGE rows of each language whose id hashes lowest. A fifth of the sample is held back from the
+sample: up to SAMPLE_PER_LANGUAGE rows of each language, those whose id hashes lowest. A fifth of the sample is held back from the
 training to fit the temperature that calibrates the probabilities.
 
 A text's scores are sums over its n-grams of one table row each, so prediction is one pass without grouping, over whole texts,
@@ -142,8 +142,13 @@ def train(docs: DataFrame, train_row: Column, key: str = "doc_id") -> dict:
     for r in rows.select("text").mapInArrow(_document_frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    low = Window.partitionBy("lang").orderBy(F.xxhash64(F.col(key)), F.col(key))
-    picked = rows.select("lang", key).withColumn("k", F.row_number().over(low)).where(F.col("k") <= SAMPLE_PER_LANGUAGE).select(F.col(key).alias("__id")).distinct()
+    # about twice the sample passes a threshold on the id's hash first, so that the ranking's input is bounded too
+    part = {r["lang"]: min(1.0, 2 * SAMPLE_PER_LANGUAGE / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = docs.sparkSession.createDataFrame(sorted(part.items()), "lang string, share double")  # one row per language
+    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.select("lang", key).join(F.broadcast(share), "lang").where(spread <= F.col("share"))
+    low = Window.partitionBy("lang").orderBy(spread, F.col(key))
+    picked = few.withColumn("k", F.row_number().over(low)).where(F.col("k") <= SAMPLE_PER_LANGUAGE).select(F.col(key).alias("__id")).distinct()
     # at most SAMPLE_PER_LANGUAGE ids of each language
     sample = rows.join(F.broadcast(picked), rows[key] == picked["__id"], "left_semi").select("text", "lang")
     got = sample.mapInPandas(_sparse, "lang string, at array<int>, share array<float>").collect()
