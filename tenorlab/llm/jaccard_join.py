@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,11 @@ from tenorlab.llm.components import connected_components
 SLICE = 1 << 21
 #: Ratio of a band's ends; d over the number of blocks.
 BAND, FILL = 1.3, 0.78
-ROUNDS = 3
-#: Sets of one key that meet in one task in the last, exact comparison.
-CHUNK = 256
+ROUNDS = 2
+#: Pairs a set and key has on average, up to which no further round is needed.
+FEW_PAIRS = 3
+#: In the last, exact comparison: sets up to which a key's pairs are simply joined, and sets of a larger key that meet in one task.
+SMALL_KEY, CHUNK = 32, 256
 
 
 class Similarity:
@@ -120,15 +123,17 @@ def dense_sketch(one: np.ndarray) -> bytes:
     return np.packbits(at.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A parity sketch of fewer bytes, by XOR of its halves."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def hamming(a: bytes, b: bytes) -> int:
     """Distance of two parity sketches; the longer is folded onto the shorter, which keeps it a lower bound."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        else:
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_fold(np.frombuffer(a, np.uint8), size) ^ _fold(np.frombuffer(b, np.uint8), size)).sum())
 
 
 def block_keys(one: np.ndarray, how: Similarity, schemes: list[tuple[int, int, int]]) -> list[np.ndarray]:
@@ -237,7 +242,8 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Similarit
 def _centre(members: DataFrame, turn: int) -> DataFrame:
     """c1, n, m, mn: each key's sets paired with the key's centre, another one in every round."""
     rank = F.struct(F.xxhash64("c1", F.lit(turn)).alias("h"), F.col("c1").alias("c"), "n")
-    met = members.withColumn("centre", F.min(rank).over(Window.partitionBy("key")))
+    centres = members.groupBy("key").agg(F.min(rank).alias("centre"))
+    met = members.select("key", "c1", "n").join(centres, "key")
     return met.select("c1", "n", F.col("centre.c").alias("m"), F.col("centre.n").alias("mn")).where(F.col("c1") != F.col("m"))
 
 
@@ -255,38 +261,74 @@ def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFr
     for turn in range(ROUNDS + 1):
         if roots is not None:  # keys whose sets are all in one component are finished
             at = roots.select(F.col("node").alias("c1"), "root")
-            placed = members.select("key", "c1", "n").join(at, "c1", "left").withColumn("root", F.coalesce("root", "c1"))
-            w = Window.partitionBy("key")
-            open_ = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where(F.col("lo") != F.col("hi"))
-            members = materialize(open_.select("key", "c1", "n", "root"), "members")
-        if turn < ROUNDS:
-            pairs = _centre(members, turn).where(alike(F.col("n"), F.col("mn"))).select(*_ordered(F.col("c1"), F.col("m"))).distinct()
+            placed = materialize(members.select("key", "c1", "n").join(at, "c1", "left").withColumn("root", F.coalesce("root", "c1")), "placed")
+            mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+            members = materialize(placed.join(mixed, "key", "left_semi"), "members")
+        # all pairs at once where keys are so small that it costs no more than centres, or after the last round
+        last = turn == ROUNDS or _all_pairs(members) <= FEW_PAIRS * max(1, members.count())
+        if last:
+            pairs = _left_over(members, classes, how)
         else:
-            pairs = _left_over(members).where(alike(F.col("xn"), F.col("yn"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+            pairs = _centre(members, turn).where(alike(F.col("n"), F.col("mn"))).select(*_ordered(F.col("c1"), F.col("m"))).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if not pairs.limit(1).count():
-            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = materialize(verify(pairs, classes, docs, how), "links")
-        if not fresh.limit(1).count():
-            continue
-        links = fresh if links is None else links.unionByName(fresh)
-        roots = connected_components(links)
-    return roots
+        fresh = materialize(verify(pairs, classes, docs, how), "links") if pairs.limit(1).count() else pairs
+        if fresh.limit(1).count():
+            links = fresh if links is None else links.unionByName(fresh)
+            roots = connected_components(links)
+        if last:
+            return roots
+
+
+def _all_pairs(members: DataFrame) -> float:
+    """How many pairs of sets share a key, counted once a key."""
+    n = members.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
 
 
-def _left_over(members: DataFrame) -> DataFrame:
-    """All pairs (x < y) of sets of different components that share a key, a chunk of a key's sets against a chunk."""
+def _left_over(members: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame:
+    """a, b: all pairs of sets of different components that share a key and pass the sketch bound, or share a small key.
+
+    A large key's sets are compared a chunk against a chunk on their sketches, inside a task, so that only pairs that may link leave it.
+    """
     if "root" not in members.columns:
         members = members.withColumn("root", F.col("c1"))
+    percent = how.percent
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / CHUNK)).cast("int")
-    sized = members.join(sizes, "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
-    left = sized.select("key", F.col("c1").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    right = sized.select("key", F.col("chunk").alias("other"), F.col("c1").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"))
-    return left.join(right, ["key", "other"]).where((F.col("x") < F.col("y")) & (F.col("xr") != F.col("yr")))
+    sized = materialize(members.join(sizes, "key"), "sized")
+    small = sized.where(F.col("size") <= SMALL_KEY)
+    one, two = (small.select("key", F.col("c1").alias(c), F.col("n").alias(f"{c}n"), F.col("root").alias(f"{c}r")) for c in ("a", "b"))
+    alike = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
+    few = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & alike).select("a", "b")
+
+    sketches = classes.groupBy("c1").agg(F.first("sketch").alias("sketch"))
+    large = sized.where(F.col("size") > SMALL_KEY).join(sketches, "c1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
+    data = [F.col(c) for c in ("c1", "n", "root", "sketch")]
+    left = large.select("key", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), F.lit(True).alias("left"), *data)
+    right = large.select("key", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("left"), *data)
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
+        bits = min(map(len, frame["sketch"]))
+        folded = np.stack([_fold(np.frombuffer(x, np.uint8), bits) for x in frame["sketch"]])
+        n, root, c1 = (frame[c].to_numpy() for c in ("n", "root", "c1"))
+        x, y = np.flatnonzero(frame["left"]), np.flatnonzero(~frame["left"])
+        out = []
+        for at in range(0, len(x), 16):
+            p = x[at : at + 16]
+            total = n[p][:, None] + n[y][None, :]
+            apart = np.bitwise_count(folded[p][:, None, :] ^ folded[y][None, :, :]).sum(2, dtype=np.int64)
+            ok = (apart <= (100 - percent) * total // (100 + percent)) & (root[p][:, None] != root[y][None, :])
+            ok &= 100 * np.minimum(n[p][:, None], n[y][None, :]) >= percent * np.maximum(n[p][:, None], n[y][None, :])
+            i, j = np.nonzero(ok)
+            out.append(np.stack([c1[p[i]], c1[y[j]]], 1))
+        both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": both.min(1, initial=2**63 - 1), "b": both.max(1, initial=-(2**63))})
+
+    many = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(near, "a long, b long").where(F.col("a") != F.col("b"))
+    return few.union(many).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

@@ -38,9 +38,10 @@ def mutated(base, rate, r):
     return " ".join(f"w{r.randrange(10**6)}" if r.random() < rate else w for w in base)
 
 
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_components_match_brute_force_near_the_threshold(spark, k, percent, monkeypatch):
+@pytest.mark.parametrize(("k", "percent", "few"), [(4, 85, 0), (5, 80, 3)])
+def test_components_match_brute_force_near_the_threshold(spark, k, percent, few, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few)
     r = random.Random(k)
     texts = []
     passage = words(99, 60).split()
@@ -69,10 +70,12 @@ def test_every_linked_pair_shares_a_key():
                 assert keys[0] & keys[1] or not apart
 
 
-def test_left_over_pairs_are_compared_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [1, 10, 1000])
+def test_left_over_pairs_are_compared_in_blocks(spark, monkeypatch, small):
     # without any round the exact comparison does all of it
     monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
     monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+    monkeypatch.setattr(jaccard_join, "SMALL_KEY", small)
     r = random.Random(8)
     base = words(7, 150).split()
     texts = [(i, mutated(base, 0.01, r)) for i in range(25)] + [(100, words(8, 100))]
