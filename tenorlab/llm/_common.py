@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +16,16 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 OWN_CHECKPOINT_DIR = "file:///tmp/checkpoints"
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies beside the driver's; on a cluster without it, pass it by --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), root)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -30,6 +30,8 @@ SHARD, OVERLAP, CHUNK, MAX_PIVOTS = 600, 4, 2048, 8192
 #: Neighbours kept, candidates pruned from, the pruning slack, the beam, and how far below the threshold the range still expands.
 DEGREE, CANDIDATES, SLACK, BEAM, MARGIN = 16, 48, 1.2, 8, 0.02
 AUDITED, MIN_RECALL = 16, 0.98
+#: Queries searched together.
+TOGETHER = 256
 
 
 def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarray]:
@@ -58,53 +60,58 @@ def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarr
     return [x[x >= 0] for x in kept]
 
 
+def both_ways(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """The lists with every link in both directions: what few others list would else be out of reach."""
+    n = len(lists)
+    here, there = np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
+    pairs = np.unique(np.concatenate([here * n + there, there * n + here]))
+    return np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n)) if n else []
+
+
 def range_search(cos: np.ndarray, lists: list[np.ndarray], medoid: int, own: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean queries x stored: what the search reaches within the threshold. cos: queries x stored; own: a query's place or -1."""
     n_q, n = cos.shape
-    seen, open_ = np.zeros((n_q, n), bool), np.zeros((n_q, n), bool)
-    width = max(map(len, lists), default=0)
-    table = np.full((n, max(1, width)), -1)
-    for i, x in enumerate(lists):
-        table[i, : len(x)] = x
-    rows = np.arange(n_q)
-    beam = np.full((n_q, BEAM), -1)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    linked = np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
+
+    def beyond(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and neighbours of (query, node) pairs."""
+        size = first[nodes + 1] - first[nodes]
+        at = np.arange(size.sum()) + np.repeat(first[nodes] - (np.cumsum(size) - size), size)
+        return np.repeat(q, size), linked[at]
+
+    seen, done = np.zeros((n_q, n), bool), np.zeros((n_q, n), bool)
+    rows, k = np.arange(n_q)[:, None], min(BEAM, n)
+    beam = np.full((n_q, k), -1)
     beam[:, 0] = medoid
-    done = np.zeros((n_q, n), bool)
-    for _ in range(24):
-        fresh = (beam >= 0) & ~done[rows[:, None], beam]
-        if not fresh.any():
+    for _ in range(24):  # greedy: the best of the beam and of what it links to
+        q, c = np.nonzero((beam >= 0) & ~done[rows, beam])
+        if not len(q):
             break
-        q, b = np.nonzero(fresh)
-        nodes = beam[q, b]
+        nodes = beam[q, c]
         done[q, nodes] = seen[q, nodes] = True
-        reached = table[nodes]
-        qq, flat = np.repeat(q, reached.shape[1]), reached.ravel()
-        qq, flat = qq[flat >= 0], flat[flat >= 0]
+        qq, flat = beyond(q, nodes)
         seen[qq, flat] = True
         offered = np.full((n_q, n), -np.inf, np.float32)
         offered[qq, flat] = cos[qq, flat]
-        held = beam >= 0
-        offered[np.nonzero(held)[0], beam[held]] = cos[np.nonzero(held)[0], beam[held]]
-        k = min(BEAM, n)
+        q, c = np.nonzero(beam >= 0)
+        offered[q, beam[q, c]] = cos[q, beam[q, c]]
         best = np.argpartition(-offered, k - 1, axis=1)[:, :k]
         beam = np.where(np.take_along_axis(offered, best, 1) > -np.inf, best, -1)
-        if k < BEAM:
-            beam = np.pad(beam, ((0, 0), (0, BEAM - k)), constant_values=-1)
     placed = np.flatnonzero(own >= 0)
     seen[placed, own[placed]] = True
-    open_ = seen & (cos >= threshold - MARGIN)
+    wide = cos >= threshold - MARGIN
+    open_ = seen & wide
     open_[placed, own[placed]] = True
     expanded = np.zeros((n_q, n), bool)
-    while True:
+    while True:  # range: whatever is near enough passes the search on
         q, nodes = np.nonzero(open_ & ~expanded)
         if not len(q):
             return seen & (cos >= threshold)
         expanded[q, nodes] = True
-        reached = table[nodes]
-        qq, flat = np.repeat(q, reached.shape[1]), reached.ravel()
-        qq, flat = qq[flat >= 0], flat[flat >= 0]
+        qq, flat = beyond(q, nodes)
         seen[qq, flat] = True
-        open_[qq, flat] |= cos[qq, flat] >= threshold - MARGIN
+        open_[qq, flat] |= wide[qq, flat]
 
 
 def forest(found: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
@@ -190,7 +197,7 @@ def _stored(reps: DataFrame) -> DataFrame:
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     x = np.array(frame["unit"].tolist())
     g = frame["g"].to_numpy()
-    return pd.DataFrame({"g": g, "near": [g[i] for i in robust_prune(x @ x.T, DEGREE, CANDIDATES)]})
+    return pd.DataFrame({"g": g, "near": [g[i] for i in both_ways(robust_prune(x @ x.T, DEGREE, CANDIDATES))]})
 
 
 def _search(frame: pd.DataFrame) -> pd.DataFrame:
@@ -204,9 +211,9 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     place = {v: i for i, v in enumerate(g.tolist())}
     lists = [np.array([place[v] for v in near if v in place], np.int64) for near in stored["near"]]
     medoid = int((x @ x.mean(0)).argmax())
-    out = [empty]
-    for at in range(0, len(asked), CHUNK):
-        part = asked.iloc[at : at + CHUNK]
+    out, wide = [empty], None
+    for at in range(0, len(asked), TOGETHER):
+        part = asked.iloc[at : at + TOGETHER]
         mine = part["g"].to_numpy()
         own = np.array([place.get(v, -1) for v in mine.tolist()])
         cos = np.array(part["unit"].tolist()) @ x.T
@@ -214,7 +221,7 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
         audit = np.arange(0, len(mine), AUDITED)
         truth = cos[audit] >= THRESHOLD
         if (found[audit] & truth).sum() < MIN_RECALL * truth.sum():
-            wide = [np.union1d(a, b) for a, b in zip(lists, robust_prune(x @ x.T, 4 * DEGREE, 4 * CANDIDATES), strict=True)]
+            wide = wide or both_ways([np.union1d(a, b) for a, b in zip(lists, robust_prune(x @ x.T, 4 * DEGREE, 4 * CANDIDATES), strict=True)])
             found |= range_search(cos, wide, medoid, own, THRESHOLD)
         placed = np.flatnonzero(own >= 0)
         found[placed, own[placed]] = False

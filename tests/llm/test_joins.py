@@ -151,6 +151,21 @@ def test_vector_links_against_brute_force(spark, monkeypatch, shard, chunk):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_a_tight_group_is_found_whole():
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=64) + r.normal(size=(300, 64)) * 0.1, r.normal(size=(500, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cos = x @ x.T
+    lists = embedding_dedup.both_ways(embedding_dedup.robust_prune(cos, embedding_dedup.DEGREE, embedding_dedup.CANDIDATES))
+    assert all(i in lists[j] for i in range(800) for j in lists[i])
+    found = embedding_dedup.range_search(cos, lists, 500, np.arange(800), embedding_dedup.THRESHOLD)
+    truth = cos >= embedding_dedup.THRESHOLD
+    assert truth.sum() > 20_000 and not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum()
+    # a query that is not in the graph comes from the medoid alone
+    far = embedding_dedup.range_search(cos[:300], lists, 500, np.full(300, -1), embedding_dedup.THRESHOLD)
+    assert not (far & ~truth[:300]).any()
+
+
 def test_odd_vectors(spark):
     data = [
         (1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, [1.0, 0.0], None), (5, None, 0), (6, [0.0, 0.0], 0), (7, [float("nan"), 1.0], 0),
