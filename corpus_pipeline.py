@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenorlab.llm import jaccard_join, language_id, packing, quality_rules, secret_scan
-from tenorlab.llm._common import materialize, read
+from tenorlab.llm._common import materialize, read, ship_code
 from tenorlab.llm.bpe import default_vocabulary
 
 #: Near-duplicates in the pipeline: shingles of so many words, similarity of so many hundredths or more.
@@ -15,6 +15,7 @@ SHINGLE, PERCENT = 5, 80
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go."""
+    ship_code(spark)
     model = language_id.train(docs.select("doc_id", "text", "lang"), ~language_id.held_out())
     out = ("__lang", "__score")
     kept = (F.col(out[0]) != language_id.UNKNOWN) & (F.col(out[1]) >= language_id.MIN_SCORE)
@@ -28,6 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one of the smallest id."""
+    ship_code(spark)
     return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
@@ -39,6 +41,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of what is left."""
+    ship_code(spark)
     return packing.pack_documents(docs, default_vocabulary())
 
 
