@@ -151,10 +151,13 @@ def _pivots(reps: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
     sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     total = reps.count()
     share = max(SHARD, -(-total // MAX_PIVOTS))
-    wanted = sizes.select("label", "dim", F.floor(F.col("n") / share).alias("k")).where(F.col("k") >= 2)  # those need pivots
-    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("g", F.lit(5)), "g")
-    ranked = reps.select("g", "label", "dim").withColumn("r", F.row_number().over(order)).where(F.col("r") <= MAX_PIVOTS)
-    chosen = ranked.join(wanted, ["label", "dim"]).where(F.col("r") <= F.col("k")).select("g")
+    k = F.floor(F.col("n") / share)
+    wanted = sizes.select("label", "dim", k.alias("k"), (2 * k / F.col("n")).alias("part")).where(F.col("k") >= 2)  # at most MAX_PIVOTS / 2 rows
+    spread = F.pmod(F.xxhash64("g", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # about twice the wanted rows pass a threshold on the hash, so that the ranking's input is bounded too
+    few = reps.select("g", "label", "dim").join(F.broadcast(wanted), ["label", "dim"]).where(spread <= F.col("part"))
+    order = Window.partitionBy("label", "dim").orderBy(spread, "g")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k")).select("g")
     by: dict[tuple[int, int], list] = {}
     for r in reps.join(chosen, "g").select("label", "dim", "unit").orderBy("label", "dim", "g").collect():
         by.setdefault((r["label"], r["dim"]), []).append(r["unit"])
