@@ -40,6 +40,8 @@ ROUNDS = 2
 FEW_PAIRS = 3
 #: In the last, exact comparison: sets up to which a key's pairs are simply joined, and sets of a larger key that meet in one task.
 SMALL_KEY, CHUNK = 32, 256
+#: A pair of sets that shares several large keys is reported at the lowest one, as far as their so many lowest keys tell.
+LOWEST_KEYS = 32
 
 
 class Similarity:
@@ -306,7 +308,9 @@ def _left_over(members: DataFrame, classes: DataFrame, how: Similarity) -> DataF
     sketches = classes.groupBy("c1").agg(F.first("sketch").alias("sketch"))
     large = sized.where(F.col("size") > SMALL_KEY).join(sketches, "c1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     large = large.withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
-    data = [F.col(c) for c in ("c1", "n", "root", "sketch")]
+    lowest = large.groupBy("c1").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOWEST_KEYS).alias("lowest"))
+    large = large.join(lowest, "c1")
+    data = [F.col(c) for c in ("c1", "n", "root", "sketch", "lowest")]
     left = large.select("key", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), F.lit(True).alias("left"), *data)
     right = large.select("key", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("left"), *data)
 
@@ -315,6 +319,10 @@ def _left_over(members: DataFrame, classes: DataFrame, how: Similarity) -> DataF
         folded = np.stack([_fold(np.frombuffer(x, np.uint8), bits) for x in frame["sketch"]])
         n, root, c1 = (frame[c].to_numpy() for c in ("n", "root", "c1"))
         x, y = np.flatnonzero(frame["left"]), np.flatnonzero(~frame["left"])
+        key = int(frame["key"].iloc[0])
+        lower = np.full((len(frame), LOWEST_KEYS), key)  # each set's lowest keys, as far as they are lower than this one
+        for r, keys_ in enumerate(frame["lowest"]):
+            lower[r, : len(keys_)] = np.minimum(keys_, key)
         out = []
         for at in range(0, len(x), 16):
             p = x[at : at + 16]
@@ -323,6 +331,10 @@ def _left_over(members: DataFrame, classes: DataFrame, how: Similarity) -> DataF
             ok = (apart <= (100 - percent) * total // (100 + percent)) & (root[p][:, None] != root[y][None, :])
             ok &= 100 * np.minimum(n[p][:, None], n[y][None, :]) >= percent * np.maximum(n[p][:, None], n[y][None, :])
             i, j = np.nonzero(ok)
+            # a pair that shares a lower key is met there
+            p_low, y_low = lower[p[i]], lower[y[j]]
+            met = ((p_low[:, :, None] == y_low[:, None, :]) & (p_low < key)[:, :, None]).any((1, 2))
+            i, j = i[~met], j[~met]
             out.append(np.stack([c1[p[i]], c1[y[j]]], 1))
         both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": both.min(1, initial=2**63 - 1), "b": both.max(1, initial=-(2**63))})
