@@ -1,7 +1,13 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors of equal label and direction bits are collapsed first. The rest are dealt to the shards of their nearest few pivots, so
-shards overlap; a shard larger than CHUNK is cut into chunks of stored vectors. Every chunk builds a robust-pruned neighbour list
+Vectors of equal label and direction bits are collapsed first. The rest are dealt to the shards of their pivots: a query asks in the
+shard of its nearest one, and a vector is stored wherever a linked query may ask. Pivots are a sample of which none is near another,
+so a dense group has one shard, not many. A linked query at most REACH away whose nearest pivot is p instead of the vector's own p* moves
+the difference of the two products by at most REACH * |p - p*|; vectors within that are stored in p's shard. In many dimensions
+few differences point that way, so SPREAD standard deviations of a random one are tried first; then a fixed number of vectors of each
+label is compared with the whole label, and a label below MIN_RECALL is dealt again by the full bound, which misses none.
+
+A shard larger than CHUNK is cut into chunks of stored vectors. Every chunk builds a robust-pruned neighbour list
 for its vectors; the lists of a vector from all its shards are united. A query then searches every chunk of its home shard:
 greedily from the chunk's medoid and from its own place in the graph, and from whatever it reaches the range is expanded over the
 united lists until no vector within the threshold is left to expand. Each chunk audits the recall of a fixed share of its
@@ -18,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +34,12 @@ from tenorlab.llm.components import connected_components
 
 THRESHOLD = 0.98
 SHARD, OVERLAP, CHUNK, MAX_PIVOTS = 600, 4, 2048, 8192
+#: Distance of two vectors at the threshold; standard deviations of a random difference tried first; cosine from which one of two pivots goes.
+REACH, SPREAD, SAME_PIVOT = (2 - 2 * THRESHOLD) ** 0.5, 3, 0.8
+#: Vectors compared with their whole label: so many in all, but in each label between these two numbers.
+COMPARED, LEAST_COMPARED, MOST_COMPARED = 16384, 16, 256
+#: Vectors whose products with all pivots are held at once.
+DEALT = 512
 #: Neighbours kept, candidates pruned from, the pruning slack, the beam, and how far below the threshold the range still expands.
 DEGREE, CANDIDATES, SLACK, BEAM, MARGIN = 16, 48, 1.2, 8, 0.02
 AUDITED, MIN_RECALL = 16, 0.98
@@ -163,14 +176,42 @@ def _pivots(reps: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
         by.setdefault((r["label"], r["dim"]), []).append(r["unit"])
     out, first = {}, 0
     for key, vectors in by.items():
-        out[key] = (np.array(vectors), first)
-        first += len(vectors)
+        apart = thinned(np.array(vectors))
+        if len(apart) > 1:
+            out[key] = (apart, first)
+            first += len(apart)
     return out
 
 
-def _stored(reps: DataFrame) -> DataFrame:
-    """g, unit, mult, home, label, dim, shard: every vector in the shards of its OVERLAP nearest pivots; -1 where a label has one shard."""
-    pivots = reps.sparkSession.sparkContext.broadcast(_pivots(reps))
+def thinned(vectors: np.ndarray) -> np.ndarray:
+    """The vectors without those that are near one before them."""
+    kept, n = np.empty_like(vectors), 0
+    for v in vectors:
+        if not n or (kept[:n] @ v).max() < SAME_PIVOT:
+            kept[n] = v
+            n += 1
+    return kept[:n].copy()
+
+
+def shards_of(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pivot, whether it is the row's nearest) for every pivot that may be the nearest of a vector within ``reach`` of the row, and the OVERLAP nearest."""
+    row, pivot, home = [], [], []
+    for at in range(0, len(x), DEALT):
+        dots = x[at : at + DEALT] @ pivots.T
+        best, rows = dots.argmax(1), np.arange(len(dots))
+        apart = np.sqrt(np.maximum(2 - 2 * (pivots[best] @ pivots.T), 0))
+        stored = dots[rows, best][:, None] - dots <= reach * apart + 1e-9
+        k = min(OVERLAP, len(pivots))
+        np.put_along_axis(stored, np.argpartition(-dots, k - 1, axis=1)[:, :k], True, axis=1)
+        r, p = np.nonzero(stored)
+        row.append(at + r)
+        pivot.append(p)
+        home.append(p == best[r])
+    return np.concatenate(row), np.concatenate(pivot), np.concatenate(home)
+
+
+def _stored(reps: DataFrame, known: Broadcast, whole: bool) -> DataFrame:
+    """g, unit, mult, home, label, dim, shard: every vector in each shard where it may be asked for; -1 where a label has one shard."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,23 +221,67 @@ def _stored(reps: DataFrame) -> DataFrame:
             for i, key in enumerate(zip(label, dim, strict=True)):
                 by.setdefault(key, []).append(i)
             for key, at in by.items():
-                if key not in pivots.value:
+                if key not in known.value:
                     row.append(np.array(at))
                     shard.append(np.full(len(at), -1))
                     home.append(np.ones(len(at), bool))
                     continue
-                vectors, first = pivots.value[key]
+                pivots, first = known.value[key]
                 x = np.array(batch.column("unit").take(pa.array(at)).to_pylist())
-                near = np.argsort(-(x @ vectors.T), axis=1, kind="stable")[:, :OVERLAP]
-                row.append(np.repeat(at, near.shape[1]))
-                shard.append(first + near.ravel())
-                home.append(np.tile(np.arange(near.shape[1]) == 0, len(at)))
+                r, p, nearest = shards_of(x, pivots, REACH if whole else REACH * min(1.0, SPREAD / key[1] ** 0.5))
+                row.append(np.array(at)[r])
+                shard.append(first + p)
+                home.append(nearest)
             table = batch.take(pa.array(np.concatenate(row))) if row else batch
             yield pa.RecordBatch.from_arrays([*table.columns, pa.array(np.concatenate(shard) if row else [], pa.int64()), pa.array(np.concatenate(home) if row else [], pa.bool_())], [*batch.schema.names, "shard", "home"])
 
     return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label int, dim int, mult long, unit array<double>, shard long, home boolean")
 
 
+def _true_links(reps: DataFrame, known: Broadcast) -> DataFrame:
+    """g, label, dim, links: what a fixed number of vectors of each label with several shards link with in the whole label."""
+    spark = reps.sparkSession
+    keys = spark.createDataFrame([(int(a), int(b)) for a, b in known.value], "label int, dim int")
+    several = reps.join(F.broadcast(keys), ["label", "dim"])
+    each = max(LEAST_COMPARED, min(MOST_COMPARED, COMPARED // max(1, len(known.value))))
+    sizes = several.groupBy("label", "dim").agg((each / F.count(F.lit(1))).alias("part"))
+    spread = F.pmod(F.xxhash64("g", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    asked: dict[tuple[int, int], tuple[list, list]] = {}
+    for r in several.join(F.broadcast(sizes), ["label", "dim"]).where(spread <= F.col("part")).select("g", "label", "dim", "unit").collect():
+        g, units = asked.setdefault((r["label"], r["dim"]), ([], []))
+        g.append(r["g"])
+        units.append(r["unit"])
+    sent = spark.sparkContext.broadcast({k: (np.array(g), np.array(u)) for k, (g, u) in asked.items()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            by: dict[tuple[int, int], list[int]] = {}
+            for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
+                if key in sent.value:
+                    by.setdefault(key, []).append(i)
+            for key, at in by.items():
+                g, units = sent.value[key]
+                part = batch.take(pa.array(at))
+                near = (units @ np.array(part.column("unit").to_pylist()).T >= THRESHOLD) & (g[:, None] != part.column("g").to_numpy()[None, :])
+                out += [(x, *key, n) for x, n in zip(g.tolist(), (near @ part.column("mult").to_numpy()).tolist(), strict=True)]
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["g", "label", "dim", "n"])
+
+    counted = several.select("g", "label", "dim", "mult", "unit").mapInArrow(count, "g long, label int, dim int, n long")
+    return counted.groupBy("g", "label", "dim").agg(F.sum("n").alias("true"))
+
+
+def _short(reps: DataFrame, known: Broadcast, counts: DataFrame) -> list[tuple[int, int]]:
+    """The labels (and dimensions) where the compared vectors' mean recall of links is under MIN_RECALL."""
+    if not known.value:
+        return []
+    got = _true_links(reps, known).where(F.col("true") > 0).join(counts, "g", "left")
+    recall = got.groupBy("label", "dim").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("true")).alias("recall"))
+    return [(r["label"], r["dim"]) for r in recall.where(F.col("recall") < MIN_RECALL).collect()]
+
+
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     x = np.array(frame["unit"].tolist())
     g = frame["g"].to_numpy()
@@ -234,6 +319,23 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([o for o in out if len(o)] or [empty], ignore_index=True)
 
 
+def _links(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, links) of every vector and (a, b), enough links to join what links."""
+    stored = materialize(dealt, "shards")
+    place = ["label", "dim", "shard"]
+    sizes = stored.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    sized = stored.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
+    built = sized.select(*place, "chunk", "g", "unit").groupBy(*place, "chunk").applyInPandas(_build, "g long, near array<long>")
+    lists = built.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    # a vector is stored in its chunk of each shard and asks in every chunk of its home shard
+    every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    asking = sized.withColumn("to", F.explode(every)).withColumn("stored", F.col("to") == F.col("chunk"))
+    asking = asking.join(lists, "g").select(*place, "to", "g", "mult", "unit", "home", "stored", "near")
+    found = materialize(asking.groupBy(*place, "to").applyInPandas(_search, "g long, links long, other long"), "found")
+    counts = found.where(F.col("other").isNull()).groupBy("g").agg(F.sum("links").alias("links"))
+    return counts, found.where(F.col("other").isNotNull()).select(F.col("g").alias("a"), F.col("other").alias("b"))
+
+
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
@@ -248,19 +350,13 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     linked = F.col("label").isNotNull() & F.col("unit").isNotNull()
     classes = rows.where(linked).groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
     reps = materialize(classes.withColumn("dim", F.size("unit")).withColumn("g", F.monotonically_increasing_id()), "vectors")
-    stored = materialize(_stored(reps), "shards")
-    place = ["label", "dim", "shard"]
-    sizes = stored.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    sized = stored.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
-    built = sized.select(*place, "chunk", "g", "unit").groupBy(*place, "chunk").applyInPandas(_build, "g long, near array<long>")
-    lists = built.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    # a vector is stored in its chunk of each shard and asks in every chunk of its home shard
-    every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    asking = sized.withColumn("to", F.explode(every)).withColumn("stored", F.col("to") == F.col("chunk"))
-    asking = asking.join(lists, "g").select(*place, "to", "g", "mult", "unit", "home", "stored", "near")
-    found = materialize(asking.groupBy(*place, "to").applyInPandas(_search, "g long, links long, other long"), "found")
-    counts = found.where(F.col("other").isNull()).groupBy("g").agg(F.sum("links").alias("links"))
-    edges = found.where(F.col("other").isNotNull()).select(F.col("g").alias("a"), F.col("other").alias("b"))
+    known = vectors.sparkSession.sparkContext.broadcast(_pivots(reps))
+    counts, edges = _links(_stored(reps, known, False))
+    if short := _short(reps, known, counts):
+        again = reps.join(F.broadcast(vectors.sparkSession.createDataFrame(short, "label int, dim int")), ["label", "dim"])
+        more, further = _links(_stored(again, known, True))
+        counts = counts.join(again.select("g"), "g", "left_anti").unionByName(more)
+        edges = edges.unionByName(further)
     named = reps.select("g", "label", "h1", "h2", "mult", "least").join(counts, "g", "left")
     roots = connected_components(edges)
     named = named.join(roots, named["g"] == roots["node"], "left").withColumn("root", F.coalesce("root", "g"))

@@ -186,3 +186,35 @@ def test_robust_prune_keeps_the_nearest():
     lists = embedding_dedup.robust_prune(cos, 16, 48)
     np.fill_diagonal(cos, -1)
     assert all(len(n) <= 16 and cos[i].argmax() in n for i, n in enumerate(lists))
+
+
+def dense(n=6000, group=2500, noise=0.1, seed=3):
+    """A group of near copies around the threshold in one label of otherwise unlike vectors."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 64))
+    x[:group] = x[0] + r.normal(size=(group, 64)) * noise
+    return [(i, [float(v) for v in np.float32(x[i])], 0) for i in range(n)]
+
+
+def test_a_dense_group_over_many_pivots_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 30)  # 83 of 200 sampled pivots lie in the group
+    data = dense(noise=0.13)
+    m, component = brute_links(data)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    assert all(got[i].n_links <= m[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * m.sum() > 100_000
+    assert all(got[i].component_id == component[i] for i in got)
+
+
+def test_every_linked_query_asks_where_the_vector_is_stored():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 8)) + 2 * r.normal(size=8)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    pivots = embedding_dedup.thinned(x[:400])
+    assert 1 < len(pivots) < 400 and (pivots @ pivots.T - np.eye(len(pivots))).max() < embedding_dedup.SAME_PIVOT
+    row, pivot, home = embedding_dedup.shards_of(x, pivots, embedding_dedup.REACH)
+    stored = np.zeros((len(x), len(pivots)), bool)
+    stored[row, pivot] = True
+    nearest = np.zeros(len(x), int)
+    nearest[row[home]] = pivot[home]
+    assert stored[:, nearest].T[x @ x.T >= embedding_dedup.THRESHOLD].all() and home.sum() == len(x)
