@@ -61,7 +61,8 @@ class Similarity:
             above = max(low + 1, int(low * BAND))
             high = (above - 1) * 100 // self.percent
             d = self.most_apart(above - 1 + high)
-            out.append((low, high, max(d + 1, round(d / FILL))))
+            # a set of the largest size may differ from one of its own size, so block_keys asks for more blocks than d
+            out.append((low, high, max(self.most_apart(2 * high) + 1, round(d / FILL))))
             low = above
         return out
 
@@ -144,6 +145,7 @@ def block_keys(one: np.ndarray, how: Similarity, schemes: list[tuple[int, int, i
     for number, (low, high, blocks) in enumerate(schemes):
         if not low <= n <= high or not (d := how.apart_from_any(n, high)):  # sets that may not differ at all are one class already
             continue
+        assert blocks > d, (low, high, blocks, n, d)
         with np.errstate(over="ignore"):
             token = mix64(one + np.uint64(0x9E3779B97F4A7C15))
             block = (((token >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)

@@ -70,6 +70,25 @@ def test_every_linked_pair_shares_a_key():
                 assert keys[0] & keys[1] or not apart
 
 
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_all_sizes_up_to_sixty_share_a_key(k, percent):
+    how, r = jaccard_join.Similarity(k, percent), np.random.default_rng(9)
+    schemes = how.schemes(3000)
+    assert all(blocks > how.apart_from_any(n, high) for low, high, blocks in schemes for n in range(low, high + 1))
+    for m in range(1, 61):
+        for n in range(m, 61):
+            least = -(-percent * (m + n) // (100 + percent))  # shared tokens of a pair just linked
+            if least > m or m == n == least:
+                continue
+            for _ in range(4):
+                t = np.unique(r.integers(0, 2**63, m + n - least).astype(np.uint64))
+                r.shuffle(t)
+                a, b = np.sort(t[:m]), np.sort(t[m - least :])
+                assert len(a) == m and len(b) == n
+                one, two = ({int(x) for part in jaccard_join.block_keys(s, how, schemes) for x in part} for s in (a, b))
+                assert one & two, (m, n)
+
+
 @pytest.mark.parametrize("small", [1, 10, 1000])
 def test_left_over_pairs_are_compared_in_blocks(spark, monkeypatch, small):
     # without any round the exact comparison does all of it
