@@ -11,7 +11,8 @@ A shard larger than CHUNK is cut into chunks of stored vectors. Every chunk buil
 for its vectors; the lists of a vector from all its shards are united. A query then searches every chunk of its home shard:
 greedily from the chunk's medoid and from its own place in the graph, and from whatever it reaches the range is expanded over the
 united lists until no vector within the threshold is left to expand. Each chunk audits the recall of a fixed share of its
-queries against brute force and, below MIN_RECALL, searches again with wider lists. Reported links are cosines in double precision.
+queries, each on its own, against brute force. Where one is below MIN_RECALL, it searches again with wider lists, audits again and, where
+that fails too, compares all queries of the slice with the whole chunk. Reported links are cosines in double precision.
 
 Only counts and a spanning forest of links leave a chunk, never the pairs of a group. Pivots are bounded by MAX_PIVOTS
 whatever the data's size; chunks bound a task's memory whatever a shard's size.
@@ -288,6 +289,12 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"g": g, "near": [g[i] for i in both_ways(robust_prune(x @ x.T, DEGREE, CANDIDATES))]})
 
 
+def least_recall(found: np.ndarray, truth: np.ndarray) -> float:
+    """The worst share of its true links that a query has found; 1 where no query has any."""
+    n = truth.sum(1)
+    return float(((found & truth).sum(1)[n > 0] / n[n > 0]).min(initial=1.0))
+
+
 def _search(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts and forest links of one chunk's queries: g, links, other (null in a count row)."""
     stored, asked = frame[frame["stored"]].sort_values("g"), frame[frame["home"]].sort_values("g")
@@ -308,9 +315,12 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
         found = range_search(cos, lists, medoid, own, THRESHOLD)
         audit = np.arange(0, len(mine), AUDITED)
         truth = cos[audit] >= THRESHOLD
-        if (found[audit] & truth).sum() < MIN_RECALL * truth.sum():
+        truth[own[audit] >= 0, own[audit][own[audit] >= 0]] = False  # a vector that finds itself tells nothing
+        if least_recall(found[audit], truth) < MIN_RECALL:
             wide = wide or both_ways([np.union1d(a, b) for a, b in zip(lists, robust_prune(x @ x.T, 4 * DEGREE, 4 * CANDIDATES), strict=True)])
             found |= range_search(cos, wide, medoid, own, THRESHOLD)
+            if least_recall(found[audit], truth) < MIN_RECALL:
+                found = cos >= THRESHOLD
         placed = np.flatnonzero(own >= 0)
         found[placed, own[placed]] = False
         out.append(pd.DataFrame({"g": mine, "links": found @ mult, "other": pd.array([None] * len(mine), "Int64")}))

@@ -237,3 +237,25 @@ def test_every_linked_query_asks_where_the_vector_is_stored():
     nearest = np.zeros(len(x), int)
     nearest[row[home]] = pivot[home]
     assert stored[:, nearest].T[x @ x.T >= embedding_dedup.THRESHOLD].all() and home.sum() == len(x)
+
+
+def test_a_query_with_one_link_is_audited_on_its_own(monkeypatch):
+    import pandas as pd
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 64))
+    x[1] = x[0] + r.normal(size=64) * 0.05  # one link beside a group with many
+    x[100:] = x[100] + r.normal(size=(100, 64)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    search = embedding_dedup.range_search
+
+    def misses(cos, *rest):
+        found = search(cos, *rest)
+        found[0] = False
+        return found
+
+    monkeypatch.setattr(embedding_dedup, "range_search", misses)
+    frame = pd.DataFrame({"g": np.arange(200), "mult": 1, "unit": list(x), "home": True, "stored": True, "near": [np.arange(200)] * 200})
+    out = embedding_dedup._search(frame)
+    links = out[out["other"].isna()].set_index("g")["links"]
+    assert links[0] == 1 and links[1] == 1 and (links[100:] == 99).all() and not links[2:99].any()
