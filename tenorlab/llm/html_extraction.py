@@ -1,9 +1,10 @@
 """HTML main-text extraction with site template removal.
 
 Each page is parsed once into element trees. Elements that are never article text go by tag, name or hidden state. Where a page marks its
-main part (article or main elements), that part is the text. Where it marks none, the rest of the body counts, less the
-site's template: every element subtree outside a main part is hashed by structure and text, the hashes are counted in Spark
-by host and distinct page, and a subtree that recurs on many pages of its host is deleted.
+main part (article or main elements), that part counts, else the rest of the body. Either way it counts less the site's
+template: every block element's subtree in it is hashed by structure and text, the hashes are counted in Spark by host, and
+a subtree that recurs on many pages of its host is deleted. In a main part this takes a larger share of the pages, elements that are
+paragraphs of their own are never deleted, and a page never loses all of its text.
 
 The counts are pre-aggregated before their shuffle, so one host may hold any share of the pages; the html itself is
 never shuffled.
@@ -20,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenorlab.llm._common import materialize, read
+from tenorlab.llm._common import let, materialize, read
 
 #: A subtree goes when it is on at least so many pages of the host and on this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.3
+#: In a marked main part.
+MAIN_SHARE = 0.6
+#: Elements that a main part does not lose by themselves.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th caption figcaption".split())
 
 #: Kinds of elements and names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -170,18 +175,16 @@ class _Blocks:
                     todo.append(("text", c) if isinstance(c, str) else ("in", c))
 
 
-def subtree_hashes(node: Element, skip: list[Element]) -> dict[int, int]:
-    """id(element) -> hash of its tag, text and children, for block elements outside ``skip``; without text there is none."""
-    skipped, done, todo, keep = {id(s) for s in skip}, {}, [(node, False)], {}
+def subtree_hashes(node: Element, main: bool) -> dict[int, int]:
+    """id(element) -> hash of its tag, text and children, for block elements, in a main part without PROSE; without text there is none."""
+    done, todo, keep = {}, [(node, False)], {}
     while todo:
         x, ready = todo.pop()
-        if id(x) in skipped:
-            done[id(x)] = (b"", True)
-        elif not ready:
+        if not ready:
             todo.append((x, True))
             todo += [(c, False) for c in x.children if not isinstance(c, str)]
         else:
-            h, empty, holds = blake2b(x.tag.encode(), digest_size=8), True, False
+            h, empty = blake2b(x.tag.encode(), digest_size=8), True
             for c in x.children:
                 if isinstance(c, str):
                     words = " ".join(c.split())
@@ -190,49 +193,70 @@ def subtree_hashes(node: Element, skip: list[Element]) -> dict[int, int]:
                 else:
                     inner, blank = done.pop(id(c))
                     h.update(b"\1" + inner)
-                    holds, empty = holds or not inner, empty and blank
-            done[id(x)] = (b"" if holds else h.digest(), empty)  # what holds the main part is no template
-            if not holds and not empty and x.tag not in INLINE and x.tag not in ("html", "body", "#root"):
+                    empty = empty and blank
+            done[id(x)] = (h.digest(), empty)
+            if not empty and x.tag not in INLINE and x.tag not in ("html", "body", "#root") and not (main and x.tag in PROSE):
                 keep[id(x)] = int.from_bytes(h.digest(), "big", signed=True)
     return keep
 
 
-def read_page(page: str | None) -> tuple[list[tuple[str, list[int]]], bool, list[int]]:
-    """Blocks of the page, whether it marks its main part, and the distinct subtree hashes outside that."""
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def text_around(blocks: list[tuple[str, list[int]]]) -> tuple[int, dict[int, int]]:
+    """A hash of the page's blocks, and for each subtree one of the blocks outside it."""
+    whole, within = 0, {}
+    for text, around in blocks:
+        h = int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+        whole += h
+        for s in set(around):
+            within[s] = within.get(s, 0) + h
+    return _signed(whole), {s: _signed(whole - h) for s, h in within.items()}
+
+
+def read_page(page: str | None) -> tuple[list[tuple[str, list[int]]], bool, tuple[int, dict[int, int]]]:
+    """Blocks of the page, whether it marks its main part, and the hashes of ``text_around``."""
     root = parse(page or "")
     mains = _mains(root)
-    hashes = subtree_hashes(root, mains)
     blocks = _Blocks()
     for part in mains or [root]:
-        blocks.add(part, {} if mains else hashes, [])
-    blocks.end([])
-    return blocks.out, bool(mains), sorted(set(hashes.values()))
+        blocks.add(part, subtree_hashes(part, bool(mains)), [])
+        blocks.end([])
+    return blocks.out, bool(mains), text_around(blocks.out)
 
 
-_PARSED = "page_id long, url string, host string, text string, blocks array<struct<text:string,around:array<bigint>>>, subtrees array<bigint>"
+_PARSED = (
+    "page_id long, url string, host string, marked boolean, text string, blocks array<struct<text:string,around:array<bigint>>>, "
+    "whole bigint, subtrees array<struct<subtree:bigint,rest:bigint>>"
+)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+    seen = pa.list_(pa.struct([("subtree", pa.int64()), ("rest", pa.int64())]))
     for batch in batches:
-        text, blocks, subtrees, host = [], [], [], []
+        host, marks, text, blocks, wholes, subtrees = [], [], [], [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            found, marked, hashes = read_page(page)
-            text.append("\n".join(t for t, _ in found) if marked else None)
-            blocks.append(None if marked else [{"text": t, "around": a} for t, a in found])
-            subtrees.append(hashes)
+            found, marked, (whole, rests) = read_page(page)
+            # a page without any subtree that may go is finished
+            text.append(None if rests else "\n".join(t for t, _ in found))
+            blocks.append([{"text": t, "around": a} for t, a in found] if rests else None)
+            subtrees.append([{"subtree": s, "rest": r} for s, r in rests.items()])
+            wholes.append(whole)
+            marks.append(marked)
             host.append(re.sub(r"^[a-zA-Z][\w+.-]*:", "", url or "").lstrip("/").split("/")[0].split("?")[0].split("#")[0].lower())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(host, pa.string()), pa.array(text, pa.string()), pa.array(blocks, kind), pa.array(subtrees, pa.list_(pa.int64()))],
-            ["page_id", "url", "host", "text", "blocks", "subtrees"],
-        )
+        columns = [pa.array(host, pa.string()), pa.array(marks, pa.bool_()), pa.array(text, pa.string()), pa.array(blocks, kind), pa.array(wholes, pa.int64()), pa.array(subtrees, seen)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "marked", "text", "blocks", "whole", "subtrees"])
 
 
 def site_templates(parsed: DataFrame) -> DataFrame:
-    """host, subtree: subtrees that recur on many pages of their host."""
+    """host, subtree, in_main: subtrees that recur on many different pages of their host, and whether on enough for a main part."""
     pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
-    return seen.join(pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "subtree")
+    around = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.subtree")
+    seen = around.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    often = lambda share: F.col("n") >= share * F.col("pages")
+    return seen.join(pages, "host").where(often(MIN_SHARE)).select("host", "subtree", often(MAIN_SHARE).alias("in_main"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -243,9 +267,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     parsed = materialize(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parsed, _PARSED).withColumn("rid", F.monotonically_increasing_id()), "pages")
     open_ = parsed.where(F.col("blocks").isNotNull())
-    around = open_.select("rid", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
-    gone = around.join(site_templates(parsed), ["host", "subtree"]).groupBy("rid").agg(F.collect_set("subtree").alias("gone"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.expr("cast(array() as array<bigint>)"))))
+    around = open_.select("rid", "host", "marked", F.explode("subtrees.subtree").alias("subtree"))
+    templates = around.join(site_templates(parsed), ["host", "subtree"]).where(~F.col("marked") | F.col("in_main"))
+    gone = templates.groupBy("rid").agg(F.collect_set("subtree").alias("gone"))
+    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.expr("cast(array() as array<bigint>)"))))
+    kept = let(left, lambda x: F.when(F.col("marked") & (F.size(x) == 0), F.col("blocks")).otherwise(x))
     joined = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     rest = open_.join(gone, "rid", "left").select("page_id", "url", joined.alias("text"))
     out = parsed.where(F.col("blocks").isNull()).select("page_id", "url", "text").unionByName(rest)

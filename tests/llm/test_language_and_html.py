@@ -86,6 +86,20 @@ def test_recurring_subtrees_of_a_host_go(spark):
     assert len(got) == len(data) and html_extraction.extract_text(frame.limit(0)).count() == 0
 
 
+def extracted(spark, data):
+    return {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+
+
+def test_recurring_boxes_in_marked_parts_go(spark):
+    box = '<div class="box"><p>Written by our desk</p></div>'
+    data = [(i, f"https://a.example.com/{i}", f"<article><h1>Head {i}</h1>{box}<p>Same</p><p>Text {i}</p></article>") for i in range(8)]
+    data += [(10, "https://a.example.com/10", f"<article>{box}</article>"), (11, "https://b.example.com/1", f"<article>{box}<p>y</p></article>")]
+    data += [(20 + i, f"https://c.example.com/{i}", f"<article><p>Text {i}</p>{box if i < 5 else ''}</article>") for i in range(10)]
+    got = extracted(spark, data)
+    assert got[3] == "Head 3\nSame\nText 3" and got[10] == "Written by our desk" and got[11] == "Written by our desk\ny"
+    assert got[21] == "Text 1\nWritten by our desk"  # on half of the pages only
+
+
 def test_pages_of_the_tables(spark, sf):
     got = QUERIES["op9_html_extraction"](spark, sf).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
