@@ -6,6 +6,8 @@ template: every block element's subtree in it is hashed by structure and text, t
 a subtree that recurs on many pages of its host is deleted. In a main part this takes a larger share of the pages, elements that are
 paragraphs of their own are never deleted, and a page never loses all of its text.
 
+A subtree is counted once for every different text of the page around it, so copies of one page are one page.
+
 The counts are pre-aggregated before their shuffle, so one host may hold any share of the pages; the html itself is
 never shuffled.
 """
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from tenorlab.llm._common import let, materialize, read
 
-#: A subtree goes when it is on at least so many pages of the host and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.3
+#: A subtree goes when it is on at least so many different pages of the host and on this share of them, or on MOST_PAGES.
+MIN_PAGES, MIN_SHARE, MOST_PAGES = 5, 0.3, 200
 #: In a marked main part.
-MAIN_SHARE = 0.6
+MAIN_SHARE, MAIN_MOST_PAGES = 0.6, 1000
 #: Elements that a main part does not lose by themselves.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr td th caption figcaption".split())
 
@@ -204,15 +206,16 @@ def _signed(x: int) -> int:
     return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def text_around(blocks: list[tuple[str, list[int]]]) -> tuple[int, dict[int, int]]:
-    """A hash of the page's blocks, and for each subtree one of the blocks outside it."""
-    whole, within = 0, {}
+def text_around(blocks: list[tuple[str, list[int]]], marked: bool) -> tuple[int, dict[int, int]]:
+    """A hash of the page's blocks, and for each subtree one of the blocks outside it. A subtree with all of a main part's blocks never goes and has none."""
+    whole, within, count = 0, {}, {}
     for text, around in blocks:
         h = int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
         whole += h
         for s in set(around):
             within[s] = within.get(s, 0) + h
-    return _signed(whole), {s: _signed(whole - h) for s, h in within.items()}
+            count[s] = count.get(s, 0) + 1
+    return _signed(whole), {s: _signed(whole - h) for s, h in within.items() if not (marked and count[s] == len(blocks))}
 
 
 def read_page(page: str | None) -> tuple[list[tuple[str, list[int]]], bool, tuple[int, dict[int, int]]]:
@@ -223,7 +226,7 @@ def read_page(page: str | None) -> tuple[list[tuple[str, list[int]]], bool, tupl
     for part in mains or [root]:
         blocks.add(part, subtree_hashes(part, bool(mains)), [])
         blocks.end([])
-    return blocks.out, bool(mains), text_around(blocks.out)
+    return blocks.out, bool(mains), text_around(blocks.out, bool(mains))
 
 
 _PARSED = (
@@ -252,11 +255,11 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def site_templates(parsed: DataFrame) -> DataFrame:
     """host, subtree, in_main: subtrees that recur on many different pages of their host, and whether on enough for a main part."""
-    pages = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    around = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.subtree")
+    pages = parsed.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    around = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.subtree", "s.rest").distinct()
     seen = around.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
-    often = lambda share: F.col("n") >= share * F.col("pages")
-    return seen.join(pages, "host").where(often(MIN_SHARE)).select("host", "subtree", often(MAIN_SHARE).alias("in_main"))
+    often = lambda share, most: F.col("n") >= F.least(share * F.col("pages"), F.lit(most))
+    return seen.join(pages, "host").where(often(MIN_SHARE, MOST_PAGES)).select("host", "subtree", often(MAIN_SHARE, MAIN_MOST_PAGES).alias("in_main"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

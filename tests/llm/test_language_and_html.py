@@ -100,6 +100,21 @@ def test_recurring_boxes_in_marked_parts_go(spark):
     assert got[21] == "Text 1\nWritten by our desk"  # on half of the pages only
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = lambda own: f"<body><div>Welcome</div><div><p>{own}</p></div></body>"
+    data = [(i, f"https://a.example.com/{i}", page("One story" if i < 6 else f"Text {i}")) for i in range(14)]
+    data += [(20 + i, f"https://b.example.com/{i}", "<body><div>Only page</div></body>") for i in range(6)]
+    got = extracted(spark, data)
+    assert {got[i] for i in range(6)} == {"One story"} and got[9] == "Text 9" and got[22] == "Only page"
+
+
+def test_a_part_of_a_large_host_has_a_menu(spark):
+    menu = "<div><p>Sports</p><p>Weather</p></div>"
+    data = [(i, f"https://a.example.com/{i}", f"<body>{menu if i < 220 else ''}<p>Text {i}</p></body>") for i in range(900)]
+    got = extracted(spark, data)
+    assert got[7] == "Text 7" and got[800] == "Text 800"
+
+
 def test_pages_of_the_tables(spark, sf):
     got = QUERIES["op9_html_extraction"](spark, sf).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
