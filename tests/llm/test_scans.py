@@ -108,6 +108,14 @@ def test_quality_distance_matches_numpy_and_rejects_foreign_text(spark):
     assert {x.doc_id for x in quality_rules.keep_good(frame).collect()} == set(range(20))
 
 
+def test_the_pipeline_drops_prose_full_of_symbols(spark):
+    normal = [(i, " ".join((words(i, 100) + ", the of and to. In is").split()), "en") for i in range(40)]
+    junk = [(100 + i, " ".join(f"{w} {'#$%&*'[i % 5] * 6}" for w in words(100 + i, 100).split()), "en") for i in range(3)]
+    frame = spark.createDataFrame(normal + junk, "doc_id long, text string, lang string")
+    assert not any(r.base_failed or r.distance > quality_rules.MAX_DISTANCE for r in quality_rules.apply_rules(frame).collect())
+    assert {r.doc_id for r in quality_rules.keep_good(frame).collect()} == set(range(40))
+
+
 def test_without_labelled_text_the_base_rules_decide(spark):
     frame = spark.createDataFrame([(1, words(1, 100), None), (2, "x", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: (r.kept, r.distance) for r in quality_rules.apply_rules(frame).collect()} == {1: (True, None), 2: (False, None)}
