@@ -5,16 +5,18 @@ distance of two sketches never exceeds the symmetric difference of the sets, and
 differ in at most d = (1 - t)(a + b) / (1 + t) tokens.
 
 Sizes fall into bands; a band's scheme takes the sizes that can meet a member of the band. Its sketch is cut into B > d blocks, so two
-linked sets agree in at least B - d blocks (pigeonhole). A block's key is the XOR of its flipped bits' numbers. A set uses its fullest
-blocks: all that hold t tokens or more, for the largest t that leaves more than d of them. Blocks that agree hold the same
-tokens, so of any B - d that agree one at least holds t, for the larger t of the two sets, and both use it. Empty blocks,
-alike in all documents, and blocks of one common shingle thus stay out of the keys.
-
-Sets that share a key are candidates. Equal sets are one class from the start. In each round a key's sets meet the key's
-centre, not each other: a candidate must pass the bound of two dense parity sketches and then the exact count over both whole texts.
-Verified links join components; a key whose sets are in one component is finished, since a further link in it
-changes no component. What is left over after the rounds, sets of different components that share a key, is compared
-pair by pair in blocks, so no link between components is lost.
+linked sets agree in at least B - d blocks (pigeonhole). A block's key is the XOR of its flipped bits' numbers. A set uses its d + 1
+fullest blocks, ties by block number: of the blocks that agree, the one that comes first in that order has only blocks that differ
+before it, d at most, in either set. Empty blocks, alike in all documents, and blocks of one common shingle thus stay out of the keys.
+
+Sets that share a key are candidates. Equal sets are one class from the start. First a key's sets meet only the key's centre: a candidate
+must pass the bound of two dense parity sketches and then the exact count over both whole sets. Verified links join components; a key
+whose sets are in one component is finished, since a further link in it changes no component. Of the keys that are left, small ones are
+compared pair by pair. A large one is settled by what its sets differ in from its centre: of two sets x and y that link, where x
+does not link with centre c, the differences x ^ c and y ^ c share at least (|x ^ c| + |y ^ c| - d) / 2 tokens, at least one. So each set
+sends, rarest first, as many tokens of its difference as a partner must share one of, and these tokens are the next
+round's keys. A key's centre is in none of them, so every round shrinks the groups; copies edited at random share few such tokens.
+No pair of sets is formed because of its key's size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,26 +24,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenorlab.llm._common import lower_ascii, materialize, mix64, read, word_hashes
+from tenorlab.llm._common import drop_table, lower_ascii, materialize, mix64, read, word_hashes
 from tenorlab.llm.components import connected_components
 
 #: Bytes of text handled at once.
 SLICE = 1 << 21
 #: Ratio of a band's ends; d over the number of blocks.
 BAND, FILL = 1.3, 0.78
-ROUNDS = 2
-#: Pairs a set and key has on average, up to which no further round is needed.
-FEW_PAIRS = 3
-#: In the last, exact comparison: sets up to which a key's pairs are simply joined, and sets of a larger key that meet in one task.
-SMALL_KEY, CHUNK = 32, 256
-#: A pair of sets that shares several large keys is reported at the lowest one, as far as their so many lowest keys tell.
-LOWEST_KEYS = 32
+#: Sets up to which a key's pairs are simply joined.
+SMALL_KEY = 16
 
 
 class Similarity:
@@ -54,18 +50,22 @@ class Similarity:
         """Largest symmetric difference of two linked sets whose sizes sum to ``total``."""
         return (100 - self.percent) * total // (100 + self.percent)
 
-    def schemes(self, largest: int) -> list[tuple[int, int, int]]:
-        """(least size, largest size, blocks) of every band up to ``largest``."""
-        out, low = [], 1
-        while low <= largest:
+    def schemes(self, n: int) -> list[tuple[int, int, int, int]]:
+        """(number, least size, largest size, blocks) of every band's scheme that takes sets of size n."""
+        out, low, number = [], 1, 0
+        while low <= n:
             above = max(low + 1, int(low * BAND))
             high = (above - 1) * 100 // self.percent
             d = self.most_apart(above - 1 + high)
-            # a set of the largest size may differ from one of its own size, so block_keys asks for more blocks than d
-            out.append((low, high, max(self.most_apart(2 * high) + 1, round(d / FILL))))
-            low = above
+            if n <= high:
+                # a set of the largest size may differ from one of its own size, so block_keys asks for more blocks than d
+                out.append((number, low, high, max(self.most_apart(2 * high) + 1, round(d / FILL))))
+            low, number = above, number + 1
         return out
 
+    def sizes_may_link(self, n: int, m: int) -> bool:
+        return 100 * min(n, m) >= self.percent * max(n, m)
+
     def apart_from_any(self, n: int, high: int) -> int:
         """Largest symmetric difference of a set of size n and a linked one of at most ``high``."""
         return self.most_apart(n + min(high, n * 100 // self.percent))
@@ -139,52 +139,61 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_fold(np.frombuffer(a, np.uint8), size) ^ _fold(np.frombuffer(b, np.uint8), size)).sum())
 
 
-def block_keys(one: np.ndarray, how: Similarity, schemes: list[tuple[int, int, int]]) -> list[np.ndarray]:
-    """The keys of a set in each scheme of its size."""
+def block_keys(one: np.ndarray, how: Similarity) -> list[np.ndarray]:
+    """The keys of a set in each scheme of its size: those of its d + 1 fullest blocks."""
     out, n = [], len(one)
-    for number, (low, high, blocks) in enumerate(schemes):
-        if not low <= n <= high or not (d := how.apart_from_any(n, high)):  # sets that may not differ at all are one class already
-            continue
-        assert blocks > d, (low, high, blocks, n, d)
-        with np.errstate(over="ignore"):
-            token = mix64(one + np.uint64(0x9E3779B97F4A7C15))
+    if not n or not how.apart_from_any(n, n * 100 // how.percent):  # sets that may not differ at all are one class already
+        return out
+    with np.errstate(over="ignore"):
+        token = mix64(one + np.uint64(0x9E3779B97F4A7C15))
+        mixed = mix64(token)
+        for number, low, high, blocks in how.schemes(n):
+            d = how.apart_from_any(n, high)
+            assert blocks > d, (low, high, blocks, n, d)
             block = (((token >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
             held = np.bincount(block, minlength=blocks)
-            least = int(np.partition(held, blocks - d - 1)[blocks - d - 1])  # d + 1 blocks hold so many or more
+            used = np.argsort(-held, kind="stable")[: d + 1]
             order = np.argsort(block, kind="stable")
             parity = np.zeros(blocks, np.uint64)
             full = np.flatnonzero(held)
-            parity[full] = np.bitwise_xor.reduceat(mix64(token[order]), np.concatenate([[0], np.cumsum(held[full])[:-1]]))
-            used = np.flatnonzero(held >= least)
+            parity[full] = np.bitwise_xor.reduceat(mixed[order], np.concatenate([[0], np.cumsum(held[full])[:-1]]))
             out.append(mix64(parity[used] + mix64(used.astype(np.uint64) + np.uint64(number << 32))))
     return out
 
 
 def profiles(docs: DataFrame, how: Similarity) -> DataFrame:
-    """doc_id, n, c1, c2 (the class of the set), sketch for every row."""
+    """doc_id, h (names the text under its id), n, c1, c2 (128 bits that name the set) for every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, c1, c2, sketch = [], [], [], []
-            for one in shingle_sets(batch.column(1).to_pylist(), how.k):
+            n, c1, c2 = [], [], []
+            for one in shingle_sets(batch.column(2).to_pylist(), how.k):
                 a, b = _class_of(one)
                 n.append(len(one))
                 c1.append(a)
                 c2.append(b)
-                sketch.append(dense_sketch(one))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), pa.array(sketch, pa.binary())], ["doc_id", "n", "c1", "c2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (n, c1, c2))], ["doc_id", "h", "n", "c1", "c2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n long, c1 long, c2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text").mapInArrow(work, "doc_id long, h long, n long, c1 long, c2 long")
 
 
-def keys(docs: DataFrame, how: Similarity, largest: int) -> DataFrame:
-    """key, c1 of every set; a task sends a class once as long as it remembers it."""
-    schemes = how.schemes(largest)
+def keys(docs: DataFrame, how: Similarity) -> DataFrame:
+    """key, c1, salt of every set; a task sends a class once as long as it remembers it.
+
+    salt is 0 but for rows whose key two other classes of the same batch hold: that key is shared, whatever other tasks hold.
+    """
+
+    def emit(parts: list[np.ndarray], owner: list[np.ndarray]) -> pa.RecordBatch:
+        key, c = np.concatenate(parts).view(np.int64), np.concatenate(owner)
+        order = np.argsort(key, kind="stable")
+        ahead = np.zeros(len(key), bool)
+        ahead[order[2:]] = key[order[2:]] == key[order[:-2]]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(np.where(ahead, c | 1, 0))], ["key", "c1", "salt"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            parts, owner = [], []
+            parts, owner, size = [], [], 0
             for one in shingle_sets(batch.column(0).to_pylist(), how.k):
                 c = _class_of(one)[0]
                 if c in seen or not len(one):
@@ -192,179 +201,186 @@ def keys(docs: DataFrame, how: Similarity, largest: int) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
-                for k in block_keys(one, how, schemes):
-                    parts.append(k)
-                    owner.append(np.full(len(k), c, np.int64))
-                if len(parts) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "c1"])
-                    parts, owner = [], []
+                for k in block_keys(one, how):
+                    parts.append(np.unique(k))
+                    owner.append(np.full(len(parts[-1]), c, np.int64))
+                    size += len(k)
+                if size > 1 << 20:
+                    yield emit(parts, owner)
+                    parts, owner, size = [], [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(owner))], ["key", "c1"])
+                yield emit(parts, owner)
 
-    return docs.select("text").mapInArrow(work, "key long, c1 long")
+    return docs.select("text").mapInArrow(work, "key long, c1 long, salt long")
 
 
 def shared_keys(found: DataFrame) -> DataFrame:
-    """key, c1 of the keys that at least two classes share."""
-    w = Window.partitionBy("key")
-    return found.withColumn("lo", F.min("c1").over(w)).withColumn("hi", F.max("c1").over(w)).where(F.col("lo") != F.col("hi")).select("key", "c1").distinct()
+    """key, c1 of the keys that at least two classes share. Rows known to share theirs are dealt by their salt, so a window holds two rows of a key and batch."""
+    w = Window.partitionBy("key", "salt")
+    shared = found.withColumn("lo", F.min("c1").over(w)).withColumn("hi", F.max("c1").over(w)).where((F.col("salt") != 0) | (F.col("lo") != F.col("hi")))
+    return shared.select("key", "c1").distinct()
+
+
+def token_sets(docs: DataFrame, wanted: DataFrame, how: Similarity) -> DataFrame:
+    """g, n, sketch, tokens of the wanted classes (g, n, doc_id, h, c1, c2): one text of each is read again."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch, tokens, ok = [], [], []
+            c1, c2 = batch.column("c1").to_pylist(), batch.column("c2").to_pylist()
+            for one, *c in zip(shingle_sets(batch.column("text").to_pylist(), how.k), c1, c2, strict=True):
+                ok.append(_class_of(one) == tuple(c))
+                sketch.append(dense_sketch(one))
+                tokens.append(one.tobytes())
+            out = pa.RecordBatch.from_arrays([batch.column("g"), batch.column("n"), pa.array(sketch, pa.binary()), pa.array(tokens, pa.binary())], ["g", "n", "sketch", "tokens"])
+            yield out.filter(pa.array(ok, pa.bool_()))
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("tid"), F.xxhash64("text").alias("th"), "text")
+    # a shuffle of the texts at any size: how many classes share a key is not bounded
+    one = texts.join(wanted.hint("merge"), texts["tid"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["h"]))
+    one = one.select("g", "n", "c1", "c2", "text").dropDuplicates(["g"])
+    return one.mapInArrow(work, "g long, n long, sketch binary, tokens binary")
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, how: Similarity) -> DataFrame:
-    """a, b: the pairs of classes that reach the similarity, by sketch bound and then by count over both whole texts."""
-    k, percent = how.k, how.percent
+
+def verify(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """a, b: the pairs of classes that reach the similarity, by sketch bound and then by count over both whole sets."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m, x, y = (batch.column(c).to_pylist() for c in ("an", "bn", "asketch", "bsketch"))
-            ok = [100 * min(i, j) >= percent * max(i, j) and hamming(p, q) <= (100 - percent) * (i + j) // (100 + percent) for i, j, p, q in zip(n, m, x, y, strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "aid", "bid"])
-
-    side = lambda s: classes.select(F.col("c1").alias(s), F.col("n").alias(f"{s}n"), F.col("sketch").alias(f"{s}sketch"), F.col("doc_id").alias(f"{s}id"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "aid", "bid", "an", "bn", "asketch", "bsketch").mapInArrow(near, "a long, b long, aid long, bid long")
-    close = materialize(close, "close")
+            ok = [how.sizes_may_link(i, j) and hamming(p, q) <= how.most_apart(i + j) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingle_sets(left, k), shingle_sets(right, k), strict=True):
-                # an id that several rows share brings several texts: only those of the classes count
-                if _class_of(x)[0] != a or _class_of(y)[0] != b:
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            each = zip(batch.column("atokens").to_pylist(), batch.column("btokens").to_pylist(), strict=True)
+            ok = [len(d) <= how.most_apart((len(x) + len(y)) // 8) for x, y in each for d in (difference(x, y),)]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    text = lambda s: docs.select(F.col("doc_id").cast("long").alias(f"t{s}"), F.col("text").alias(f"{s}text"))
-    a, b = text("a"), text("b")
-    full = close.join(a, close["aid"].eqNullSafe(a["ta"])).join(b, close["bid"].eqNullSafe(b["tb"]))
-    return full.select("a", "b", "atext", "btext").mapInArrow(exact, "a long, b long").distinct()
-
+    side = lambda s, *columns: sets.select(F.col("g").alias(s), *[F.col(c).alias(s + c) for c in columns])
+    close = materialize(pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").mapInArrow(near, "a long, b long"), "close")
+    return close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").mapInArrow(exact, "a long, b long")
 
-def _centre(members: DataFrame, turn: int) -> DataFrame:
-    """c1, n, m, mn: each key's sets paired with the key's centre, another one in every round."""
-    rank = F.struct(F.xxhash64("c1", F.lit(turn)).alias("h"), F.col("c1").alias("c"), "n")
-    centres = members.groupBy("key").agg(F.min(rank).alias("centre"))
-    met = members.select("key", "c1", "n").join(centres, "key")
-    return met.select("c1", "n", F.col("centre.c").alias("m"), F.col("centre.n").alias("mn")).where(F.col("c1") != F.col("m"))
 
+def difference(x: bytes, y: bytes) -> np.ndarray:
+    """The tokens that one of two sets holds."""
+    return np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
 
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
+def _centre(members: DataFrame) -> DataFrame:
+    """g, m: each key's sets paired with the key's centre."""
+    centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("g").alias("r"), F.col("g").alias("m"))).alias("centre"))
+    return members.select("key", "g").join(centres, "key").select("g", F.col("centre.m").alias("m")).where(F.col("g") != F.col("m")).distinct()
 
-def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame | None:
-    """node, root: the components of the classes that link with another one; None if no key is shared."""
-    largest = classes.agg(F.max("n")).first()[0] or 0
-    sizes = classes.groupBy("c1").agg(F.min("n").alias("n"))
-    members = materialize(shared_keys(keys(docs, how, largest)).join(sizes, "c1").select("key", "c1", "n"), "members")
-    alike = lambda a, b: 100 * F.least(a, b) >= how.percent * F.greatest(a, b)
-    links, roots, tried = None, None, None
-    for turn in range(ROUNDS + 1):
-        if roots is not None:  # keys whose sets are all in one component are finished
-            at = roots.select(F.col("node").alias("c1"), "root")
-            placed = materialize(members.select("key", "c1", "n").join(at, "c1", "left").withColumn("root", F.coalesce("root", "c1")), "placed")
-            mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-            members = materialize(placed.join(mixed, "key", "left_semi"), "members")
-        # all pairs at once where keys are so small that it costs no more than centres, or after the last round
-        last = turn == ROUNDS or _all_pairs(members) <= FEW_PAIRS * max(1, members.count())
-        if last:
-            pairs = _left_over(members, classes, how)
-        else:
-            pairs = _centre(members, turn).where(alike(F.col("n"), F.col("mn"))).select(*_ordered(F.col("c1"), F.col("m"))).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = materialize(verify(pairs, classes, docs, how), "links") if pairs.limit(1).count() else pairs
-        if fresh.limit(1).count():
-            links = fresh if links is None else links.unionByName(fresh)
-            roots = connected_components(links)
-        if last:
-            return roots
 
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-def _all_pairs(members: DataFrame) -> float:
-    """How many pairs of sets share a key, counted once a key."""
-    n = members.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return n.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
 
+def apart(met: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """m, g, far (it does not link with centre m), delta (size of the difference), short, long, tokens of the difference.
 
-def _left_over(members: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame:
-    """a, b: all pairs of sets of different components that share a key and pass the sketch bound, or share a small key.
+    short: how many of the tokens hold one that any partner shares which is far itself. long: the same for any partner.
+    """
 
-    A large key's sets are compared a chunk against a chunk on their sketches, inside a task, so that only pairs that may link leave it.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far, delta, short, long_, tokens = [], [], [], [], []
+            for x, c in zip(batch.column("gtokens").to_pylist(), batch.column("mtokens").to_pylist(), strict=True):
+                d, n, m = difference(x, c), len(x) // 8, len(c) // 8
+                # a far partner's difference is over most_apart(its size + m); that bound's growth from m to n is given up
+                given_up = -(-(100 - how.percent) * max(0, n - m) // (100 + how.percent))
+                far.append(len(d) > how.most_apart(n + m))
+                delta.append(len(d))
+                short.append(len(d) - max(1, -(-(len(d) + 1 - given_up) // 2)) + 1)
+                long_.append(len(d) - max(1, -(-(len(d) - how.most_apart(n + m)) // 2)) + 1)
+                tokens.append(d.view(np.int64))
+            data = [pa.array(far, pa.bool_()), *(pa.array(v, pa.int64()) for v in (delta, short, long_)), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("g"), *data], ["m", "g", "far", "delta", "short", "long", "tokens"])
+
+    side = lambda s: sets.select(F.col("g").alias(s), F.col("tokens").alias(s + "tokens"))
+    return met.join(side("g"), "g").join(side("m"), "m").mapInArrow(work, "m long, g long, far boolean, delta long, short long, long long, tokens array<long>")
+
+
+def _next_keys(differ: DataFrame) -> DataFrame:
+    """key, g, full, far: the rarest tokens of every set's difference from its centre, as keys.
+
+    A pair is needed where both rows are full, or one is full and not far and the other far: two far sets share a token of their
+    short parts, a far and a linked one a token of the first's long and of the second's short part, and two linked sets are one component.
     """
-    if "root" not in members.columns:
-        members = members.withColumn("root", F.col("c1"))
-    percent = how.percent
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialize(members.join(sizes, "key"), "sized")
-    small = sized.where(F.col("size") <= SMALL_KEY)
-    one, two = (small.select("key", F.col("c1").alias(c), F.col("n").alias(f"{c}n"), F.col("root").alias(f"{c}r")) for c in ("a", "b"))
-    alike = 100 * F.least("an", "bn") >= percent * F.greatest("an", "bn")
-    few = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & alike).select("a", "b")
-
-    sketches = classes.groupBy("c1").agg(F.first("sketch").alias("sketch"))
-    large = sized.where(F.col("size") > SMALL_KEY).join(sketches, "c1").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    large = large.withColumn("chunk", F.pmod(F.xxhash64("c1"), F.col("chunks")).cast("int"))
-    lowest = large.groupBy("c1").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOWEST_KEYS).alias("lowest"))
-    large = large.join(lowest, "c1")
-    data = [F.col(c) for c in ("c1", "n", "root", "sketch", "lowest")]
-    left = large.select("key", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("j"), F.lit(True).alias("left"), *data)
-    right = large.select("key", F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"), F.col("chunk").alias("j"), F.lit(False).alias("left"), *data)
-
-    def near(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = min(map(len, frame["sketch"]))
-        folded = np.stack([_fold(np.frombuffer(x, np.uint8), bits) for x in frame["sketch"]])
-        n, root, c1 = (frame[c].to_numpy() for c in ("n", "root", "c1"))
-        x, y = np.flatnonzero(frame["left"]), np.flatnonzero(~frame["left"])
-        key = int(frame["key"].iloc[0])
-        lower = np.full((len(frame), LOWEST_KEYS), key)  # each set's lowest keys, as far as they are lower than this one
-        for r, keys_ in enumerate(frame["lowest"]):
-            lower[r, : len(keys_)] = np.minimum(keys_, key)
-        out = []
-        for at in range(0, len(x), 16):
-            p = x[at : at + 16]
-            total = n[p][:, None] + n[y][None, :]
-            apart = np.bitwise_count(folded[p][:, None, :] ^ folded[y][None, :, :]).sum(2, dtype=np.int64)
-            ok = (apart <= (100 - percent) * total // (100 + percent)) & (root[p][:, None] != root[y][None, :])
-            ok &= 100 * np.minimum(n[p][:, None], n[y][None, :]) >= percent * np.maximum(n[p][:, None], n[y][None, :])
-            i, j = np.nonzero(ok)
-            # a pair that shares a lower key is met there
-            p_low, y_low = lower[p[i]], lower[y[j]]
-            met = ((p_low[:, :, None] == y_low[:, None, :]) & (p_low < key)[:, :, None]).any((1, 2))
-            i, j = i[~met], j[~met]
-            out.append(np.stack([c1[p[i]], c1[y[j]]], 1))
-        both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": both.min(1, initial=2**63 - 1), "b": both.max(1, initial=-(2**63))})
-
-    many = left.unionByName(right).groupBy("key", "i", "j").applyInPandas(near, "a long, b long").where(F.col("a") != F.col("b"))
-    return few.union(many).distinct()
+    each = differ.select("m", "g", "far", "delta", "short", "long", F.explode("tokens").alias("token"))
+    held = each.groupBy("m", "token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    ranked = each.join(held, ["m", "token"]).groupBy("m", "g").agg(
+        F.first("far").alias("far"), F.first("delta").alias("delta"), F.first("short").alias("short"), F.first("long").alias("long"),
+        F.array_sort(F.collect_list(F.struct("held", "token"))).alias("tokens"),
+    )
+    # tokens that one set alone holds come first and meet none
+    place = F.col("delta") - F.size("tokens") + F.col("pos")
+    rows = ranked.select("m", "g", "far", "delta", "short", "long", "tokens", F.posexplode("tokens").alias("pos", "t"))
+    rows = rows.select(F.xxhash64("m", "t.token").alias("key"), "g", (place < F.col("short")).alias("full"), "far", (place < F.col("long")).alias("within"))
+    return rows.where(F.col("full") | (F.col("far") & F.col("within"))).select("key", "g", "full", "far")
+
+
+def _unfinished(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, g, full, far, root, size of the keys whose sets are in several components and hold a pair that is needed."""
+    at = roots.select(F.col("node").alias("g"), "root")
+    placed = materialize(members.join(at, "g", "left").withColumn("root", F.coalesce("root", "g")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("full").alias("some"), F.count(F.lit(1)).alias("size"))
+    return placed.join(mixed.where("some AND lo != hi").select("key", "size"), "key")
+
+
+def _small_pairs(members: DataFrame) -> DataFrame:
+    """a, b: the needed pairs of every key's sets that are in different components."""
+    side = lambda s: members.select("key", *[F.col(c).alias(s + c) for c in ("g", "full", "far", "root")])
+    near = lambda s: F.col(s + "full") & ~F.col(s + "far")
+    needed = (F.col("xfull") & F.col("yfull")) | (near("x") & F.col("yfar")) | (near("y") & F.col("xfar"))
+    both = side("x").join(side("y"), "key").where((F.col("xg") < F.col("yg")) & (F.col("xroot") != F.col("yroot")) & needed)
+    return both.select(F.col("xg").alias("a"), F.col("yg").alias("b")).distinct()
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame:
+    """node, root: the components of the classes (g, n, doc_id, h, c1, c2) that link with another one."""
+    # two sets of one c1 both take its keys; what they share is verified
+    found = shared_keys(keys(docs, how)).join(classes.select("c1", "g"), "c1")
+    members = materialize(found.select("key", "g", F.lit(True).alias("full"), F.lit(False).alias("far")), "members")
+    wanted = classes.join(members.select("g").distinct(), "g", "left_semi").select("g", "n", "doc_id", "h", "c1", "c2")
+    sets = materialize(token_sets(docs, wanted, how), "sets")
+    pairs = materialize(_centre(members).select(*_ordered("g", "m")), "pairs")
+    links = materialize(verify(pairs, sets, how), "links")
+    while True:
+        roots = connected_components(links)
+        open_ = materialize(_unfinished(members, roots), "open")
+        if not open_.limit(1).count():
+            return roots
+        pairs = materialize(_small_pairs(open_.where(F.col("size") <= SMALL_KEY)), "pairs")
+        differ = materialize(apart(_centre(open_.where(F.col("size") > SMALL_KEY)), sets, how), "apart")
+        near = differ.where(~F.col("far")).select(*_ordered("g", "m"))
+        fresh = materialize(verify(pairs, sets, how).unionByName(near), "links")
+        links = materialize(links.unionByName(fresh), "links")
+        members = materialize(_next_keys(differ), "members")
+        for gone in (open_, pairs, fresh):
+            drop_table(gone)
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Two rows link when their sets' similarity is at least ``percent`` / 100. A null or empty text and one without words have no
-    shingles, link with nothing and are their own component. Repeated rows link with each other. A null doc_id is never a component's
-    smallest; where there is no other it is null. Other columns are ignored; an empty table gives an empty result.
+    shingles, link with nothing and are their own component. Repeated rows link with each other; rows that share an id but not the text are
+    compared each by its own text. A null doc_id is never a component's smallest; where there is no other it is null. Other columns
+    are ignored; an empty table gives an empty result.
     """
     how = Similarity(k, percent)
     docs = docs.select("doc_id", "text")
     rows = materialize(profiles(docs, how), "profiles")
     held = rows.where(F.col("n") > 0)
-    # a class's document: the smallest id; its sketch is the same in all of them
-    classes = materialize(held.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "classes")
+    # a class's text: one of its smallest id
+    text = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("text")
+    classes = held.groupBy("c1", "c2", "n").agg(text).select("c1", "c2", "n", "text.doc_id", "text.h")
+    classes = materialize(classes.withColumn("g", F.monotonically_increasing_id()), "classes")
     roots = link_classes(docs, classes, how)
-    root = F.col("c1")
-    if roots is not None:
-        at = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
-        classes = classes.join(at, classes["c1"] == at["__node"], "left")
-        root = F.coalesce("__root", "c1")
-    named = classes.select("c1", "c2", "n", "doc_id", root.alias("root"))
+    at = roots.select(F.col("node").alias("g"), "root")
+    named = classes.join(at, "g", "left").select("c1", "c2", "n", "doc_id", F.coalesce("root", "g").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("c1", "c2", "n", "component_id")
     out = held.select("doc_id", "n", "c1", "c2").join(of_class, ["c1", "c2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -375,12 +391,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``docs`` without all but one document of each group of linked ones; texts without words stay.
 
-    The document of the group's smallest id stays. Rows that repeat it wholly go too. A group whose ids are all null stays as it is.
+    The document of the group's smallest id stays. Of the rows that repeat its id and text, the one whose other columns come first as JSON
+    stays. A group whose ids are all null stays as it is, but for such repeats. Names of columns are free; an empty table stays empty.
     """
     groups = jaccard_components(docs, k, percent)
-    stay = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["__id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    stay = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    # others than id and text decide between repeats, so that a task that runs again keeps the same row
+    rest = F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    return kept.groupBy("id", "h").agg(F.min_by("row", rest).alias("row")).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

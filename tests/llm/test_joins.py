@@ -38,10 +38,9 @@ def mutated(base, rate, r):
     return " ".join(f"w{r.randrange(10**6)}" if r.random() < rate else w for w in base)
 
 
-@pytest.mark.parametrize(("k", "percent", "few"), [(4, 85, 0), (5, 80, 3)])
-def test_components_match_brute_force_near_the_threshold(spark, k, percent, few, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
-    monkeypatch.setattr(jaccard_join, "FEW_PAIRS", few)
+@pytest.mark.parametrize(("k", "percent", "small"), [(4, 85, 1), (5, 80, 16)])
+def test_components_match_brute_force_near_the_threshold(spark, k, percent, small, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL_KEY", small)
     r = random.Random(k)
     texts = []
     passage = words(99, 60).split()
@@ -57,7 +56,6 @@ def test_components_match_brute_force_near_the_threshold(spark, k, percent, few,
 def test_every_linked_pair_shares_a_key():
     r = np.random.default_rng(4)
     for how in (jaccard_join.Similarity(4, 85), jaccard_join.Similarity(5, 80)):
-        schemes = how.schemes(3000)
         for _ in range(300):
             n = int(r.integers(1, 900))
             a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
@@ -66,15 +64,14 @@ def test_every_linked_pair_shares_a_key():
             if len(b) and 100 * both >= how.percent * (len(a) + len(b) - both):
                 apart = len(a) + len(b) - 2 * both
                 assert jaccard_join.hamming(jaccard_join.dense_sketch(a), jaccard_join.dense_sketch(b)) <= apart
-                keys = [{int(x) for part in jaccard_join.block_keys(s, how, schemes) for x in part} for s in (a, b)]
+                keys = [{int(x) for part in jaccard_join.block_keys(s, how) for x in part} for s in (a, b)]
                 assert keys[0] & keys[1] or not apart
 
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_all_sizes_up_to_sixty_share_a_key(k, percent):
     how, r = jaccard_join.Similarity(k, percent), np.random.default_rng(9)
-    schemes = how.schemes(3000)
-    assert all(blocks > how.apart_from_any(n, high) for low, high, blocks in schemes for n in range(low, high + 1))
+    assert all(low <= n <= high and blocks > how.apart_from_any(n, high) for n in range(1, 3000) for _, low, high, blocks in how.schemes(n))
     for m in range(1, 61):
         for n in range(m, 61):
             least = -(-percent * (m + n) // (100 + percent))  # shared tokens of a pair just linked
@@ -85,21 +82,49 @@ def test_all_sizes_up_to_sixty_share_a_key(k, percent):
                 r.shuffle(t)
                 a, b = np.sort(t[:m]), np.sort(t[m - least :])
                 assert len(a) == m and len(b) == n
-                one, two = ({int(x) for part in jaccard_join.block_keys(s, how, schemes) for x in part} for s in (a, b))
+                one, two = ({int(x) for part in jaccard_join.block_keys(s, how) for x in part} for s in (a, b))
                 assert one & two, (m, n)
 
 
-@pytest.mark.parametrize("small", [1, 10, 1000])
-def test_left_over_pairs_are_compared_in_blocks(spark, monkeypatch, small):
-    # without any round the exact comparison does all of it
-    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
-    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+def edited(base, rate, r):
+    """Words replaced, dropped and inserted."""
+    out = []
+    for w in base:
+        x = r.random()
+        if x < rate:
+            out += r.choice([[f"w{r.randrange(10**6)}"], [], [w, f"w{r.randrange(10**6)}"]])
+        else:
+            out.append(w)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize(("small", "seed"), [(1, 1), (1, 2), (4, 3), (1000, 4)])
+def test_clouds_of_copies_around_the_threshold(spark, monkeypatch, small, seed):
+    # many sets of one key that do not link with its centre: small = 1 settles every key by what differs from centres
     monkeypatch.setattr(jaccard_join, "SMALL_KEY", small)
-    r = random.Random(8)
-    base = words(7, 150).split()
-    texts = [(i, mutated(base, 0.01, r)) for i in range(25)] + [(100, words(8, 100))]
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert got == brute_components(texts, 4, 85)
+    r = random.Random(seed)
+    base = words(seed, 120).split()
+    other = edited(base, 0.06, r).split()  # a second centre with copies of its own
+    texts = [(i, edited(r.choice([base, base, other]), r.choice([0, 0.004, 0.01, 0.02, 0.03, 0.05, 0.1]), r)) for i in range(160)]
+    texts += [(1000 + i, " ".join(base[: r.randint(90, 120)])) for i in range(12)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_components(texts, 4, 85)
+    assert got == want and len({c for _, c in want.values()}) > 10
+
+
+def test_rows_of_one_id_and_null_ids_are_compared_by_their_own_text(spark):
+    near = words(1, 80).split()
+    texts = [(7, words(1, 80)), (7, words(2, 80)), (None, words(2, 80)), (3, " ".join([*near[:40], "x", *near[41:]])), (None, words(3, 80)), (None, words(3, 80) + " y")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 4, 80)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == Counter(
+        {(7, 77, 3): 1, (7, 77, 7): 1, (None, 77, 7): 1, (3, 77, 3): 1, (None, 77, None): 1, (None, 78, None): 1}
+    )
+
+
+def test_repeats_that_differ_elsewhere_keep_one_row_always_the_same(spark):
+    rows_ = [(1, words(1, 30), x) for x in "cab"] + [(None, words(2, 30), "z"), (None, words(2, 30), "y")]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows_, "doc_id int, text string, stays string"), 5, 80)
+    assert got.columns == ["doc_id", "text", "stays"] and sorted((r.doc_id or 0, r.stays) for r in got.collect()) == [(0, "y"), (1, "a")]
 
 
 def test_odd_rows(docs, none):
