@@ -30,8 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; our own one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_CHECKPOINT_DIR).rstrip("/")
+    """The folder all executors share, as the cluster names it; our own one only where it is unset and there is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or OWN_CHECKPOINT_DIR).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -43,6 +46,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a file to the shared folder, through Spark's file systems; its path."""
+    path = f"{shared_dir(spark)}/files/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a materialized table that nothing reads any more."""
     path = getattr(df, "_shared_path", None)

@@ -3,22 +3,20 @@
 Words are the pre-tokens of the tokenizer's own pattern. The words that hold at least MIN_SHARE of all word occurrences in the
 corpus (so at most 1 / MIN_SHARE of them) are compiled, with their ids, into a minimal acyclic automaton: equal suffixes
 share states, and the outputs summed along a word's path give its rank, which indexes a table of ids. The automaton is one
-file of flat arrays that is sent to every worker and mapped into memory. Words it does not hold are merged exactly.
+file of flat arrays in the shared folder that every worker fetches and maps into memory. Words it does not hold are merged exactly: short
+ones by the public rank-merging core, long ones rank by rank in arrays, so a text of one huge word or of millions of spaces takes bounded steps.
 
 Each worker remembers a bounded number of words; a batch looks a word up once, however often it occurs.
 """
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import heapq
 import json
 import mmap
 import os
-import shutil
 import struct
-import tempfile
 import uuid
 from array import array
 from collections import Counter
@@ -32,12 +30,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenorlab.llm._common import materialize, read
+from tenorlab.llm._common import materialize, read, write_shared
 
 #: Fixed value: the pre-token pattern of this kind of vocabulary.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A lexicon word holds at least this share of all occurrences.
 MIN_SHARE = 1e-6
+#: Bytes from which a word is merged in arrays; a text with a run of so many characters of one kind is cut by the pattern first.
+LONG = 512
+_RUN = regex.compile(rf"\s{{{LONG}}}|\S{{{LONG}}}")
 #: Words a worker remembers, and counts it holds before it emits them.
 REMEMBERED = 400_000
 
@@ -61,6 +62,7 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._understood(spec)
         stand = _byte_of_char()
         raw = lambda s: bytes(stand[c] for c in s)
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items()}
@@ -72,11 +74,25 @@ class Vocabulary:
         # where ids stand in merge order, byte strings and ids are all that a rank-merging library needs
         merged = [new for _, new in self.merges.values()]
         self.core = tiktoken.Encoding("own", pat_str=WORDS.pattern, mergeable_ranks=self.ids, special_tokens=self.special) if merged == sorted(merged) else None
+        order = sorted((a << 32 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self._pairs, self._ranks, self._new = (np.array(x, np.int64) for x in (zip(*order, strict=True) if order else ([], [], [])))
+        self._byte_ids = np.array([self.ids.get(bytes((b,)), -1) for b in range(256)], np.int64)
         self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @staticmethod
+    def _understood(spec: dict) -> None:
+        """Raise where a file asks for what is not done here."""
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [f"{t['content']}: {k}" for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+        odd += ["normalizer"] * bool(spec.get("normalizer"))
+        odd += ["pre_tokenizer"] * (cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or not cut.get("use_regex", True))
+        if odd or model.get("type", "BPE") != "BPE":
+            raise ValueError(f"only plain byte-level BPE files are understood; this one has {', '.join(odd) or model['type']}")
+
     def words(self, text: str) -> list[str]:
         """The text cut into words and special strings, nothing left out."""
-        if self._split is None or "<" not in text or not self._split.search(text):
+        if self._split is None or not self._split.search(text):
             return WORDS.findall(text)
         out: list[str] = []
         for k, part in enumerate(self._split.split(text)):
@@ -85,16 +101,72 @@ class Vocabulary:
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text."""
-        if self.core is not None:
+        if self.core is not None and not _RUN.search(text):
             return self.core.encode_to_numpy(text, allowed_special="all")
-        return np.array([i for w in self.words(text) for i in self.merge(w)], np.uint32)
+        held, out = [], []
+        for w in self.words(text):
+            if len(w) < LONG or w in self.special:
+                held += self.merge(w)
+            else:
+                out += [np.array(held, np.uint32), self.merge_ranks(w)]
+                held = []
+        return np.concatenate([*out, np.array(held, np.uint32)])
 
     def merge(self, word: str) -> list[int]:
         """The exact ids of one word."""
         if word in self.special:
             return [self.special[word]]
+        if len(word) >= LONG:
+            return self.merge_ranks(word).tolist()
         return self.core.encode_ordinary(word) if self.core is not None else self.merge_by_pairs(word)
 
+    def merge_ranks(self, word: str) -> np.ndarray:
+        """The word's ids by all merges of one rank at a time, lowest first: a merged pair's own merges rank higher, so none is missed."""
+        ids = self._byte_ids[np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)]
+        n = len(ids)
+        after, before = np.append(np.arange(1, n), -1), np.arange(-1, n - 1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def offer(left: np.ndarray) -> None:
+            """Note the merges of the pairs that begin at ``left``."""
+            left = left[after[left] >= 0]
+            if not len(left) or not len(self._pairs):
+                return
+            pair = ids[left] << 32 | ids[after[left]]
+            at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+            known = self._pairs[at] == pair
+            left, at = left[known], at[known]
+            order = np.argsort(self._ranks[at], kind="stable")
+            left, at = left[order], at[order]
+            for part, rank in zip(np.split(left, cut := np.flatnonzero(np.diff(self._ranks[at])) + 1), self._ranks[at[np.concatenate([[0], cut])]].tolist() if len(at) else (), strict=False):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(ranks, rank)
+                waiting[rank].append(part)
+
+        place = np.argsort(self._ranks)
+        offer(np.arange(n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            parts = waiting.pop(rank)
+            left = np.unique(np.concatenate(parts))
+            a, b = divmod(int(self._pairs[place[rank]]), 1 << 32)
+            left = left[(ids[left] == a) & (after[left] >= 0)]
+            left = left[ids[after[left]] == b]
+            if a == b and len(left):  # of a run of equal tokens every other one, from the left
+                follows = np.concatenate([[False], after[left[:-1]] == left[1:]])
+                start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(left))))
+                left = left[(np.arange(len(left)) - start) % 2 == 0]
+            right = after[left]
+            ids[left], ids[right] = self._new[place[rank]], -1
+            after[left] = after[right]
+            some = after[left] >= 0
+            before[after[left[some]]] = left[some]
+            near = before[left]
+            offer(np.unique(np.concatenate([near[near >= 0], left])))
+        return ids[ids >= 0].astype(np.uint32)
+
     def merge_by_pairs(self, word: str) -> list[int]:
         """The word's ids by merging the pair of lowest rank, leftmost first, until none is left; a heap keeps long words cheap."""
         ids = [self.ids[bytes((b,))] for b in word.encode("utf-8", "surrogatepass")]
@@ -246,11 +318,7 @@ def compile_lexicon(docs: DataFrame, vocabulary_path: str, min_share: float = MI
     frequent = [r["word"] for r in counts.where(F.col("n") >= F.lit(min_share * total)).select("word").collect()]
     known = vocabulary(vocabulary_path)
     name = f"lexicon-{uuid.uuid4().hex}.fst"
-    folder = tempfile.mkdtemp()  # the driver serves the file from here to executors, new ones included, while it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, name)
-    with open(path, "wb") as f:
-        f.write(Transducer.build((w, known.merge(w)) for w in frequent if w not in known.special))
+    path = write_shared(docs.sparkSession, name, Transducer.build((w, known.merge(w)) for w in frequent if w not in known.special))
     docs.sparkSession.sparkContext.addFile(path)
     return name
 
