@@ -1,12 +1,14 @@
 """HTML main-text extraction with site template removal.
 
-Each page is parsed once into element trees. Elements that are never article text go by tag, name or hidden state. Where a page marks its
-main part (article or main elements), that part counts, else the rest of the body. Either way it counts less the site's
-template: every block element's subtree in it is hashed by structure and text, the hashes are counted in Spark by host, and
-a subtree that recurs on many pages of its host is deleted. In a main part this takes a larger share of the pages, elements that are
-paragraphs of their own are never deleted, and a page never loses all of its text.
+Each page is parsed once into an element tree, and every block element's subtree, in the main part and outside, is hashed by
+structure and text. The hashes are counted in Spark by host, and a subtree that recurs on many pages of its host is deleted from every page that
+has it: menus, headers, footers, notices, adverts. What is left is checked: elements that are never article text go by tag, name or
+hidden state, and where a page marks its main part (article or main elements) the text is taken from there. Beside a marked main part a few
+pages make a template; where none is marked a subtree must recur on a share of the host's pages, in a main part on a larger one, elements that are paragraphs of their own are never deleted, and a page never loses
+all of its text.
 
-A subtree is counted once for every different text of the page around it, so copies of one page are one page.
+A subtree is counted once for every different text of the page around it, so copies of one page are one page. A page without
+a host is on no site and loses nothing to templates.
 
 The counts are pre-aggregated before their shuffle, so one host may hold any share of the pages; the html itself is
 never shuffled.
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from tenorlab.llm._common import let, materialize, read
 
-#: A subtree goes when it is on at least so many different pages of the host and on this share of them, or on MOST_PAGES.
-MIN_PAGES, MIN_SHARE, MOST_PAGES = 5, 0.3, 200
+#: Beside a marked main part a subtree goes when it is on at least so many different pages of the host.
+MIN_PAGES = 5
+#: Where no main part is marked, it must also be on this share of them, or on MOST_PAGES.
+MIN_SHARE, MOST_PAGES = 0.3, 200
 #: In a marked main part.
 MAIN_SHARE, MAIN_MOST_PAGES = 0.6, 1000
 #: Elements that a main part does not lose by themselves.
@@ -54,7 +58,7 @@ BOILERPLATE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 
 
 class Element:
@@ -69,8 +73,8 @@ def _boilerplate(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for m in _NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name == "role" and value in ROLES or name in ("class", "id") and BOILERPLATE.search(value):
@@ -141,50 +145,55 @@ def _mains(node: Element) -> list[Element]:
 
 
 class _Blocks:
-    """Blocks of text in page order, each with the hashes of the elements around it."""
+    """Blocks of text in page order, each with the hashes of the elements around it and whether it may be article text."""
 
     def __init__(self):
-        self.out: list[tuple[str, list[int]]] = []
+        self.out: list[tuple[str, list[int], bool]] = []
         self._held: list[str] = []
 
-    def end(self, around: list[int]) -> None:
+    def end(self, around: list[int], wanted: bool) -> None:
         if self._held:
             if text := " ".join(html.unescape("".join(self._held)).split()):
-                self.out.append((text, list(around)))
+                self.out.append((text, list(around), wanted))
             self._held = []
 
-    def add(self, node: Element, hashes: dict[int, int], around: list[int]) -> None:
+    def add(self, node: Element, hashes: dict[int, int], mains: set[int]) -> None:
         # an explicit stack: pages may nest deeper than Python does
-        todo: list[tuple] = [("in", node)]
+        around: list[int] = []
+        todo: list[tuple] = [("in", node, not mains, False)]
         while todo:
-            what, x = todo.pop()
+            what, x, main, dropped = todo.pop()
             if what == "text":
                 self._held.append(x)
             elif what == "out":
-                self.end(around)
+                self.end(around, main and not dropped)
                 if id(x) in hashes:
                     around.pop()
             elif x.tag == "br":
                 self._held.append(" ")
-            elif not x.dropped or x is node:
-                block = x.tag not in INLINE
-                if block:
-                    self.end(around)
-                    todo.append(("out", x))
+            else:
+                inner = (main or id(x) in mains, dropped or x.dropped)
+                # a dropped part ends the text before it only where it is a block; its own text is a block apart
+                if x.tag not in INLINE:
+                    self.end(around, main and not dropped)
+                    todo.append(("out", x, *inner))
                     if id(x) in hashes:
                         around.append(hashes[id(x)])
+                elif inner[1] != dropped:
+                    continue
                 for c in reversed(x.children):
-                    todo.append(("text", c) if isinstance(c, str) else ("in", c))
+                    todo.append(("text" if isinstance(c, str) else "in", c, *inner))
+        self.end(around, not mains)
 
 
-def subtree_hashes(node: Element, main: bool) -> dict[int, int]:
+def subtree_hashes(node: Element, mains: set[int]) -> dict[int, int]:
     """id(element) -> hash of its tag, text and children, for block elements, in a main part without PROSE; without text there is none."""
-    done, todo, keep = {}, [(node, False)], {}
+    done, todo, keep = {}, [(node, False, False)], {}
     while todo:
-        x, ready = todo.pop()
+        x, ready, main = todo.pop()
         if not ready:
-            todo.append((x, True))
-            todo += [(c, False) for c in x.children if not isinstance(c, str)]
+            todo.append((x, True, main))
+            todo += [(c, False, main or id(x) in mains) for c in x.children if not isinstance(c, str)]
         else:
             h, empty = blake2b(x.tag.encode(), digest_size=8), True
             for c in x.children:
@@ -206,31 +215,34 @@ def _signed(x: int) -> int:
     return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def text_around(blocks: list[tuple[str, list[int]]], marked: bool) -> tuple[int, dict[int, int]]:
-    """A hash of the page's blocks, and for each subtree one of the blocks outside it. A subtree with all of a main part's blocks never goes and has none."""
-    whole, within, count = 0, {}, {}
-    for text, around in blocks:
+def text_around(blocks: list[tuple[str, list[int], bool]]) -> tuple[int, dict[int, int]]:
+    """A hash of the page's blocks, and for each subtree one of the blocks outside it. A subtree with all text that may be the article's never goes and has none."""
+    whole, within, count, wanted = 0, {}, {}, 0
+    for text, around, may in blocks:
         h = int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
         whole += h
+        wanted += may
         for s in set(around):
             within[s] = within.get(s, 0) + h
-            count[s] = count.get(s, 0) + 1
-    return _signed(whole), {s: _signed(whole - h) for s, h in within.items() if not (marked and count[s] == len(blocks))}
+            count[s] = count.get(s, 0) + may
+    return _signed(whole), {s: _signed(whole - h) for s, h in within.items() if not wanted or count[s] < wanted}
 
 
-def read_page(page: str | None) -> tuple[list[tuple[str, list[int]]], bool, tuple[int, dict[int, int]]]:
-    """Blocks of the page, whether it marks its main part, and the hashes of ``text_around``."""
+def read_page(page: str | None) -> tuple[list[tuple[str, list[int], bool]], bool, tuple[int, dict[int, int]]]:
+    """Blocks of the page (text, subtrees around, whether it may be article text), whether it marks its main part, and the hashes of ``text_around``."""
     root = parse(page or "")
-    mains = _mains(root)
+    mains = {id(x) for x in _mains(root)}
     blocks = _Blocks()
-    for part in mains or [root]:
-        blocks.add(part, subtree_hashes(part, bool(mains)), [])
-        blocks.end([])
-    return blocks.out, bool(mains), text_around(blocks.out, bool(mains))
+    blocks.add(root, subtree_hashes(root, mains), mains)
+    return blocks.out, bool(mains), text_around(blocks.out)
+
+
+def host_of(url: str | None) -> str:
+    return re.sub(r"^[a-zA-Z][\w+.-]*:", "", url or "").lstrip("/").split("/")[0].split("?")[0].split("#")[0].lower()
 
 
 _PARSED = (
-    "page_id long, url string, host string, marked boolean, text string, blocks array<struct<text:string,around:array<bigint>>>, "
+    "page_id long, url string, host string, marked boolean, blocks array<struct<text:string,around:array<bigint>>>, "
     "whole bigint, subtrees array<struct<subtree:bigint,rest:bigint>>"
 )
 
@@ -239,46 +251,51 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
     seen = pa.list_(pa.struct([("subtree", pa.int64()), ("rest", pa.int64())]))
     for batch in batches:
-        host, marks, text, blocks, wholes, subtrees = [], [], [], [], [], []
+        host, marks, blocks, wholes, subtrees = [], [], [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found, marked, (whole, rests) = read_page(page)
-            # a page without any subtree that may go is finished
-            text.append(None if rests else "\n".join(t for t, _ in found))
-            blocks.append([{"text": t, "around": a} for t, a in found] if rests else None)
+            # the text of a block that is none of the article's is not needed again
+            blocks.append([{"text": t if may else None, "around": a} for t, a, may in found])
             subtrees.append([{"subtree": s, "rest": r} for s, r in rests.items()])
             wholes.append(whole)
             marks.append(marked)
-            host.append(re.sub(r"^[a-zA-Z][\w+.-]*:", "", url or "").lstrip("/").split("/")[0].split("?")[0].split("#")[0].lower())
-        columns = [pa.array(host, pa.string()), pa.array(marks, pa.bool_()), pa.array(text, pa.string()), pa.array(blocks, kind), pa.array(wholes, pa.int64()), pa.array(subtrees, seen)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "marked", "text", "blocks", "whole", "subtrees"])
+            host.append(host_of(url))
+        columns = [pa.array(host, pa.string()), pa.array(marks, pa.bool_()), pa.array(blocks, kind), pa.array(wholes, pa.int64()), pa.array(subtrees, seen)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "marked", "blocks", "whole", "subtrees"])
 
 
 def site_templates(parsed: DataFrame) -> DataFrame:
-    """host, subtree, in_main: subtrees that recur on many different pages of their host, and whether on enough for a main part."""
-    pages = parsed.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    around = parsed.select("host", F.explode("subtrees").alias("s")).select("host", "s.subtree", "s.rest").distinct()
+    """host, subtree, often, in_main: subtrees that recur on MIN_PAGES different pages of their host, and whether on enough for a page or main part as a whole."""
+    of_sites = parsed.where("host != ''")
+    pages = of_sites.select("host", "whole").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    around = of_sites.select("host", F.explode("subtrees").alias("s")).select("host", "s.subtree", "s.rest").distinct()
     seen = around.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
     often = lambda share, most: F.col("n") >= F.least(share * F.col("pages"), F.lit(most))
-    return seen.join(pages, "host").where(often(MIN_SHARE, MOST_PAGES)).select("host", "subtree", often(MAIN_SHARE, MAIN_MOST_PAGES).alias("in_main"))
+    return seen.join(pages, "host").select("host", "subtree", often(MIN_SHARE, MOST_PAGES).alias("often"), often(MAIN_SHARE, MAIN_MOST_PAGES).alias("in_main"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars: one row per row of ``pages`` (page_id, url, html).
+    """page_id, url, text, n_chars, n_blocks, n_template: one row per row of ``pages`` (page_id, url, html).
 
-    A null or empty html has the empty text. A null url belongs to the empty host. Repeated rows are extracted alike; null
-    page ids stay; other columns are ignored; an empty table gives an empty result.
+    n_blocks counts the page's blocks of text, n_template those that the site's templates deleted. A null or empty html has the empty
+    text. A null url has no host and so no templates. Repeated rows are extracted alike; null page ids stay; other columns are ignored; an
+    empty table gives an empty result.
     """
     parsed = materialize(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parsed, _PARSED).withColumn("rid", F.monotonically_increasing_id()), "pages")
-    open_ = parsed.where(F.col("blocks").isNotNull())
-    around = open_.select("rid", "host", "marked", F.explode("subtrees.subtree").alias("subtree"))
-    templates = around.join(site_templates(parsed), ["host", "subtree"]).where(~F.col("marked") | F.col("in_main"))
-    gone = templates.groupBy("rid").agg(F.collect_set("subtree").alias("gone"))
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.expr("cast(array() as array<bigint>)"))))
-    kept = let(left, lambda x: F.when(F.col("marked") & (F.size(x) == 0), F.col("blocks")).otherwise(x))
-    joined = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    rest = open_.join(gone, "rid", "left").select("page_id", "url", joined.alias("text"))
-    out = parsed.where(F.col("blocks").isNull()).select("page_id", "url", "text").unionByName(rest)
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    around = parsed.where("host != ''").select("rid", "host", F.explode("subtrees.subtree").alias("subtree"))
+    found = around.join(site_templates(parsed), ["host", "subtree"])
+    some = lambda c, name: F.collect_set(F.when(F.col(c), F.col("subtree"))).alias(name)
+    gone = found.groupBy("rid").agg(F.collect_set("subtree").alias("beside"), some("often", "unmarked"), some("in_main", "inside"))
+    none = F.expr("cast(array() as array<bigint>)")
+    hit = lambda b, name: F.arrays_overlap(b["around"], F.coalesce(name, none))
+    deleted = lambda b: F.when(~F.col("marked"), hit(b, F.col("unmarked"))).when(b["text"].isNotNull(), hit(b, F.col("inside"))).otherwise(hit(b, F.col("beside")))
+    left = F.filter("blocks", lambda b: b["text"].isNotNull() & ~deleted(b))
+    mine = F.filter("blocks", lambda b: b["text"].isNotNull())
+    kept = let(left, lambda x: F.when(F.col("marked") & (F.size(x) == 0), mine).otherwise(x))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")
+    n_template = F.size(F.filter("blocks", deleted)).cast("long").alias("n_template")
+    out = parsed.join(gone, "rid", "left").select("page_id", "url", text, F.size("blocks").cast("long").alias("n_blocks"), n_template)
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_template")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

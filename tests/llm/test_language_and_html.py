@@ -61,7 +61,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def text_of(page):
     blocks, marked, _ = html_extraction.read_page(page)
-    return [t for t, _ in blocks], marked
+    return [t for t, _, may in blocks if may], marked
 
 
 def test_article_text():
@@ -74,6 +74,32 @@ def test_article_text():
     assert text_of("<article>x<!-- never closed </article>")[0] == ["x"]
 
 
+def test_attributes_are_parsed():
+    assert text_of('<p>See <a href="/x?id=nav">this report</a> now</p>')[0] == ["See this report now"]
+    assert text_of('<div title="The hidden valley"><p>a</p></div><div data-id="sidebar">b</div><p data-role=navigation>c</p>')[0] == ["a", "b", "c"]
+    assert text_of("<div id='sidebar'>a</div><div CLASS=ad>b</div><div class='x&#32;nav'>c</div><div role = \"navigation\">d</div><p aria-hidden=true>e</p><p>f</p>")[0] == ["f"]
+    assert text_of('<p>one <span class="share">share</span> two</p>')[0] == ["one two"]
+
+
+def test_templates_decide_without_any_name_or_marked_part(spark):
+    page = lambda i: (
+        f"<body><div><p>Home</p><p>News</p></div><div><h1>Head {i}</h1><p>Text {i}</p></div><div><p>Buy now</p></div><section>All rights {i % 2}</section></body>"
+    )
+    data = [(i, f"https://a.example.com/{i}", page(i)) for i in range(20)] + [(50 + i, None, page(50 + i)) for i in range(9)]
+    data += [(90 + i, "https://d.example.com/", "<body><div><p>Five equal rows</p></div></body>") for i in range(5)]
+    frame = spark.createDataFrame(data, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_extraction.extract_text(frame).collect()}
+    assert all(got[i].text == f"Head {i}\nText {i}" and (got[i].n_blocks, got[i].n_template) == (6, 4) for i in range(20))
+    assert got[52].text == "Home\nNews\nHead 52\nText 52\nBuy now\nAll rights 0" and got[52].n_template == 0
+    assert {got[90 + i].text for i in range(5)} == {"Five equal rows"}
+
+
+def test_templates_are_found_on_the_tables(spark):
+    got = html_extraction.extract_text(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).selectExpr("sum(n_template) t", "sum(n_blocks) n", "count_if(n_template > 0) p").first()
+    print(got)
+    assert got.t > 2000 and got.p > 500 and got.n > got.t
+
+
 def test_recurring_subtrees_of_a_host_go(spark):
     page = lambda i, own: f"<body><div><p>Welcome to the site</p></div><div><p>Text {i} {own}</p></div><div>Contact us</div></body>"
     data = [(i, f"https://a.example.com/{i}", page(i, "x" * i)) for i in range(8)] + [(100, "http://b.example.com/1", page(100, "y")), (101, None, None), (None, "https://a.example.com/n", page(8, "z"))]
