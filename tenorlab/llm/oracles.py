@@ -6,6 +6,7 @@ from tenorlab.llm import embedding_dedup as E
 from tenorlab.llm import license_scan as L
 from tenorlab.llm import quality_rules as Q
 from tenorlab.llm import secret_scan as S
+from tenorlab.llm import sharding as D
 
 SPACED = r"[^\x20\x09-\x0D]+"
 
@@ -21,15 +22,19 @@ reach(node, root) AS (SELECT node, node FROM {nodes} UNION SELECT edge.y, reach.
 component AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def license_sql() -> str:
+    low = lambda x: f"translate({x}, '{LETTERS}', '{LETTERS.lower()}')"
     phrases = ", ".join(f"({text(p)}, {text(label)}, {len(p.split())})" for p, label in L.PHRASES)
     templates = ", ".join(f"({text(k)}, {text(v)})" for k, v in L.TEMPLATES.items())
     k = L.K
-    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all({low("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 base AS (SELECT doc_id, pos, label FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS pos FROM w), (VALUES {phrases}) p(phrase, label, n)
          WHERE array_to_string(ws[pos + 1:pos + n], ' ') = phrase),
 base_of AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY doc_id),
-tw AS (SELECT license, regexp_extract_all(body, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM (VALUES {templates}) t(license, body)),
+tw AS (SELECT license, regexp_extract_all({low("body")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM (VALUES {templates}) t(license, body)),
 tg AS (SELECT license, len(ws) AS t_len, t, array_to_string(ws[t + 1:t + {k}], ' ') AS g FROM (SELECT license, ws, unnest(range(len(ws) - {k} + 1)) AS t FROM tw)),
 dg AS (SELECT doc_id, d, array_to_string(ws[d + 1:d + {k}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(len(ws) - {k} + 1)) AS d FROM w)),
 hit AS (SELECT doc_id, license, t_len, t, d, d - t AS diagonal FROM dg JOIN tg USING (g)),
@@ -60,11 +65,15 @@ ok AS (SELECT doc_id, ord, kind, CAST(stop - length(al) AS BIGINT) AS start, CAS
 cand AS (SELECT * FROM ok WHERE ord < {len(S.KINDS)} UNION ALL
          SELECT * FROM ok g WHERE ord = {len(S.KINDS)} AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')
            AND NOT EXISTS (SELECT 1 FROM ok b WHERE b.doc_id = g.doc_id AND b.ord < {len(S.KINDS)} AND b.start < g.stop AND g.start < b.stop)),
-owners AS (SELECT val, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS n_owners FROM cand JOIN documents USING (doc_id) GROUP BY val),
-kept AS (SELECT c.*, n_owners < {S.EXAMPLE_OWNERS} AS live FROM cand c JOIN owners USING (val) WHERE ord < {len(S.KINDS)} OR n_owners = 1),
+owners AS (SELECT val, count(DISTINCT coalesce(source, '')) AS n_owners, count(DISTINCT concat_ws('/', source, lang)) AS n_repositories FROM cand JOIN documents USING (doc_id) GROUP BY val),
+judged AS (SELECT c.*, n_owners, n_owners >= {S.EXAMPLE_OWNERS} OR n_repositories >= {S.EXAMPLE_REPOSITORIES} AS example,
+  len(list_distinct(string_split(val, ''))) AS chars, regexp_matches(val, '[0-9]') OR (regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')) AS mixed
+  FROM cand c JOIN owners USING (val)),
+verdict AS (SELECT *, NOT example AND chars >= {S.LEAST_DISTINCT} AND (mixed OR chars >= {S.DISTINCT_LETTERS}) AND NOT regexp_matches(val, {text(S.PLACEHOLDER)}) AS live FROM judged),
+kept AS (SELECT * FROM verdict WHERE ord < {len(S.KINDS)} OR (n_owners = 1 AND live)),
 said AS (SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) FILTER (ord < {len(S.KINDS)}) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop) AS spans,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM kept GROUP BY doc_id)
+  count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
        coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN said ON d.doc_id = said.doc_id"""
 
@@ -73,6 +82,21 @@ def quality_sql() -> str:
     classes = " UNION ALL ".join(f"SELECT doc_id, lang, 'c' AS kind, {i} AS bin, length(t) - length(regexp_replace(t, {text(c)}, '', 'g')) AS n FROM t" for i, c in enumerate(Q.CLASSES))
     n = len(Q.CLASSES)
     common = ", ".join(f"({text(x)})" for x in Q.COMMON)
+
+    def reference(name: str, docs: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT lang, kind, bin, s / sum(s) OVER (PARTITION BY lang, kind) AS q FROM (
+  SELECT lang, kind, bin, CAST(sum(n) AS DOUBLE) AS s FROM hist WHERE lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM {docs}) GROUP BY ALL))"""
+
+    def distance(name: str, ref: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT doc_id, kind, min(d) AS d FROM (
+  SELECT doc_id, r.lang, kind, sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
+  FROM share JOIN {ref} r USING (kind, bin) WHERE p IS NOT NULL GROUP BY ALL) GROUP BY ALL)"""
+
+    def quartile(name: str, dist: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT kind, min(step) FILTER (4 * below >= total) AS q25, min(step) FILTER (2 * below >= total) AS q50, min(step) FILTER (4 * below >= 3 * total) AS q75 FROM (
+  SELECT kind, step, sum(n) OVER (PARTITION BY kind ORDER BY step) AS below, sum(n) OVER (PARTITION BY kind) AS total FROM (
+    SELECT kind, floor(d * {Q.STEPS}) AS step, count(*) AS n FROM {dist} JOIN passed USING (doc_id) WHERE n_words >= {Q.GUARD_WORDS} GROUP BY ALL)) GROUP BY kind)"""
+
     return f"""WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACED}') AS ws FROM documents),
 plain AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM t),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM t) WHERE regexp_matches(l, '{SPACED}') GROUP BY doc_id),
@@ -82,23 +106,31 @@ class_part AS ({classes} UNION ALL SELECT doc_id, lang, 'c', {n}, length(t) - le
 word AS (SELECT doc_id, lang, unnest(ws) AS w FROM t),
 grid AS (SELECT doc_id, lang, w FROM t, (VALUES {common}) c(w)),
 word_part AS (SELECT g.doc_id, g.lang, g.w, coalesce(n, 0) AS n FROM grid g LEFT JOIN (SELECT doc_id, w, count(*) AS n FROM word GROUP BY ALL) x ON x.doc_id = g.doc_id AND x.w = g.w),
-hist AS (SELECT doc_id, lang, kind, CAST(bin AS VARCHAR) AS bin, n FROM class_part
+hist AS MATERIALIZED (SELECT doc_id, lang, kind, CAST(bin AS VARCHAR) AS bin, n FROM class_part
   UNION ALL SELECT doc_id, any_value(lang), 'c', 'rest', any_value(length(t)) - sum(n) FROM class_part JOIN t USING (doc_id, lang) GROUP BY doc_id
   UNION ALL SELECT doc_id, lang, 'w', w, n FROM word_part
   UNION ALL SELECT doc_id, any_value(lang), 'w', '', any_value(len(ws)) - sum(n) FROM word_part JOIN t USING (doc_id, lang) GROUP BY doc_id),
-ref AS (SELECT lang, kind, bin, s / sum(s) OVER (PARTITION BY lang, kind) AS q FROM (SELECT lang, kind, bin, CAST(sum(n) AS DOUBLE) AS s FROM hist WHERE lang IS NOT NULL GROUP BY ALL)),
-share AS (SELECT doc_id, kind, bin, CASE WHEN sum(n) OVER (PARTITION BY doc_id, kind) > 0 THEN n / CAST(sum(n) OVER (PARTITION BY doc_id, kind) AS DOUBLE) END AS p FROM hist),
-js AS (SELECT doc_id, ref.lang, kind, sqrt(greatest(0.0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
-       FROM share JOIN ref USING (kind, bin) WHERE p IS NOT NULL GROUP BY ALL),
-near AS (SELECT doc_id, min(d) AS distance FROM (SELECT doc_id, lang, sum(d) / 2 AS d FROM js GROUP BY ALL HAVING count(*) = 2) GROUP BY doc_id),
-counted AS (SELECT p.*, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, distance FROM plain p LEFT JOIN dup ON dup.doc_id = p.doc_id LEFT JOIN rep ON rep.doc_id = p.doc_id LEFT JOIN near ON near.doc_id = p.doc_id),
-judged AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counted)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {Q.GUARD_WORDS} AND distance > {Q.MAX_DISTANCE}, false) AS kept, round(distance, 6) AS distance FROM judged"""
+counted AS MATERIALIZED (SELECT p.*, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+  n_words < {Q.MIN_WORDS} OR 100 * coalesce(rep.n, 0) > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM plain p LEFT JOIN dup ON dup.doc_id = p.doc_id LEFT JOIN rep ON rep.doc_id = p.doc_id),
+share AS MATERIALIZED (SELECT doc_id, kind, bin, CASE WHEN sum(n) OVER (PARTITION BY doc_id, kind) > 0 THEN n / CAST(sum(n) OVER (PARTITION BY doc_id, kind) AS DOUBLE) END AS p FROM hist),
+passed AS (SELECT doc_id, n_words FROM counted WHERE NOT base_failed),
+{reference("ref0", "passed")},
+{distance("dist0", "ref0")},
+{quartile("q0", "dist0")},
+core AS (SELECT doc_id FROM dist0 JOIN passed USING (doc_id) JOIN q0 USING (kind) WHERE n_words >= {Q.GUARD_WORDS} GROUP BY doc_id HAVING bool_and(floor(d * {Q.STEPS}) <= q75 + {Q.FENCE} * (q75 - q25))),
+{reference("near", "core")},
+ref1 AS MATERIALIZED (SELECT * FROM near UNION ALL SELECT * FROM ref0 WHERE lang NOT IN (SELECT lang FROM near)),
+{distance("dist1", "ref1")},
+{quartile("q1", "dist1")},
+far AS (SELECT doc_id, bool_or(floor(d * {Q.STEPS}) > q50 + CASE kind WHEN 'c' THEN greatest({Q.SPREAD[0]} * (q75 - q50), {Q.LEAST_EXCESS[0]}) ELSE greatest({Q.SPREAD[1]} * (q75 - q50), {Q.LEAST_EXCESS[1]}) END) AS far,
+        max(d) FILTER (kind = 'c') AS cd, max(d) FILTER (kind = 'w') AS wd FROM dist1 JOIN q1 USING (kind) GROUP BY doc_id)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_words >= {Q.GUARD_WORDS} AND far, false) AS kept,
+       round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM counted c LEFT JOIN far f ON f.doc_id = c.doc_id"""
 
 
 def jaccard_sql() -> str:
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '{SPACED}') AS ws FROM documents),
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{LETTERS}', '{LETTERS.lower()}'), '{SPACED}') AS ws FROM documents),
 shingle AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
@@ -117,10 +149,19 @@ degree AS (SELECT x, count(*) AS n FROM edge GROUP BY x)
 SELECT node AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, node = root AS kept FROM component LEFT JOIN degree ON x = node"""
 
 
+def sharding_sql() -> str:
+    table = D.fill_table(D.SHARDS)
+    return f"""WITH names AS (SELECT unnest({list(range(len(D.SHARDS)))}) AS k, unnest([{", ".join(map(text, D.SHARDS))}]) AS shard),
+slots AS (SELECT unnest(range({len(table)})) AS slot, unnest({table}) AS k),
+d AS (SELECT doc_id, n_chars, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) % {len(table)} AS slot FROM documents)
+SELECT doc_id, n_chars, CAST(slot AS INTEGER) AS slot, shard FROM d JOIN slots USING (slot) JOIN names USING (k)"""
+
+
 ORACLES = {
     "op1_license_scan": license_sql(),
     "op2_secret_scan": secret_sql(),
     "op4_quality_rules": quality_sql(),
     "op6_jaccard_join": jaccard_sql(),
     "op8_embedding_dedup": embedding_sql(),
+    "op10_sharding": sharding_sql(),
 }

@@ -8,11 +8,18 @@ from tenorlab.llm import license_scan, quality_rules, secret_scan, sharding
 from tests.llm.conftest import rows, words
 
 
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def template_words(label):
+    return re.findall(license_scan.WORD, license_scan.TEMPLATES[label].lower())
+
+
 def test_licenses_match_a_plain_scan(docs, none):
     got = Counter(tuple(r)[:6] for r in license_scan.scan_licenses(docs).collect())
     want = Counter()
     for i, t, *_ in rows():
-        w = re.findall(license_scan.WORD, (t or "").lower())
+        w = re.findall(license_scan.WORD, (t or "").translate(LOW))
         at = [(k, label) for phrase, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
         starts = [k for k, _ in at]
         want[(i, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})))] += 1
@@ -21,15 +28,35 @@ def test_licenses_match_a_plain_scan(docs, none):
 
 
 def test_license_diagonals_merge_across_an_inserted_word(spark):
-    t = license_scan.TEMPLATES["mit-grant"].split()
+    t = template_words("mit-grant")
     edited = [*t[:12], "surely", *t[12:]]
     frame = spark.createDataFrame([(1, f"{words(1, 30)} {' '.join(edited)} {words(2, 30)}"), (2, " ".join(t[:8])), (3, words(3, 200))], "doc_id long, text string")
-    spans = license_scan.diagonal_spans(frame).where("license = 'mit-grant'").collect()
+    scanned = license_scan.scan_rows(frame)
+    spans = license_scan.diagonal_spans(scanned).join(scanned.select("rid", "doc_id"), "rid").where("license = 'mit-grant'").collect()
     assert [(r.doc_id, r.start, r.end) for r in spans] == [(1, 30, 30 + len(edited))] and 0.6 <= spans[0].coverage <= 1
     got = {r.doc_id: (r.labels, round(r.score, 3)) for r in license_scan.scan_licenses(frame).collect()}
     assert got[1][0] == "mit-grant" and got[2] == ("", 0.0) and got[3] == ("", 0.0)
 
 
+def test_every_license_text_is_found_whole_and_with_words_changed(spark):
+    rows_ = []
+    for i, label in enumerate(license_scan.TEMPLATES):
+        w = template_words(label)
+        rows_ += [(2 * i, f"{words(i, 20)} {license_scan.TEMPLATES[label]} {words(i + 99, 20)}"), (2 * i + 1, " ".join("other" if j % 23 == 22 else x for j, x in enumerate(w)))]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan_licenses(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    for i, label in enumerate(license_scan.TEMPLATES):
+        assert label in got[2 * i] and label in got[2 * i + 1], label
+
+
+def test_rows_that_share_an_id_are_scanned_each_by_itself(spark):
+    w = template_words("mit-grant")
+    half = len(w) // 2 + 3
+    halves = [" ".join(w[:half]), " ".join(w[half:])]
+    rows_ = [(i, t) for i in (1, None) for t in halves] + [(1, "MIT \u212aind license"), (2, "M\u0130T License"), (2, "mit\u212a license")]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert len(got) == 7 and not any(r.labels for r in got)
+
+
 PLAIN = {"assign": (r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 8), "access": (r"AKIA[A-Z0-9]+", 0, 16), "hex": (r"[0-9a-f]+", 0, 32)}
 
 
@@ -61,6 +88,23 @@ def test_secrets_match_a_plain_scan(docs, none):
     assert secret_scan.scan_secrets(none, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_owners_repositories_and_randomness_decide(spark):
+    values = {"kq9z7wbn31": "live", "aaaa1111": "weak", "changeme12345": "weak", "hunterhunter": "weak", "Qw7ertzuiop": "example by owner", "m4nyrep0sitories": "example by repository"}
+    rows_ = [(i, f"password = {v}", "s0", "s0/en") for i, v in enumerate(values)]
+    rows_ += [(10 + i, "password = Qw7ertzuiop", f"s{i}", f"s{i}/en") for i in range(3)] + [(20 + i, "password = m4nyrep0sitories", "s0", f"s0/{i}") for i in range(4)]
+    rows_ += [(30, "x " + "aB3dE5" * 5, "s1", "s1/en"), (31, "x " + "zY9wV7" * 5, "s1", "s1/en"), (32, "x " + "zY9wV7" * 5, "s2", "s2/en")]
+    frame = spark.createDataFrame(rows_, "doc_id long, text string, owner string, repository string")
+    got = {r.doc_id: (r.n_live, r.n_example, r.spans.count("generic")) for r in secret_scan.scan_secrets(frame, F.col("owner"), F.col("repository")).collect()}
+    assert [got[i] for i in range(6)] == [(1, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 1, 0), (0, 1, 0)]
+    assert got[30] == (1, 0, 1) and got[31] == got[32] == (0, 0, 0)
+
+
+def test_redaction_leaves_columns_of_any_name(spark):
+    frame = spark.createDataFrame([(1, "password = kq9z7wbn31", "x", 5, "a", "b"), (None, None, "y", 6, "c", "d")], "doc_id long, text string, rid string, row int, live string, __rid string")
+    got = sorted(secret_scan.redact(frame, F.col("live"), F.col("rid")).collect(), key=lambda r: r.row)
+    assert [tuple(r) for r in got] == [(1, "[SECRET]", "x", 5, "a", "b"), (None, None, "y", 6, "c", "d")]
+
+
 def test_redaction_masks_live_secrets_only(docs):
     got = secret_scan.redact(docs, F.col("source"), F.col("lang"))
     assert got.columns == docs.columns and got.count() == docs.count()
@@ -92,8 +136,9 @@ def test_quality_distance_matches_numpy_and_rejects_foreign_text(spark):
     odd = [(100, " ".join(f"{i * 7919}::{i}" for i in range(200)), None), (101, "the the", "en")]
     frame = spark.createDataFrame(normal + odd, "doc_id long, text string, lang string")
     counts = quality_rules.text_counts(frame, "doc_id", "lang")
-    (lang, c, w), = quality_rules.references(counts)
-    r = {x.doc_id: x for x in quality_rules.judge(counts, [(lang, c, w)]).collect()}
+    fitted = quality_rules.fit(counts)
+    ((lang, c, w),) = fitted.known
+    r = {x.doc_id: x for x in quality_rules.judge(counts, fitted).collect()}
 
     def distance(n, q):
         p, q = np.array(n, float) / sum(n), np.array(q)
@@ -102,23 +147,58 @@ def test_quality_distance_matches_numpy_and_rejects_foreign_text(spark):
         return np.sqrt((kl(p) + kl(q)) / 2)
 
     for x in r.values():
-        cls = [*x.class_hist, x.n_all - sum(x.class_hist)]
-        assert abs(x.distance - (distance(cls, c) + distance(x.word_hist, w)) / 2) < 1e-9
+        assert abs(x.class_distance - distance([*x.class_hist, x.n_all - sum(x.class_hist)], c)) < 1e-9 and abs(x.word_distance - distance(x.word_hist, w)) < 1e-9
     assert all(r[i].kept for i in range(20)) and not r[100].kept and not r[100].base_failed and r[101].base_failed
     assert {x.doc_id for x in quality_rules.keep_good(frame).collect()} == set(range(20))
 
 
-def test_the_pipeline_drops_prose_full_of_symbols(spark):
+def test_prose_full_of_symbols_goes(spark):
     normal = [(i, " ".join((words(i, 100) + ", the of and to. In is").split()), "en") for i in range(40)]
-    junk = [(100 + i, " ".join(f"{w} {'#$%&*'[i % 5] * 6}" for w in words(100 + i, 100).split()), "en") for i in range(3)]
+    junk = [(100 + i, " ".join(f"{w} {'#$%&*'[i % 5] * (1 + i % 6)}" for w in words(100 + i, 100).split()), "en") for i in range(6)]
     frame = spark.createDataFrame(normal + junk, "doc_id long, text string, lang string")
-    assert not any(r.base_failed or r.distance > quality_rules.MAX_DISTANCE for r in quality_rules.apply_rules(frame).collect())
+    got = quality_rules.apply_rules(frame).collect()
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if r.kept} == set(range(40))
     assert {r.doc_id for r in quality_rules.keep_good(frame).collect()} == set(range(40))
 
 
+def test_verdicts_on_the_tables_go_beyond_the_base_rules(spark):
+    got = quality_rules.apply_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("NOT base_failed AND n_words >= 60")
+    symbols = got.withColumn("junk", F.col("n_symbols") > 0.03 * F.col("word_chars")).groupBy("junk").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    share = {r.junk: (r.kept, r.n) for r in symbols.collect()}
+    assert share[True][0] == 0 and share[True][1] > 30 and share[False][0] > 0.99
+
+
+def test_kept_rows_are_counted_once(spark, docs):
+    good = quality_rules.keep_good(docs)
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "split(" not in plan and good.columns == docs.columns
+
+
 def test_without_labelled_text_the_base_rules_decide(spark):
     frame = spark.createDataFrame([(1, words(1, 100), None), (2, "x", None)], "doc_id long, text string, lang string")
-    assert {r.doc_id: (r.kept, r.distance) for r in quality_rules.apply_rules(frame).collect()} == {1: (True, None), 2: (False, None)}
+    assert {r.doc_id: (r.kept, r.class_distance) for r in quality_rules.apply_rules(frame).collect()} == {1: (True, None), 2: (False, None)}
+
+
+def test_the_table_is_filled_by_turns():
+    # every shard's whole order of preference, written out
+    for n, size in ((1, 7), (3, 11), (7, 1009), (128, 4099)):
+        shards = [f"shard {i}" for i in range(n)]
+        number = lambda s, what: int(hashlib.sha256(f"{what}:{s}".encode()).hexdigest()[:16], 16)
+        wish = [[(number(s, "offset") % size + j * (number(s, "step") % (size - 1) + 1)) % size for j in range(size)] for s in shards]
+        assert all(sorted(w) == list(range(size)) for w in wish)
+        owner, turn = {}, 0
+        while len(owner) < size:
+            slot = next(x for x in wish[turn % n] if x not in owner)
+            owner[slot] = turn % n
+            turn += 1
+        assert sharding.fill_table(shards, size) == [owner[i] for i in range(size)]
+
+
+def test_keys_of_any_name_and_value(spark):
+    frame = spark.createDataFrame([(1, "a", 5, 9), (None, "b", 6, 9), (1, "c", 7, 9)], "k long, __slot string, slot int, row int")
+    got = sorted(sharding.assign_shards(frame, "k").collect(), key=lambda r: r["__slot"])
+    slot = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+    assert [(r.k, r["__slot"], r.row, r.slot) for r in got] == [(1, "a", 9, slot("1")), (None, "b", 9, slot("")), (1, "c", 9, slot("1"))]
 
 
 def test_sharding(docs, none):
