@@ -5,8 +5,9 @@ document word d and template word t votes for the offset diagonal d - t; votes a
 diagonal), diagonals that lie close together are merged (a few words inserted or dropped shift the offset), and a merged
 span counts when it covers enough of the template within a span of about the template's length.
 
-The templates are a fixed list, so the broadcast side never grows with the data. Votes are pre-aggregated per document
-before the shuffle, so a license text in a third of all rows sends one row per document and diagonal, not one per hit.
+The templates are a fixed list, so the broadcast side never grows with the data. Each text is read once: its base places and those of
+its grams that occur in any template are written to the shared folder under a number of the row, so rows of one doc_id, or of none, are
+scanned each by itself. Votes are aggregated within a row's own hits.
 """
 
 from __future__ import annotations
@@ -15,28 +16,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenorlab.llm._common import let, read, same
+from tenorlab.llm._common import let, materialize, read
+from tenorlab.llm.license_texts import TEXTS as TEMPLATES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Wording of public license notices, by label.
-TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "apache-2.0-terms": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl-3.0-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-redistribution": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-}
 K = 4
 #: Diagonals this near belong to one span; a span must cover this share of its template, within so many template lengths.
 MERGE, MIN_COVER, MAX_STRETCH = 3, 0.6, 1.6
 
 
+def lowered(text: Column) -> Column:
+    """A-Z to a-z as far as words are compared with ASCII ones: of all other letters only the Kelvin sign has an ASCII lower case, so it is put aside."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b")))
+
+
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered(text), F.lit(WORD), F.lit(0))
 
 
 def gram_hashes(words: Column, k: int = K) -> Column:
@@ -67,53 +64,56 @@ def _base(words: Column) -> Column:
 NO_BASE = "named_struct('n_base', 0L, 'first_word', cast(null as bigint), 'last_word', cast(null as bigint), 'base', cast(array() as array<string>))"
 
 
-def base_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and the base phrases' places, one row per row of ``docs``; only texts with the shared last word are searched."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    found = F.when(text.contains("license"), let(words_of(F.col("text")), lambda w: F.when(F.size(w) > 1, _base(w))))
-    return docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.coalesce(found, F.expr(NO_BASE)).alias("b")).select("doc_id", "n_words", "b.*")
-
-
 def template_grams(spark: SparkSession, templates: dict[str, str], k: int = K) -> DataFrame:
+    """license, t_len, t, h: every gram of every template."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
     w = rows.select("license", words_of(F.col("body")).alias("w"))
     return w.select("license", F.size("w").alias("t_len"), F.posexplode(gram_hashes(F.col("w"), k)).alias("t", "h"))
 
 
-def diagonal_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
-    """Verified spans: doc_id, license, start, end (words, end exclusive), votes, coverage."""
-    grams = docs.select("doc_id", F.posexplode(let(words_of(F.col("text")), lambda w: gram_hashes(w, k))).alias("d", "h"))
-    hits = grams.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h")
-    votes = hits.groupBy("doc_id", "license", "t_len", (F.col("d") - F.col("t")).alias("diagonal")).agg(
+def scan_rows(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
+    """rid, doc_id, n_words, base places and hits (d, h: the grams that occur in a template), one row per row of ``docs``, written out."""
+    hashes = [r["h"] for r in template_grams(docs.sparkSession, templates, k).select("h").distinct().collect()]  # of a fixed list
+    numbered = lambda h: F.transform(h, lambda x, i: F.struct(i.alias("d"), x.alias("h")))
+    hits = lambda w: F.filter(numbered(gram_hashes(w, k)), lambda x: x["h"].isin(hashes))
+    base = lambda w: F.when((F.size(w) > 1) & F.array_contains(w, "license"), _base(w))
+    found = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.coalesce(base(w), F.expr(NO_BASE)).alias("b"), hits(w).alias("hits")))
+    each = docs.select("doc_id", found.alias("f")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "f.n_words", "f.b.*", "f.hits")
+    return materialize(each, "licenses")
+
+
+def diagonal_spans(scanned: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K) -> DataFrame:
+    """Verified spans of ``scan_rows``: rid, license, start, end (words, end exclusive), votes, coverage."""
+    grams = scanned.select("rid", F.explode("hits").alias("g")).select("rid", "g.d", "g.h")
+    hits = grams.join(F.broadcast(template_grams(scanned.sparkSession, templates, k)), "h")
+    votes = hits.groupBy("rid", "license", "t_len", (F.col("d") - F.col("t")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.collect_set("t").alias("ts")
     )
-    order = Window.partitionBy("doc_id", "license").orderBy("diagonal")
+    order = Window.partitionBy("rid", "license").orderBy("diagonal")
     far = (F.col("diagonal") - F.lag("diagonal").over(order)) > MERGE
     merged = (
         votes.withColumn("run", F.sum(F.when(far, 1).otherwise(0)).over(order))
-        .groupBy("doc_id", "license", "t_len", "run")
+        .groupBy("rid", "license", "t_len", "run")
         .agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"), (F.max("hi") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"))
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + (k - 1))))))
     return (
         merged.withColumn("coverage", covered / F.col("t_len"))
         .where((F.col("coverage") >= MIN_COVER) & (F.col("end") - F.col("start") <= MAX_STRETCH * F.col("t_len")))
-        .select("doc_id", "license", "start", "end", "votes", "coverage")
+        .select("rid", "license", "start", "end", "votes", "coverage")
     )
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored).
 
-    A null or empty text has no words, no labels and score 0. A null doc_id is an id like any other; rows that share a
-    doc_id share the method's labels. An empty table gives an empty result.
+    A null or empty text has no words, no labels and score 0. Rows that share a doc_id, and rows without one, are scanned each by its own
+    text. A gram that several templates hold votes for each of them. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
-    found = diagonal_spans(docs, templates).groupBy("doc_id").agg(F.collect_set("license").alias("more"), F.max("coverage").alias("coverage"), F.count(F.lit(1)).alias("n_spans"))
-    found = found.withColumnRenamed("doc_id", "__id")
-    base = base_scan(docs)
+    scanned = scan_rows(docs, templates)
+    found = diagonal_spans(scanned, templates).groupBy("rid").agg(F.collect_set("license").alias("more"), F.max("coverage").alias("coverage"), F.count(F.lit(1)).alias("n_spans"))
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.expr("cast(array() as array<string>)"))))
-    return base.join(found, same(base["doc_id"], found["__id"]), "left").select(
+    return scanned.join(found, "rid", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.concat_ws(",", "base").alias("base_labels"), F.concat_ws(",", labels).alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("coverage", F.lit(0.0))).alias("score"),
