@@ -2,9 +2,10 @@
 
 Candidates are cut from every whole text by built-in regular expressions: splitting at a pattern gives the text between its
 matches, and the lengths of those pieces and of the matches give every match's code-point span. The hash of each candidate's
-value is then counted over the corpus by distinct owners and repositories. A value many owners share is a widely copied example;
-one that stays with a single owner and looks random is a live-looking credential. Generic random-looking tokens are
-reported only in the latter case; the base kinds are always reported.
+value is then counted over the corpus by distinct owners and repositories. A value that many owners or many repositories share is a widely
+copied example; one that stays with few of both and looks random is a live-looking credential; what is left are weak values, such
+as placeholders. Generic random-looking tokens are reported only where one owner alone has them, in few repositories; the base kinds
+are always reported.
 
 The counts are distinct (value, owner, repository) rows first, so a value held by a third of all rows shrinks to its owners
 before it is counted, and the join that carries counts back is an equi-join whose hot keys adaptive execution splits.
@@ -25,8 +26,11 @@ KINDS = (
 )
 #: The method's own candidates: long tokens that mix lower case, upper case and digits.
 GENERIC = ("generic", r"[A-Za-z0-9_+/-]{24,}", 0, 24)
-#: A value seen with at least this many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value seen with at least so many owners, or in at least so many repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 4
+#: A value of fewer different characters, or without a digit, mixed case or so many different characters, is not random; nor is a placeholder.
+LEAST_DISTINCT, DISTINCT_LETTERS = 6, 12
+PLACEHOLDER = r"(?i)example|change_?me|placeholder|dummy|redacted|your[_-]|xxxx|password|secret"
 SPAN = "array<struct<start:bigint,ord:int,kind:string,stop:bigint,value:string>>"
 
 
@@ -77,15 +81,25 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repositories"))
 
 
+def looks_random(value: Column) -> Column:
+    distinct = F.size(F.array_distinct(F.split(value, "")))
+    mixed = value.rlike("[0-9]") | (value.rlike("[a-z]") & value.rlike("[A-Z]")) | (distinct >= DISTINCT_LETTERS)
+    return (distinct >= LEAST_DISTINCT) & mixed & ~value.rlike(PLACEHOLDER)
+
+
 def classify(found: DataFrame) -> DataFrame:
-    """rid and its kept spans with n_owners, n_repositories and live; only rows that have candidates."""
+    """rid and its kept spans with n_owners, n_repositories, example and live; only rows of ``candidates`` that have any.
+
+    A span of several kinds counts once for each. Values are compared by hash, so equal ones share a verdict wherever they stand.
+    """
     each = found.select("rid", F.explode("spans").alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
     counted = each.join(ownership(found), "value_hash")
-    live = F.col("n_owners") < EXAMPLE_OWNERS
+    counted = counted.withColumn("example", (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES))
+    live = ~F.col("example") & looks_random(F.col("s.value"))
     return (
-        counted.where((F.col("s.ord") < len(KINDS)) | (F.col("n_owners") == 1))
+        counted.where((F.col("s.ord") < len(KINDS)) | ((F.col("n_owners") == 1) & live))
         .groupBy("rid")
-        .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.kind", "s.stop", "n_owners", "n_repositories", live.alias("live")))).alias("kept"))
+        .agg(F.array_sort(F.collect_list(F.struct("s.start", "s.ord", "s.kind", "s.stop", "n_owners", "n_repositories", "example", live.alias("live")))).alias("kept"))
     )
 
 
@@ -100,22 +114,27 @@ def scan_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
     base = F.filter("spans", lambda s: s["ord"] < len(KINDS))
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["ord"] == kinds[k])).cast("long").alias(f"n_{k}")
-    none = F.expr("cast(array() as array<struct<start:bigint,ord:int,kind:string,stop:bigint,n_owners:bigint,n_repositories:bigint,live:boolean>>)")
+    none = F.expr("cast(array() as array<struct<start:bigint,ord:int,kind:string,stop:bigint,n_owners:bigint,n_repositories:bigint,example:boolean,live:boolean>>)")
     kept = F.coalesce("kept", none)
     return found.join(classify(found), "rid", "left").select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(say(base), 256).alias("base_sha256"), say(kept).alias("spans"),
-        F.size(F.filter(kept, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(kept, lambda s: ~s["live"])).cast("long").alias("n_example"),
+        F.size(F.filter(kept, lambda s: s["live"])).cast("long").alias("n_live"), F.size(F.filter(kept, lambda s: s["example"])).cast("long").alias("n_example"),
         kept.alias("kept"),
     )
 
 
 def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every live-looking span masked; overlapping spans are masked as one; other rows are untouched."""
-    rid = "__rid"
-    kept = materialize(docs.withColumn(rid, F.monotonically_increasing_id()), "secret-docs")
-    cand = materialize(candidates(kept, owner, repository, F.col(rid)), "secrets")
-    live = classify(cand).select(F.col("rid").alias("__r"), F.filter("kept", lambda s: s["live"]).alias("__live")).where(F.size("__live") > 0)
-    text = F.col("text")
+    """``docs`` with every live-looking span masked; overlapping spans are masked as one; other rows are untouched.
+
+    A null or empty text stays as it is, repeated rows are masked alike, a null owner or repository is a value like any other, names of
+    columns are free and an empty table stays empty.
+    """
+    kept = docs.select(F.struct(*docs.columns).alias("row"), owner.alias("owner"), repository.alias("repository"), F.monotonically_increasing_id().alias("rid"))
+    kept = materialize(kept, "secret-docs")
+    read_back = kept.select("rid", "owner", "repository", F.col("row.text").alias("text"), F.col("rid").alias("doc_id"))
+    cand = materialize(candidates(read_back, F.col("owner"), F.col("repository"), F.col("rid")), "secrets")
+    live = classify(cand).select("rid", F.filter("kept", lambda s: s["live"]).alias("live")).where(F.size("live") > 0)
+    text = F.col("row.text")
 
     def cut(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -124,8 +143,8 @@ def redact(docs: DataFrame, owner: Column, repository: Column, mask: str = "[SEC
 
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     end = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    masked = F.when(F.col("__live").isNotNull(), F.aggregate("__live", start, cut, end)).otherwise(text)
-    return kept.join(live, kept[rid] == live["__r"], "left").withColumn("text", masked).select(*docs.columns)
+    masked = F.when(F.col("live").isNotNull(), F.aggregate("live", start, cut, end)).otherwise(text)
+    return kept.join(live, "rid", "left").select(*[masked.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
