@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenorlab.llm._common import read
@@ -45,20 +45,25 @@ def fill_table(shards: Sequence[str], size: int = TABLE_SIZE) -> list[int]:
                 return table
 
 
+def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
+    """The slot of a key: 15 hexadecimal digits of its MD5, a function that SQL engines share; a null key hashes as the empty text."""
+    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15)
+    return (F.conv(digits, 16, 10).cast("long") % size).cast("int")
+
+
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with ``slot`` (int) and ``shard`` (string).
 
-    A null key has a fixed slot of its own hash; equal keys share a shard; an empty table stays empty; columns of ``df``
-    already called slot or shard are replaced.
+    A null key has the empty text's slot; equal keys share a shard; an empty table stays empty; columns of ``df``
+    already called slot or shard are replaced, and all others stay, whatever their names.
     """
-    spark = df.sparkSession
-    table = fill_table(shards, size)
-    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(table)], "__slot int, shard string")
-    slot = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(size)).cast("int")
-    kept = df.drop(*[c for c in ("slot", "shard", "__slot") if c in df.columns and c != key])
     if key in ("slot", "shard"):
         raise ValueError("the key column cannot be called slot or shard")
-    return kept.withColumn("__slot", slot).join(F.broadcast(lookup), "__slot").withColumnRenamed("__slot", "slot")
+    table = fill_table(shards, size)
+    lookup = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(table)], "slot int, shard string")
+    kept = [c for c in df.columns if c not in ("slot", "shard")]
+    rows = df.select(F.struct(*kept).alias("row"), slot_of(F.col(key), size).alias("slot"))
+    return rows.join(F.broadcast(lookup), "slot").select("row.*", "slot", "shard")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
