@@ -1,6 +1,6 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-Vectors of equal label and direction bits are collapsed first. The rest are dealt to the shards of their pivots: a query asks in the
+Vectors of equal label and equal components are collapsed first. The rest are dealt to the shards of their pivots: a query asks in the
 shard of its nearest one, and a vector is stored wherever a linked query may ask. Pivots are a sample of which none is near another,
 so a dense group has one shard, not many. A linked query at most REACH away whose nearest pivot is p instead of the vector's own p* moves
 the difference of the two products by at most REACH * |p - p*|; vectors within that are stored in p's shard. In many dimensions
@@ -44,8 +44,8 @@ DEALT = 512
 #: Neighbours kept, candidates pruned from, the pruning slack, the beam, and how far below the threshold the range still expands.
 DEGREE, CANDIDATES, SLACK, BEAM, MARGIN = 16, 48, 1.2, 8, 0.02
 AUDITED, MIN_RECALL = 16, 0.98
-#: Queries searched together.
-TOGETHER = 256
+#: Queries searched together, and cosines computed at once.
+TOGETHER, VISITED = 256, 1 << 16
 
 
 def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarray]:
@@ -82,50 +82,56 @@ def both_ways(lists: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(pairs % n, np.searchsorted(pairs, np.arange(1, n) * n)) if n else []
 
 
-def range_search(cos: np.ndarray, lists: list[np.ndarray], medoid: int, own: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean queries x stored: what the search reaches within the threshold. cos: queries x stored; own: a query's place or -1."""
-    n_q, n = cos.shape
+def range_search(queries: np.ndarray, stored: np.ndarray, lists: list[np.ndarray], medoid: int, own: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean queries x stored: what the search reaches within the threshold. Cosines are computed for visited nodes only; own: a query's place or -1."""
+    n_q, n = len(queries), len(stored)
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     linked = np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
+    cos = np.full((n_q, n), -np.inf)
+
+    def visit(q: np.ndarray, nodes: np.ndarray) -> None:
+        new = np.unique(q[fresh] * n + nodes[fresh]) if (fresh := cos[q, nodes] == -np.inf).any() else np.empty(0, np.int64)
+        for at in range(0, len(new), VISITED):
+            i, j = np.divmod(new[at : at + VISITED], n)
+            cos[i, j] = np.einsum("ij,ij->i", queries[i], stored[j])
 
     def beyond(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Queries and neighbours of (query, node) pairs."""
+        """Queries and neighbours of (query, node) pairs, visited."""
         size = first[nodes + 1] - first[nodes]
         at = np.arange(size.sum()) + np.repeat(first[nodes] - (np.cumsum(size) - size), size)
-        return np.repeat(q, size), linked[at]
+        visit(qq := np.repeat(q, size), flat := linked[at])
+        return qq, flat
 
-    seen, done = np.zeros((n_q, n), bool), np.zeros((n_q, n), bool)
+    done = np.zeros((n_q, n), bool)
     rows, k = np.arange(n_q)[:, None], min(BEAM, n)
     beam = np.full((n_q, k), -1)
     beam[:, 0] = medoid
+    visit(rows[:, 0], beam[:, 0])
     for _ in range(24):  # greedy: the best of the beam and of what it links to
         q, c = np.nonzero((beam >= 0) & ~done[rows, beam])
         if not len(q):
             break
         nodes = beam[q, c]
-        done[q, nodes] = seen[q, nodes] = True
+        done[q, nodes] = True
         qq, flat = beyond(q, nodes)
-        seen[qq, flat] = True
-        offered = np.full((n_q, n), -np.inf, np.float32)
+        offered = np.full((n_q, n), -np.inf)
         offered[qq, flat] = cos[qq, flat]
         q, c = np.nonzero(beam >= 0)
         offered[q, beam[q, c]] = cos[q, beam[q, c]]
         best = np.argpartition(-offered, k - 1, axis=1)[:, :k]
         beam = np.where(np.take_along_axis(offered, best, 1) > -np.inf, best, -1)
     placed = np.flatnonzero(own >= 0)
-    seen[placed, own[placed]] = True
-    wide = cos >= threshold - MARGIN
-    open_ = seen & wide
-    open_[placed, own[placed]] = True
+    visit(placed, own[placed])
     expanded = np.zeros((n_q, n), bool)
+    open_ = cos >= threshold - MARGIN
+    open_[placed, own[placed]] = True
     while True:  # range: whatever is near enough passes the search on
         q, nodes = np.nonzero(open_ & ~expanded)
         if not len(q):
-            return seen & (cos >= threshold)
+            return cos >= threshold
         expanded[q, nodes] = True
         qq, flat = beyond(q, nodes)
-        seen[qq, flat] = True
-        open_[qq, flat] |= wide[qq, flat]
+        open_[qq, flat] |= cos[qq, flat] >= threshold - MARGIN
 
 
 def forest(found: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
@@ -160,7 +166,7 @@ def _unit(column: Column) -> Column:
     return F.when(clean & (F.size(v) > 0), let(v, lambda x: F.when((norm(x) > 0) & (norm(x) < float("inf")), let(norm(x), lambda n: F.transform(x, lambda y: y / n)))))
 
 
-def _pivots(reps: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
+def _pivots(reps: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, int]]:
     """(label, dimension) -> pivot vectors and the number of the first; at most MAX_PIVOTS vectors reach the driver."""
     sizes = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     total = reps.count()
@@ -172,7 +178,7 @@ def _pivots(reps: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
     few = reps.select("g", "label", "dim").join(F.broadcast(wanted), ["label", "dim"]).where(spread <= F.col("part"))
     order = Window.partitionBy("label", "dim").orderBy(spread, "g")
     chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("k")).select("g")
-    by: dict[tuple[int, int], list] = {}
+    by: dict[tuple[str, int], list] = {}
     for r in reps.join(chosen, "g").select("label", "dim", "unit").orderBy("label", "dim", "g").collect():
         by.setdefault((r["label"], r["dim"]), []).append(r["unit"])
     out, first = {}, 0
@@ -218,7 +224,7 @@ def _stored(reps: DataFrame, known: Broadcast, whole: bool) -> DataFrame:
         for batch in batches:
             label, dim = batch.column("label").to_pylist(), batch.column("dim").to_pylist()
             row, shard, home = [], [], []
-            by: dict[tuple[int, int], list[int]] = {}
+            by: dict[tuple[str, int], list[int]] = {}
             for i, key in enumerate(zip(label, dim, strict=True)):
                 by.setdefault(key, []).append(i)
             for key, at in by.items():
@@ -236,18 +242,18 @@ def _stored(reps: DataFrame, known: Broadcast, whole: bool) -> DataFrame:
             table = batch.take(pa.array(np.concatenate(row))) if row else batch
             yield pa.RecordBatch.from_arrays([*table.columns, pa.array(np.concatenate(shard) if row else [], pa.int64()), pa.array(np.concatenate(home) if row else [], pa.bool_())], [*batch.schema.names, "shard", "home"])
 
-    return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label int, dim int, mult long, unit array<double>, shard long, home boolean")
+    return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label string, dim int, mult long, unit array<double>, shard long, home boolean")
 
 
 def _true_links(reps: DataFrame, known: Broadcast) -> DataFrame:
     """g, label, dim, links: what a fixed number of vectors of each label with several shards link with in the whole label."""
     spark = reps.sparkSession
-    keys = spark.createDataFrame([(int(a), int(b)) for a, b in known.value], "label int, dim int")
+    keys = spark.createDataFrame([(a, int(b)) for a, b in known.value], "label string, dim int")
     several = reps.join(F.broadcast(keys), ["label", "dim"])
     each = max(LEAST_COMPARED, min(MOST_COMPARED, COMPARED // max(1, len(known.value))))
     sizes = several.groupBy("label", "dim").agg((each / F.count(F.lit(1))).alias("part"))
     spread = F.pmod(F.xxhash64("g", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    asked: dict[tuple[int, int], tuple[list, list]] = {}
+    asked: dict[tuple[str, int], tuple[list, list]] = {}
     for r in several.join(F.broadcast(sizes), ["label", "dim"]).where(spread <= F.col("part")).select("g", "label", "dim", "unit").collect():
         g, units = asked.setdefault((r["label"], r["dim"]), ([], []))
         g.append(r["g"])
@@ -257,7 +263,7 @@ def _true_links(reps: DataFrame, known: Broadcast) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            by: dict[tuple[int, int], list[int]] = {}
+            by: dict[tuple[str, int], list[int]] = {}
             for i, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist(), strict=True)):
                 if key in sent.value:
                     by.setdefault(key, []).append(i)
@@ -267,14 +273,14 @@ def _true_links(reps: DataFrame, known: Broadcast) -> DataFrame:
                 near = (units @ np.array(part.column("unit").to_pylist()).T >= THRESHOLD) & (g[:, None] != part.column("g").to_numpy()[None, :])
                 out += [(x, *key, n) for x, n in zip(g.tolist(), (near @ part.column("mult").to_numpy()).tolist(), strict=True)]
             columns = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["g", "label", "dim", "n"])
 
-    counted = several.select("g", "label", "dim", "mult", "unit").mapInArrow(count, "g long, label int, dim int, n long")
+    counted = several.select("g", "label", "dim", "mult", "unit").mapInArrow(count, "g long, label string, dim int, n long")
     return counted.groupBy("g", "label", "dim").agg(F.sum("n").alias("true"))
 
 
-def _short(reps: DataFrame, known: Broadcast, counts: DataFrame) -> list[tuple[int, int]]:
+def _short(reps: DataFrame, known: Broadcast, counts: DataFrame) -> list[tuple[str, int]]:
     """The labels (and dimensions) where the compared vectors' mean recall of links is under MIN_RECALL."""
     if not known.value:
         return []
@@ -311,16 +317,16 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
         part = asked.iloc[at : at + TOGETHER]
         mine = part["g"].to_numpy()
         own = np.array([place.get(v, -1) for v in mine.tolist()])
-        cos = np.array(part["unit"].tolist()) @ x.T
-        found = range_search(cos, lists, medoid, own, THRESHOLD)
+        queries = np.array(part["unit"].tolist())
+        found = range_search(queries, x, lists, medoid, own, THRESHOLD)
         audit = np.arange(0, len(mine), AUDITED)
-        truth = cos[audit] >= THRESHOLD
+        truth = queries[audit] @ x.T >= THRESHOLD
         truth[own[audit] >= 0, own[audit][own[audit] >= 0]] = False  # a vector that finds itself tells nothing
         if least_recall(found[audit], truth) < MIN_RECALL:
             wide = wide or both_ways([np.union1d(a, b) for a, b in zip(lists, robust_prune(x @ x.T, 4 * DEGREE, 4 * CANDIDATES), strict=True)])
-            found |= range_search(cos, wide, medoid, own, THRESHOLD)
+            found |= range_search(queries, x, wide, medoid, own, THRESHOLD)
             if least_recall(found[audit], truth) < MIN_RECALL:
-                found = cos >= THRESHOLD
+                found = queries @ x.T >= THRESHOLD
         placed = np.flatnonzero(own >= 0)
         found[placed, own[placed]] = False
         out.append(pd.DataFrame({"g": mine, "links": found @ mult, "other": pd.array([None] * len(mine), "Int64")}))
@@ -350,11 +356,11 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """One row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept.
 
     A null label, and a vector that is null, empty, zero or holds null or non-finite components, links with nothing and is its own
-    component. Repeated rows are other vectors that link. Vectors of other lengths never meet. A null id is never a
+    component. Labels of any type are compared by their text. Repeated rows are other vectors that link. Vectors of other lengths never meet. A null id is never a
     component's smallest and is not kept. Other columns are ignored; an empty table gives an empty result.
     """
     rows = vectors.select(
-        F.col("vec_id").cast("long"), F.col("label").cast("int").alias("label"), _unit(F.col("embedding")).alias("unit"),
+        F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), _unit(F.col("embedding")).alias("unit"),
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7919), "embedding").alias("h2"),
     )
     linked = F.col("label").isNotNull() & F.col("unit").isNotNull()
@@ -363,7 +369,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     known = vectors.sparkSession.sparkContext.broadcast(_pivots(reps))
     counts, edges = _links(_stored(reps, known, False))
     if short := _short(reps, known, counts):
-        again = reps.join(F.broadcast(vectors.sparkSession.createDataFrame(short, "label int, dim int")), ["label", "dim"])
+        again = reps.join(F.broadcast(vectors.sparkSession.createDataFrame(short, "label string, dim int")), ["label", "dim"])
         more, further = _links(_stored(again, known, True))
         counts = counts.join(again.select("g"), "g", "left_anti").unionByName(more)
         edges = edges.unionByName(further)
