@@ -3,11 +3,12 @@
 Features are hashed 1- to 3-grams of the lower-cased text with everything but letters turned to spaces; a feature's value
 is its share of the text's n-grams times its inverse document frequency. Document frequencies cover every training row.
 Weights are trained by follow-the-regularised-leader with elastic-net penalties, so most are exactly zero, on a bounded
-sample: up to SAMPLE_PER_LANGUAGE rows of each language, those whose id hashes lowest. A fifth of the sample is held back from the
-training to fit the temperature that calibrates the probabilities.
+sample: up to SAMPLE_PER_LANGUAGE different texts of each of the MOST_LANGUAGES languages with the most rows, those that hash lowest. A fifth
+of the sample is held back from the training to fit the temperature that calibrates the probabilities.
 
 A text's scores are sums over its n-grams of one table row each, so prediction is one pass without grouping, over whole texts,
-in slices of bounded size. Only the frequency vector (N_FEATURES numbers), the sample's features and the model reach the driver.
+in slices of bounded size, a long text in several. Only the frequency vector (N_FEATURES numbers), the sample's features and the model
+reach the driver; how many there are is bounded whatever the rows, ids and languages.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenorlab.llm._common import read
+from tenorlab.llm._common import materialize, read
 
 N_FEATURES, ORDERS = 1 << 16, 3
-SAMPLE_PER_LANGUAGE = 500
+#: Documented bounds of the training sample: texts of a language, languages.
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 500, 64
 SCALE, ALPHA, BETA, L1, L2, EPOCHS = 30.0, 0.3, 1.0, 0.002, 0.0005, 3
 UNKNOWN = "und"
 #: The pipeline keeps a document from this calibrated probability on.
@@ -43,17 +45,35 @@ def _is_letter() -> np.ndarray:
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Number of the first text and texts of SLICE characters or a little more; a longer text is by itself."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= SLICE:
+        t = t or ""
+        if held and (size >= SLICE or len(t) > SLICE):
+            yield first, held
+            first, held, size = i, [], 0
+        held.append(t)
+        size += len(t)
+        if len(t) > SLICE:
             yield first, held
             first, held, size = i + 1, [], 0
     if held:
         yield first, held
 
 
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """``_grams`` of the texts; of a single long one, piece by piece."""
+    if len(texts) > 1 or len(texts[0]) <= SLICE:
+        yield _grams(texts)
+        return
+    low = texts[0].lower()
+    for at in range(0, len(low), SLICE):  # a piece sees the characters that its last n-grams need
+        first, end, _, features = _grams([low[at : at + SLICE + ORDERS - 1]])
+        end = np.minimum(end, SLICE)
+        letters = np.array([sum(map(str.isalpha, low[at : at + SLICE]))])
+        yield first, end, letters, features
+
+
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """First and end position and letter count of each text, and for every order the feature at every position."""
     low = [t.lower() for t in texts]
@@ -76,10 +96,14 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     total, seen = np.zeros(N_FEATURES, np.int64), np.zeros(N_FEATURES, bool)
     for batch in batches:
         for _, texts in _slices(batch.column(0).to_pylist()):
-            first, end, _, features = _grams(texts)
-            for a, b in zip(first, end, strict=True):
-                for f in features:
-                    seen[f[a:b]] = True
+            for first, end, _, features in _parts(texts):
+                for a, b in zip(first, end, strict=True):
+                    for f in features:
+                        seen[f[a:b]] = True
+                    if len(texts) > 1:
+                        total += seen
+                        seen[:] = False
+            if len(texts) == 1:
                 total += seen
                 seen[:] = False
     at = np.flatnonzero(total)
@@ -90,10 +114,12 @@ def _sparse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for text, lang in zip(frame["text"], frame["lang"], strict=True):
-            first, end, _, features = _grams([text or ""])
-            every = np.concatenate([f[first[0] : end[0]] for f in features])
-            at, n = np.unique(every, return_counts=True)
-            rows.append((lang, at.astype(np.int32), (n / max(1, len(every))).astype(np.float32)))
+            n = np.zeros(N_FEATURES, np.int64)
+            for first, end, _, features in _parts([text or ""]):
+                for f in features:
+                    n += np.bincount(f[first[0] : end[0]], minlength=N_FEATURES)
+            at = np.flatnonzero(n)
+            rows.append((lang, at.astype(np.int32), (n[at] / max(1, n.sum())).astype(np.float32)))
         yield pd.DataFrame(rows, columns=["lang", "at", "share"])
 
 
@@ -134,23 +160,32 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, train_row: Column, key: str = "doc_id") -> dict:
-    """A model (langs, table: idf times weights over temperature) learnt from the rows of ``docs`` where ``train_row`` holds."""
-    rows = docs.where(train_row & F.col("lang").isNotNull()).select(key, "text", "lang")
-    n_docs = rows.count()
+def train(docs: DataFrame, train_row: Column) -> dict:
+    """A model (langs, table: idf times weights over temperature) learnt from the rows of ``docs`` (text, lang) where ``train_row`` holds.
+
+    Rows without a language or a text teach nothing. Equal texts of one language count once in the sample, so that no text and no id can fill
+    it. Of languages with equally many rows those first in order count. Without rows the model knows no language.
+    """
+    rows = docs.where(train_row & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n_docs = sizes.agg(F.sum("n")).first()[0] or 0
     df = np.zeros(N_FEATURES)
     for r in rows.select("text").mapInArrow(_document_frequency, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    # about twice the sample passes a threshold on the id's hash first, so that the ranking's input is bounded too
-    part = {r["lang"]: min(1.0, 2 * SAMPLE_PER_LANGUAGE / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = docs.sparkSession.createDataFrame(sorted(part.items()), "lang string, share double")  # one row per language
-    spread = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.select("lang", key).join(F.broadcast(share), "lang").where(spread <= F.col("share"))
-    low = Window.partitionBy("lang").orderBy(spread, F.col(key))
-    picked = few.withColumn("k", F.row_number().over(low)).where(F.col("k") <= SAMPLE_PER_LANGUAGE).select(F.col(key).alias("__id")).distinct()
-    # at most SAMPLE_PER_LANGUAGE ids of each language
-    sample = rows.join(F.broadcast(picked), rows[key] == picked["__id"], "left_semi").select("text", "lang")
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+    different = materialize(hashed.select("lang", "h").distinct(), "texts")
+    # about twice the sample passes a threshold on the text's hash first, so that the ranking's input is bounded too
+    most = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    numbers = different.join(F.broadcast(most), "lang").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    part = {r["lang"]: min(1.0, 2 * SAMPLE_PER_LANGUAGE / r["n"]) for r in numbers.collect()}
+    share = docs.sparkSession.createDataFrame(sorted(part.items()), "lang string, share double")  # MOST_LANGUAGES rows
+    spread = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    few = different.join(F.broadcast(share), "lang").where(spread <= F.col("share"))
+    low = Window.partitionBy("lang").orderBy(spread, "h")
+    picked = few.withColumn("k", F.row_number().over(low)).where(F.col("k") <= SAMPLE_PER_LANGUAGE).select("lang", "h")
+    # at most SAMPLE_PER_LANGUAGE hashes of each of MOST_LANGUAGES languages
+    sample = hashed.join(F.broadcast(picked), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("text", "lang")
     got = sample.mapInPandas(_sparse, "lang string, at array<int>, share array<float>").collect()
     got = sorted(got, key=lambda r: (r["lang"], len(r["at"]), r["at"][:20], r["share"][:20]))
     langs = sorted({r["lang"] for r in got})
@@ -170,13 +205,15 @@ def predict_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.n
     langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     names, table = model["langs"], model["table"]
     for at, part in _slices(texts) if names else ():
-        first, end, letters, features = _grams(part)
-        logits = np.zeros((len(part), len(names)))
-        for f in features:
-            sums = np.zeros((len(f) + 1, len(names)))
-            np.cumsum(table[f], axis=0, dtype=np.float64, out=sums[1:])
-            logits += sums[end] - sums[first]
-        p = softmax(logits / np.maximum(1, (end - first) * ORDERS)[:, None])
+        logits, letters, grams = np.zeros((len(part), len(names))), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        for first, end, n, features in _parts(part):
+            letters += n
+            grams += (end - first) * ORDERS
+            for f in features:
+                sums = np.zeros((len(f) + 1, len(names)))
+                np.cumsum(table[f], axis=0, dtype=np.float64, out=sums[1:])
+                logits += sums[end] - sums[first]
+        p = softmax(logits / np.maximum(1, grams)[:, None])
         for i in np.flatnonzero(letters):
             langs[at + i], score[at + i] = names[int(p[i].argmax())], p[i].max()
     return langs, np.clip(score, 0.0, 1.0)
@@ -206,7 +243,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, text, held_out, lang_pred, score: trained on the rows that are not held out."""
-    model = train(docs.select("doc_id", "text", "lang"), ~held_out())
+    model = train(docs, ~held_out())
     return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
 
 

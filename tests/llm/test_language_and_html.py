@@ -1,9 +1,12 @@
+from collections import Counter
 import re
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tenorlab.llm import html_extraction, language_id
 from tenorlab.llm.queries import ORACLES, QUERIES
 from tests.duck import same_rows
@@ -42,6 +45,63 @@ def test_prediction_does_not_depend_on_batches(monkeypatch):
     assert abs(language_id.softmax(z).max() - whole[1][0]) < 1e-5
 
 
+def plain_features(text):
+    """Feature numbers of all 1- to 3-grams by whole-number arithmetic on characters."""
+    low, full, out = text.lower(), 1 << 64, []
+    c = [ord(x) if x.isalpha() else 32 for x in low] + [32, 32]
+    for i in range(len(low)):
+        rolled = 0
+        for n in range(3):
+            rolled = (rolled + c[i + n] + 1) * 0x9E3779B97F4A7C15 % full
+            rolled ^= rolled >> 29
+            out.append((rolled * 0xBF58476D1CE4E5B9 % full >> 48) % language_id.N_FEATURES)
+    return out
+
+
+def test_training_and_prediction_match_a_dense_brute_force():
+    texts = [("the cat and the dog", 0), ("der hund und die katze", 1), ("le chat et le chien", 2), ("The End, the 2 of it", 0), ("und ach so weiter", 1), ("été à la mer", 2)] * 2
+    count = [Counter(plain_features(t)) for t, _ in texts]
+    df = Counter(f for c in count for f in c)
+    idf = {f: np.log((1 + len(texts)) / (1 + n)) + 1 for f, n in df.items()}
+    x = np.zeros((len(texts), language_id.N_FEATURES))
+    for i, c in enumerate(count):
+        for f, n in c.items():
+            x[i, f] = n / c.total() * idf[f] * language_id.SCALE
+    # follow the regularised leader, all features at every step
+    L = language_id
+    z, n = np.zeros((L.N_FEATURES, 3)), np.zeros((L.N_FEATURES, 3))
+    weights = lambda: np.where(np.abs(z) <= L.L1, 0, -(z - np.sign(z) * L.L1) / ((L.BETA + np.sqrt(n)) / L.ALPHA + L.L2))
+    order = np.random.default_rng(7)
+    for _ in range(L.EPOCHS):
+        for k in order.permutation(len(texts)):
+            w = weights()
+            e = np.exp(x[k] @ w - (x[k] @ w).max())
+            g = x[k][:, None] * (e / e.sum() - np.eye(3)[texts[k][1]])[None, :]
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / L.ALPHA * w
+            n += g * g
+    want = weights()
+    rows_ = [(y, at := np.flatnonzero(x[i]), x[i, at]) for i, (_, y) in enumerate(texts)]
+    got = L.train_ftrl(rows_, 3)
+    assert np.abs(got - want).max() < 1e-9 and np.count_nonzero(want)
+    table = (want * np.array([idf.get(f, np.log(1 + len(texts)) + 1) for f in range(L.N_FEATURES)])[:, None] * L.SCALE).astype(np.float32)
+    langs, score = L.predict_texts({"langs": ["en", "de", "fr"], "table": table}, [t for t, _ in texts])
+    for (t, _), lang, p in zip(texts, langs, score, strict=True):
+        f = plain_features(t)
+        e = np.exp(table[f].astype(float).sum(0) / len(f))
+        assert lang == ["en", "de", "fr"][int(e.argmax())] and abs(p - (e / e.sum()).max()) < 1e-6
+
+
+def test_no_id_and_no_language_fills_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANGUAGE", 5)
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    seen = []
+    monkeypatch.setattr(language_id, "train_ftrl", lambda rows_, n: seen.append((len(rows_), n)) or np.zeros((language_id.N_FEATURES, n)))
+    data = [(1, f"text {'abcdefghij'[i % 10]} of one id", "en") for i in range(300)] + [(None, f"texte {'abcdefgh'[i % 8]}", "fr") for i in range(50)]
+    data += [(i, f"x {i}", f"l{i:03d}") for i in range(90)] + [(7, None, "de")]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), F.lit(True))
+    assert model["langs"] == ["en", "fr", "l000"] and seen[0][0] <= 15 and seen[0][1] == 3
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     r = np.random.default_rng(1)
     data = [(k := int(r.integers(3)), np.array([k, 10 + int(r.integers(500))]), np.array([1.0, 0.05])) for _ in range(600)]
