@@ -9,19 +9,21 @@ linked sets agree in at least B - d blocks (pigeonhole). A block's key is the XO
 fullest blocks, ties by block number: of the blocks that agree, the one that comes first in that order has only blocks that differ
 before it, d at most, in either set. Empty blocks, alike in all documents, and blocks of one common shingle thus stay out of the keys.
 
-Sets that share a key are candidates. Equal sets are one class from the start. First a key's sets meet only the key's centre: a candidate
-must pass the bound of two dense parity sketches and then the exact count over both whole sets. Verified links join components; a key
-whose sets are in one component is finished, since a further link in it changes no component. Of the keys that are left, small ones are
-compared pair by pair. A large one is settled by what its sets differ in from its centre: of two sets x and y that link, where x
-does not link with centre c, the differences x ^ c and y ^ c share at least (|x ^ c| + |y ^ c| - d) / 2 tokens, at least one. So each set
-sends, rarest first, as many tokens of its difference as a partner must share one of, and these tokens are the next
-round's keys. A key's centre is in none of them, so every round shrinks the groups; copies edited at random share few such tokens.
-No pair of sets is formed because of its key's size, and no link between components is lost.
+Sets that share a key are candidates. Equal sets are one class from the start. First a key's sets meet only the key's centre, the set that
+meets most others over all its keys: a candidate must pass the bound of two dense parity sketches and then the exact count over both whole
+sets. Verified links join components; a key whose sets are in one component is finished, since a further link in it changes no
+component. Of the keys that are left, those of few pairs, in proportion to their rows, are compared pair by pair. The others are settled by
+what their sets differ in from the centre c: sets x and y link if and only if x ^ c and y ^ c share at least (|x ^ c| + |y ^ c| - d) / 2
+tokens. Two sets that link with c are one component already, and where one does not, that is at least one token. So a prefix filter holds:
+each set sends, common ones last, as many tokens of its difference as a partner must share one of, and a pair is formed only
+where the places of a shared token leave room for the overlap it needs. Copies edited at random, however many, share few such tokens. No pair
+of sets is formed for a large key's sake, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ SLICE = 1 << 21
 BAND, FILL = 1.3, 0.78
 #: Sets up to which a key's pairs are simply joined.
 SMALL_KEY = 16
+#: Tokens put last in prefixes: held by more than one in so many of a centre's sets, and so many at most.
+OFTEN, MOST_OFTEN = 16, 512
+#: Rows with whole sets that a Python worker holds at once.
+BATCH = 256
 
 
 class Similarity:
@@ -253,8 +259,8 @@ def verify(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = zip(batch.column("atokens").to_pylist(), batch.column("btokens").to_pylist(), strict=True)
-            ok = [len(d) <= how.most_apart((len(x) + len(y)) // 8) for x, y in each for d in (difference(x, y),)]
+            each = zip(views(batch.column("atokens")), views(batch.column("btokens")), strict=True)
+            ok = [len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)) <= how.most_apart(len(x) + len(y)) for x, y in each]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     side = lambda s, *columns: sets.select(F.col("g").alias(s), *[F.col(c).alias(s + c) for c in columns])
@@ -262,15 +268,30 @@ def verify(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     return close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").mapInArrow(exact, "a long, b long")
 
 
-def difference(x: bytes, y: bytes) -> np.ndarray:
-    """The tokens that one of two sets holds."""
-    return np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)
+def views(column: pa.Array) -> Iterator[np.ndarray]:
+    """The token arrays of a binary column, not copied."""
+    return (np.frombuffer(x.as_buffer(), np.uint64) for x in column)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it holds, Spark hands Python BATCH rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _centre(members: DataFrame) -> DataFrame:
     """g, m: each key's sets paired with the key's centre."""
-    centres = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("g").alias("r"), F.col("g").alias("m"))).alias("centre"))
-    return members.select("key", "g").join(centres, "key").select("g", F.col("centre.m").alias("m")).where(F.col("g") != F.col("m")).distinct()
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    meets = members.select("key", "g").join(sizes, "key").groupBy("g").agg(F.sum("size").alias("meets"))
+    ranked = materialize(members.select("key", "g").join(meets, "g"), "ranked")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("meets", F.col("g").alias("m"))).alias("centre"))
+    return ranked.join(centres, "key").select("g", F.col("centre.m").alias("m")).where(F.col("g") != F.col("m")).distinct()
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -278,88 +299,116 @@ def _ordered(a: str, b: str) -> list[Column]:
 
 
 def apart(met: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """m, g, far (it does not link with centre m), delta (size of the difference), short, long, tokens of the difference.
+    """m, g, root, n, far (it does not link with centre m), short, prefix, tokens of the difference.
 
-    short: how many of the tokens hold one that any partner shares which is far itself. long: the same for any partner.
+    Of the tokens in any one order, the ``short`` first ones hold one that any far partner shares, and the ``prefix`` first ones of a far set
+    one that any partner shares.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far, delta, short, long_, tokens = [], [], [], [], []
-            for x, c in zip(batch.column("gtokens").to_pylist(), batch.column("mtokens").to_pylist(), strict=True):
-                d, n, m = difference(x, c), len(x) // 8, len(c) // 8
+            size, far, short, prefix, tokens = [], [], [], [], []
+            for x, c in zip(views(batch.column("gtokens")), views(batch.column("mtokens")), strict=True):
+                tokens.append(np.setxor1d(x, c, assume_unique=True).view(np.int64))
+                d, n, m = len(tokens[-1]), len(x), len(c)
                 # a far partner's difference is over most_apart(its size + m); that bound's growth from m to n is given up
                 given_up = -(-(100 - how.percent) * max(0, n - m) // (100 + how.percent))
-                far.append(len(d) > how.most_apart(n + m))
-                delta.append(len(d))
-                short.append(len(d) - max(1, -(-(len(d) + 1 - given_up) // 2)) + 1)
-                long_.append(len(d) - max(1, -(-(len(d) - how.most_apart(n + m)) // 2)) + 1)
-                tokens.append(d.view(np.int64))
-            data = [pa.array(far, pa.bool_()), *(pa.array(v, pa.int64()) for v in (delta, short, long_)), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("g"), *data], ["m", "g", "far", "delta", "short", "long", "tokens"])
+                size.append(n)
+                far.append(d > how.most_apart(n + m))
+                short.append(d - max(1, -(-(d + 1 - given_up) // 2)) + 1)
+                prefix.append(max(short[-1], d - max(1, -(-(d - how.most_apart(n + m)) // 2)) + 1) if far[-1] else short[-1])
+            data = [pa.array(size, pa.int64()), pa.array(far, pa.bool_()), pa.array(short, pa.int64()), pa.array(prefix, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m", "g", "root")), *data], ["m", "g", "root", "n", "far", "short", "prefix", "tokens"])
 
     side = lambda s: sets.select(F.col("g").alias(s), F.col("tokens").alias(s + "tokens"))
-    return met.join(side("g"), "g").join(side("m"), "m").mapInArrow(work, "m long, g long, far boolean, delta long, short long, long long, tokens array<long>")
+    return met.join(side("g"), "g").join(side("m"), "m").mapInArrow(work, "m long, g long, root long, n long, far boolean, short long, prefix long, tokens array<long>")
+
 
+def _prefixes(differ: DataFrame) -> DataFrame:
+    """m, token, g, root, n, far, delta, place, full (place < short) of every set's prefix, in an order that puts common tokens last.
 
-def _next_keys(differ: DataFrame) -> DataFrame:
-    """key, g, full, far: the rarest tokens of every set's difference from its centre, as keys.
+    Which tokens count as common changes no result: those that more than one in OFTEN of a centre's sets have, MOST_OFTEN at most.
+    """
+    # joined with tables, not aggregates, so that a centre of many sets is split; dealt anew by set before lists become rows
+    sizes = materialize(differ.groupBy("m").agg(F.count(F.lit(1)).alias("sets")), "sizes")
+    sized = differ.select("m", "g", "tokens").join(sizes, "m").repartition("g")
+    held = sized.select("m", "sets", F.explode("tokens").alias("token")).groupBy("m", "token").agg(F.count(F.lit(1)).alias("held"), F.first("sets").alias("sets"))
+    common = held.where((F.col("held") > 1) & (OFTEN * F.col("held") > F.col("sets"))).groupBy("m")
+    common = materialize(common.agg(F.slice(F.sort_array(F.collect_list(F.struct("held", "token")), False), 1, MOST_OFTEN).alias("common")), "common")
 
-    A pair is needed where both rows are full, or one is full and not far and the other far: two far sets share a token of their
-    short parts, a far and a linked one a token of the first's long and of the second's short part, and two linked sets are one component.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, dict] = {}
+        for batch in batches:
+            tokens, delta = [], []
+            lists, common = batch.column("tokens"), batch.column("common")
+            for i, (m, prefix) in enumerate(zip(batch.column("m").to_pylist(), batch.column("prefix").to_pylist(), strict=True)):
+                if m not in known:
+                    if len(known) >= BATCH:
+                        known.clear()
+                    known[m] = {x["token"]: x["held"] for x in common[i].as_py() or ()}
+                of, t = known[m], lists[i].as_py()
+                delta.append(len(t))
+                tokens.append(sorted(t, key=lambda x: (of.get(x, 0), x))[:prefix])  # noqa: B023
+            kept = [batch.column(c) for c in ("m", "g", "root", "n", "far", "short")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(delta, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["m", "g", "root", "n", "far", "short", "delta", "tokens"])
+
+    kinds = "m long, g long, root long, n long, far boolean, short long, delta long, tokens array<long>"
+    rows = differ.join(common, "m", "left").mapInArrow(work, kinds).repartition("g")
+    rows = rows.select("m", "g", "root", "n", "far", "delta", "short", F.posexplode("tokens").alias("place", "token"))
+    return rows.withColumn("full", F.col("place") < F.col("short")).drop("short")
+
+
+def _overlapping(rows: DataFrame, how: Similarity) -> DataFrame:
+    """a, b: pairs of different components that share a token of their prefixes early enough to link.
+
+    Two far sets share a token of their short parts, a far and a linked one a token of the first's prefix and of the second's short part;
+    the first token they share leaves room for all others that they must share.
     """
-    each = differ.select("m", "g", "far", "delta", "short", "long", F.explode("tokens").alias("token"))
-    held = each.groupBy("m", "token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
-    ranked = each.join(held, ["m", "token"]).groupBy("m", "g").agg(
-        F.first("far").alias("far"), F.first("delta").alias("delta"), F.first("short").alias("short"), F.first("long").alias("long"),
-        F.array_sort(F.collect_list(F.struct("held", "token"))).alias("tokens"),
-    )
-    # tokens that one set alone holds come first and meet none
-    place = F.col("delta") - F.size("tokens") + F.col("pos")
-    rows = ranked.select("m", "g", "far", "delta", "short", "long", "tokens", F.posexplode("tokens").alias("pos", "t"))
-    rows = rows.select(F.xxhash64("m", "t.token").alias("key"), "g", (place < F.col("short")).alias("full"), "far", (place < F.col("long")).alias("within"))
-    return rows.where(F.col("full") | (F.col("far") & F.col("within"))).select("key", "g", "full", "far")
+    side = lambda s: rows.select("m", "token", *[F.col(c).alias(s + c) for c in ("g", "root", "n", "far", "delta", "place", "full")])
+    two_full = F.col("yfull") & (F.col("xg") < F.col("yg")) & (F.col("xfar") | F.col("yfar"))
+    needed = two_full | (~F.col("yfull") & ~F.col("xfar"))
+    allowed = F.floor((100 - how.percent) * (F.col("xn") + F.col("yn")) / (100 + how.percent))
+    room = 2 * F.least(F.col("xdelta") - F.col("xplace"), F.col("ydelta") - F.col("yplace")) >= F.col("xdelta") + F.col("ydelta") - allowed
+    alike = 100 * F.least("xn", "yn") >= how.percent * F.greatest("xn", "yn")
+    both = side("x").where("xfull").join(side("y"), ["m", "token"]).where((F.col("xroot") != F.col("yroot")) & needed & alike & room)
+    return both.select(*_ordered("xg", "yg")).distinct()
 
 
 def _unfinished(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, g, full, far, root, size of the keys whose sets are in several components and hold a pair that is needed."""
+    """key, g, root, few of the keys whose sets are in several components; few: pairs in proportion to sets."""
     at = roots.select(F.col("node").alias("g"), "root")
     placed = materialize(members.join(at, "g", "left").withColumn("root", F.coalesce("root", "g")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("full").alias("some"), F.count(F.lit(1)).alias("size"))
-    return placed.join(mixed.where("some AND lo != hi").select("key", "size"), "key")
+    by = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return placed.join(by.where("lo != hi").select("key", (F.col("size") <= SMALL_KEY).alias("few")), "key")
 
 
 def _small_pairs(members: DataFrame) -> DataFrame:
-    """a, b: the needed pairs of every key's sets that are in different components."""
-    side = lambda s: members.select("key", *[F.col(c).alias(s + c) for c in ("g", "full", "far", "root")])
-    near = lambda s: F.col(s + "full") & ~F.col(s + "far")
-    needed = (F.col("xfull") & F.col("yfull")) | (near("x") & F.col("yfar")) | (near("y") & F.col("xfar"))
-    both = side("x").join(side("y"), "key").where((F.col("xg") < F.col("yg")) & (F.col("xroot") != F.col("yroot")) & needed)
-    return both.select(F.col("xg").alias("a"), F.col("yg").alias("b")).distinct()
+    """a, b: the pairs of every key's sets that are in different components."""
+    side = lambda s: members.select("key", F.col("g").alias(s), F.col("root").alias(s + "root"))
+    return side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("aroot") != F.col("broot"))).select("a", "b").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFrame:
     """node, root: the components of the classes (g, n, doc_id, h, c1, c2) that link with another one."""
     # two sets of one c1 both take its keys; what they share is verified
-    found = shared_keys(keys(docs, how)).join(classes.select("c1", "g"), "c1")
-    members = materialize(found.select("key", "g", F.lit(True).alias("full"), F.lit(False).alias("far")), "members")
+    members = materialize(shared_keys(keys(docs, how)).join(classes.select("c1", "g"), "c1").select("key", "g"), "members")
     wanted = classes.join(members.select("g").distinct(), "g", "left_semi").select("g", "n", "doc_id", "h", "c1", "c2")
-    sets = materialize(token_sets(docs, wanted, how), "sets")
-    pairs = materialize(_centre(members).select(*_ordered("g", "m")), "pairs")
-    links = materialize(verify(pairs, sets, how), "links")
-    while True:
-        roots = connected_components(links)
-        open_ = materialize(_unfinished(members, roots), "open")
-        if not open_.limit(1).count():
-            return roots
-        pairs = materialize(_small_pairs(open_.where(F.col("size") <= SMALL_KEY)), "pairs")
-        differ = materialize(apart(_centre(open_.where(F.col("size") > SMALL_KEY)), sets, how), "apart")
-        near = differ.where(~F.col("far")).select(*_ordered("g", "m"))
-        fresh = materialize(verify(pairs, sets, how).unionByName(near), "links")
-        links = materialize(links.unionByName(fresh), "links")
-        members = materialize(_next_keys(differ), "members")
-        for gone in (open_, pairs, fresh):
-            drop_table(gone)
+    with small_batches(docs.sparkSession):
+        sets = materialize(token_sets(docs, wanted, how), "sets")
+        pairs = materialize(_centre(members).select(*_ordered("g", "m")).distinct(), "pairs")
+        links = materialize(verify(pairs, sets, how), "links")
+    roots = connected_components(links)
+    open_ = materialize(_unfinished(members, roots), "open")
+    drop_table(members)
+    large = open_.where("NOT few")
+    met = _centre(large).join(large.select("g", "root").distinct(), "g")
+    with small_batches(docs.sparkSession):
+        differ = materialize(apart(met, sets, how), "apart")
+        prefixes = materialize(_prefixes(differ), "prefixes")
+        left = _small_pairs(open_.where("few")).unionByName(_overlapping(prefixes, how)).distinct()
+        found = materialize(verify(materialize(left, "pairs"), sets, how), "links")
+    near = differ.where(~F.col("far")).select(*_ordered("g", "m"))
+    return connected_components(links.unionByName(near).unionByName(found))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:

@@ -202,11 +202,11 @@ def test_a_tight_group_is_found_whole():
     cos = x @ x.T
     lists = embedding_dedup.both_ways(embedding_dedup.robust_prune(cos, embedding_dedup.DEGREE, embedding_dedup.CANDIDATES))
     assert all(i in lists[j] for i in range(800) for j in lists[i])
-    found = embedding_dedup.range_search(cos, lists, 500, np.arange(800), embedding_dedup.THRESHOLD)
+    found = embedding_dedup.range_search(x, x, lists, 500, np.arange(800), embedding_dedup.THRESHOLD)
     truth = cos >= embedding_dedup.THRESHOLD
     assert truth.sum() > 20_000 and not (found & ~truth).any() and found.sum() >= 0.99 * truth.sum()
     # a query that is not in the graph comes from the medoid alone
-    far = embedding_dedup.range_search(cos[:300], lists, 500, np.full(300, -1), embedding_dedup.THRESHOLD)
+    far = embedding_dedup.range_search(x[:300], x, lists, 500, np.full(300, -1), embedding_dedup.THRESHOLD)
     assert not (far & ~truth[:300]).any()
 
 
@@ -223,6 +223,24 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_labels_of_other_types(spark):
+    for kind, labels in (("string", ["a", "a", "b", None]), ("double", [1.2, 1.2, 1.9, None])):
+        frame = spark.createDataFrame([(i, [1.0, 0.5], x) for i, x in enumerate(labels)], f"vec_id long, embedding array<float>, label {kind}")
+        assert {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_the_search_computes_few_cosines(monkeypatch):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(40, 64))[np.arange(2000) % 40] + r.normal(size=(2000, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lists = embedding_dedup.both_ways(embedding_dedup.robust_prune(x @ x.T, embedding_dedup.DEGREE, embedding_dedup.CANDIDATES))
+    computed, real = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: computed.append(len(a)) or real(how, a, b))
+    found = embedding_dedup.range_search(x[:200], x, lists, 3, np.arange(200), embedding_dedup.THRESHOLD)
+    truth = x[:200] @ x.T >= embedding_dedup.THRESHOLD
+    assert sum(computed) < 0.5 * truth.size and found.sum() >= 0.98 * truth.sum() and not (found & ~truth).any()
+
+
 def test_robust_prune_keeps_the_nearest():
     x = np.random.default_rng(0).normal(size=(200, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -274,8 +292,8 @@ def test_a_query_with_one_link_is_audited_on_its_own(monkeypatch):
     x /= np.linalg.norm(x, axis=1)[:, None]
     search = embedding_dedup.range_search
 
-    def misses(cos, *rest):
-        found = search(cos, *rest)
+    def misses(*args):
+        found = search(*args)
         found[0] = False
         return found
 
