@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tenorlab.functions.scalars import asset_class, status_label
 
+#: Terms and types of coupon issues.
 HEADLINE_TENORS = ("2-Year", "3-Year", "5-Year", "7-Year", "10-Year", "20-Year", "30-Year")
 BREAKEVEN_TENORS = ("5-Year", "10-Year", "20-Year", "30-Year")
 COUPON_TYPES = ("Note", "Bond")
@@ -51,12 +52,15 @@ def tips_nominal_pairs(tips: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def breakeven(ranked: DataFrame, pairs: DataFrame, eod: DataFrame, statuses: Sequence[str] = ("c", "o", "oo")) -> DataFrame:
-    """Nominal yield less linker yield; a missing nominal yield drops the row, a missing linker yield leaves it null."""
+    """Nominal yield less linker yield; a missing nominal yield drops the row, a missing linker yield leaves it null.
+
+    A linker meets its pairs by cusip alone and takes the pair's tenor, so one reopened under another term counts in both.
+    """
     linkers = ranked.where((F.col("asset_class") == "tips") & F.col("status").isin(*statuses))
-    linkers = linkers.select("ts", F.col("cusip").alias("tips_cusip"), "tenor", "status", F.col("yld_ytm_mid").alias("tips_yield"))
+    linkers = linkers.select("ts", F.col("cusip").alias("tips_cusip"), "status", F.col("yld_ytm_mid").alias("tips_yield"))
     nominal = eod.where(F.col("yld_ytm_mid").isNotNull()).select("ts", F.col("cusip").alias("nominal_cusip"), F.col("yld_ytm_mid").alias("nominal_yield"))
     return (
-        linkers.join(pairs.select("tips_cusip", "tenor", "nominal_cusip"), ["tips_cusip", "tenor"])
+        linkers.join(pairs.select("tips_cusip", "tenor", "nominal_cusip"), "tips_cusip")
         .join(nominal, ["nominal_cusip", "ts"])
         .select("ts", "tenor", "status", "nominal_cusip", "tips_cusip", "nominal_yield", "tips_yield", (F.col("nominal_yield") - F.col("tips_yield")).alias("breakeven"))
     )

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenorlab.session import shared_path
+from tenorlab.session import exists, move, remove
+
+#: Securities of one vendor request.
+BATCH_SECURITIES = 5
 
 
 def high_water_mark(table: DataFrame | None, column: str):
@@ -27,9 +31,17 @@ def align(rows: DataFrame, like: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows to append: incoming rows whose key is not there yet. A null in a key never conflicts."""
-    return align(incoming, existing).join(existing.select(*keys).distinct(), list(keys), "left_anti")
+def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """The rows to append: incoming rows whose key is not there yet, of each key the first by ``order``. A null in a key never conflicts.
+
+    Without an order the row of the least values stays, so that a run again gives the same.
+    """
+    fresh = align(incoming, existing)
+    order = list(order) or [c for c in fresh.columns if c not in keys]
+    whole = F.struct(*[F.col(c) for c in fresh.columns])
+    clash = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    first = fresh.where(clash).groupBy(*keys).agg(F.min_by(whole, F.struct(*order, *[c for c in fresh.columns if c not in order])).alias("row")).select("row.*")
+    return first.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*fresh.columns).unionByName(fresh.where(~clash))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], stay: Sequence[str] = ("created_at",)) -> DataFrame:
@@ -44,11 +56,21 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], stay:
 
 
 def incremental(source: DataFrame, sink: DataFrame | None, ts: str = "ts", lookback_days: int = 0) -> DataFrame:
-    """The rows of ``source`` to append: all when the sink is empty, else those after its high-water mark."""
+    """The rows of ``source`` to load: all when the sink is empty, else those after its high-water mark.
+
+    With ``lookback_days`` they overlap the sink and belong into an upsert; appended, they would be there twice.
+    """
     mark = high_water_mark(sink, ts)
     return source if mark is None else source.where(F.col(ts) > F.date_sub(F.lit(mark), lookback_days))
 
 
+def incremental_by_key(source: DataFrame, sink: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+    """The rows of ``source`` after their own key's last time in the sink; a key that is new there comes whole."""
+    marks = sink.groupBy(F.col(key).alias("known")).agg(F.max(ts).alias("mark"))
+    later = source.join(marks, F.col(key).eqNullSafe(F.col("known")), "left").where(F.col("mark").isNull() | (F.col(ts) > F.col("mark")))
+    return later.select(*source.columns)
+
+
 def build(source: Callable[[], DataFrame], sink: DataFrame | None, mode: str = "incremental", ts: str = "ts") -> tuple[str, DataFrame | None]:
     """What a run does: ('full', rows), ('append', rows) or ('nothing', None)."""
     rows = source()
@@ -62,16 +84,40 @@ def build(source: Callable[[], DataFrame], sink: DataFrame | None, mode: str = "
 
 
 def full_refresh(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Overwrite the table at ``path``; rows may be read from it, since they are staged first."""
-    spark = rows.sparkSession
-    staged = shared_path(spark, "stage")
-    rows.write.parquet(staged)
-    spark.read.schema(rows.schema).parquet(staged).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(fs_path, True)
+    """Replace the table at ``path``; rows may be read from it.
+
+    The new table is written whole beside the old one, which is moved aside only then: a failed write leaves the old table, and a failure
+    between the two moves leaves both, under ``path`` with .new and .old.
+    """
+    spark, fresh, old = rows.sparkSession, f"{path}.new", f"{path}.old"
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(fresh)
+    remove(spark, old)
+    if exists(spark, path):
+        move(spark, path, old)
+    move(spark, fresh, path)
+    remove(spark, old)
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
 
 
+def written(rows: DataFrame, write: Callable[[DataFrame], object]) -> int:
+    """Hand ``rows`` to ``write`` and tell how many it took, counted while they are written."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
+
+
+def in_batches(keys: Sequence[str], load: Callable[[Sequence[str]], int], size: int = BATCH_SECURITIES, on_progress: Callable[[int, int, int], None] | None = None) -> int:
+    """Load a few requested keys at a time, as vendors limit requests; rows in all. on_progress: batches done, batches, rows so far."""
+    parts = [keys[i : i + size] for i in range(0, len(keys), size)]
+    total = 0
+    for k, part in enumerate(parts, 1):
+        total += load(part)
+        if on_progress:
+            on_progress(k, len(parts), total)
+    return total
+
+
 def append(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
@@ -82,9 +128,9 @@ def assert_unique(rows: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"key {tuple(keys)} is not unique: {twice[0]}")
 
 
-def empty_like(spark: SparkSession, schema) -> DataFrame:
-    """A table without rows, as CREATE TABLE IF NOT EXISTS would leave it."""
-    return spark.createDataFrame([], schema)
+def print_rows(rows: DataFrame, n: int = 20) -> None:
+    """The first rows on the console."""
+    rows.show(n, truncate=False)
 
 
 def with_year(rows: DataFrame, ts: str = "ts") -> DataFrame:

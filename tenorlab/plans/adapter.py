@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tenorlab.sources.readers import table
 
@@ -14,12 +13,13 @@ LINKER_TENORS = tuple(f"Brand#{i}" for i in range(1, 16))
 
 
 def auctions(spark: SparkSession, sf: str) -> DataFrame:
-    """A part is an issue, its shipments are its auctions. Partitioned by part, as the later grouping by issue needs it."""
+    """A part is an issue, its shipments are its auctions; its last day is aggregated before the join."""
     ship = table(spark, sf, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("auction_date"))
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    rows = ship.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    last = ship.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("auction_date").alias("maturity_date"))
+    rows = ship.join(part.join(last, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(
-        F.col("p_partkey").cast("string").alias("cusip"), "auction_date", F.max("auction_date").over(Window.partitionBy("p_partkey")).alias("maturity_date"),
+        F.col("p_partkey").cast("string").alias("cusip"), "auction_date", "maturity_date",
         F.col("p_brand").alias("original_security_term"), F.col("p_type").alias("security_type"), F.when(F.col("p_size") % 4 == 0, "Yes").otherwise("No").alias("inflation_index_security"),
     )
 

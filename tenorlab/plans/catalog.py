@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -386,8 +385,3 @@ def stream_last_value(spark, sf):
 def stream_bars(spark, sf):
     rows = run_available(live_bars(A.ticks(_event_stream(spark, sf)), 60, "30 days", ORDERED), ["security", "time"])
     return rows.withColumn("time", F.col("time").cast("timestamp_ntz"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """Frames of one request each as one table; missing columns are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

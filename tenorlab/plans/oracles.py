@@ -9,31 +9,31 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-_AUCTIONS = """auctions AS (
+_AUCTIONS = """auctions AS MATERIALIZED (
   SELECT CAST(p_partkey AS VARCHAR) AS cusip, CAST(l_shipdate AS DATE) AS auction_date, max(CAST(l_shipdate AS DATE)) OVER (PARTITION BY p_partkey) AS maturity_date,
          p_brand AS term, p_type AS security_type, CASE WHEN p_size % 4 = 0 THEN 'Yes' ELSE 'No' END AS flag
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-_FIRST = f"""first_auction AS (
+_FIRST = f"""first_auction AS MATERIALIZED (
   SELECT cusip, term AS tenor, flag, min(auction_date) AS first_auction_date, max(maturity_date) AS maturity_date
   FROM auctions WHERE security_type IN {_in(TYPES)} AND term IN {_in(TENORS)} GROUP BY ALL)"""
 _TIPS = f"""tips AS (
   SELECT cusip, term AS tenor, min(auction_date) AS first_auction_date
   FROM auctions WHERE flag = 'Yes' AND security_type IN {_in(TYPES)} AND term IN {_in(LINKER_TENORS)} GROUP BY ALL)"""
-_EOD = """eod AS (
+_EOD = """eod AS MATERIALIZED (
   SELECT CAST(l_shipdate AS DATE) AS ts, CAST(l_partkey AS VARCHAR) AS cusip, avg(l_extendedprice / l_quantity) AS px_last, avg(l_discount) AS yld_ytm_mid
   FROM lineitem GROUP BY 1, 2)"""
-_HEADLINE = f"""{_AUCTIONS}, {_FIRST}, {_EOD}, headline AS (
+_HEADLINE = f"""{_AUCTIONS}, {_FIRST}, {_EOD}, headline AS MATERIALIZED (
   SELECT ts, tenor, asset_class, cusip, CASE rk WHEN 1 THEN 'c' WHEN 2 THEN 'o' WHEN 3 THEN 'oo' WHEN 4 THEN 'ooo' WHEN 5 THEN 'oooo' END AS status, px_last, yld_ytm_mid
   FROM (SELECT e.ts, f.tenor, e.cusip, px_last, yld_ytm_mid, CASE WHEN flag = 'Yes' THEN 'tips' ELSE 'nominal' END AS asset_class,
                row_number() OVER (PARTITION BY e.ts, f.tenor, CASE WHEN flag = 'Yes' THEN 'tips' ELSE 'nominal' END ORDER BY first_auction_date DESC, e.cusip) AS rk
         FROM eod e JOIN first_auction f ON e.cusip = f.cusip AND e.ts >= f.first_auction_date AND e.ts < f.maturity_date)
   WHERE rk <= 5)"""
-_PAIRS = f"""{_HEADLINE}, {_TIPS}, pairs AS (
+_PAIRS = f"""{_HEADLINE}, {_TIPS}, pairs AS MATERIALIZED (
   SELECT t.tenor, t.cusip AS tips_cusip, h.cusip AS nominal_cusip, t.first_auction_date
   FROM tips t JOIN headline h ON h.ts = t.first_auction_date AND h.tenor = t.tenor AND h.asset_class = 'nominal' AND h.status = 'c')"""
 _BREAKEVEN = f"""{_PAIRS}, be AS (
-  SELECT h.ts, h.tenor, h.status, p.nominal_cusip, p.tips_cusip, en.yld_ytm_mid AS nominal_yield, h.yld_ytm_mid AS tips_yield, en.yld_ytm_mid - h.yld_ytm_mid AS breakeven
-  FROM headline h JOIN pairs p ON h.cusip = p.tips_cusip AND h.tenor = p.tenor JOIN eod en ON en.cusip = p.nominal_cusip AND en.ts = h.ts
+  SELECT h.ts, p.tenor, h.status, p.nominal_cusip, p.tips_cusip, en.yld_ytm_mid AS nominal_yield, h.yld_ytm_mid AS tips_yield, en.yld_ytm_mid - h.yld_ytm_mid AS breakeven
+  FROM headline h JOIN pairs p ON h.cusip = p.tips_cusip JOIN eod en ON en.cusip = p.nominal_cusip AND en.ts = h.ts
   WHERE h.asset_class = 'tips' AND h.status IN ('c', 'o', 'oo') AND en.yld_ytm_mid IS NOT NULL)"""
 _OOS = """series AS (SELECT CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) AS y FROM orders GROUP BY 1),
 numbered AS (SELECT ts, y, row_number() OVER (ORDER BY ts) - 1 AS n FROM series),
@@ -130,6 +130,9 @@ ORACLES: dict[str, str] = {
     "lenient_parse": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN try_cast('19' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '-02-' || lpad(CAST(p_size % 31 + 1 AS VARCHAR), 2, '0') AS DATE) END AS day,
         CASE WHEN p_partkey % 2 = 0 THEN p_retailprice END AS number, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS BIGINT) END AS whole FROM part""",
     "json_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+    "schema_probe": """SELECT CAST(column_index - 1 AS INTEGER) AS position, column_name, CASE WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz'
+        ELSE CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(data_type) END END AS data_type
+        FROM duckdb_columns() WHERE table_name = 'lineitem'""",
     "explode_bulk": "SELECT o_orderkey AS security, l_linenumber, l_partkey, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey",
     "snapshot_fields": """SELECT c_name AS security, c_acctbal, c_mktsegment, 'USD' AS currency FROM customer
         WHERE c_name IN (SELECT 'Customer#' || lpad(CAST(i AS VARCHAR), 9, '0') FROM range(0, 140, 2) r(i)) AND NOT c_acctbal < 0""",

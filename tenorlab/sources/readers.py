@@ -1,19 +1,11 @@
-"""Readers: stored tables, JDBC, landed JSON pages, catalogue."""
+"""Readers: stored tables, JDBC, landed JSON pages, catalogue, named relations."""
 
 from __future__ import annotations
 
-import json
-import time
-from collections.abc import Callable, Iterator, Mapping
-from typing import Protocol
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-PAGE_ROWS, BATCH_SECURITIES, TIMEOUT_S, RETRIES, BACKOFF = 10_000, 5, 60, 5, 2.0
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -41,73 +33,7 @@ def list_columns(spark: SparkSession, view: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(view)]
 
 
-def with_retry(fetch: Callable[[], object], retries: int = RETRIES, backoff: float = BACKOFF, sleep: Callable[[float], None] = time.sleep) -> object:
-    """``fetch`` with exponential back-off between attempts; the last error is raised."""
-    for i in range(retries):
-        try:
-            return fetch()
-        except Exception:
-            if i == retries - 1:
-                raise
-            sleep(backoff**i)
-    raise ValueError("retries must be positive")
-
-
-class Provider(Protocol):
-    """What a data vendor or API client offers: one page of records for a request."""
-
-    def pages(self, request: Mapping[str, str]) -> int: ...
-
-    def fetch(self, request: Mapping[str, str], page: int) -> list[Mapping[str, object]]: ...
-
-
-class FolderProvider:
-    """Landed pages as a provider: one JSON file per page in a shared folder; ``after`` filters on auction_date as the API does."""
-
-    def __init__(self, files: list[str]):
-        self.files = files
-
-    def pages(self, request: Mapping[str, str]) -> int:
-        return len(self.files)
-
-    def fetch(self, request: Mapping[str, str], page: int) -> list[Mapping[str, object]]:
-        def read() -> dict:
-            with open(self.files[page], encoding="utf-8") as f:
-                return json.load(f)
-
-        rows = with_retry(read)["data"]
-        after = request.get("after")
-        return [r for r in rows if not after or str(r.get("auction_date") or "") > after]
-
-
-class _Page(InputPartition):
-    pass
-
-
-class PagedReader(DataSourceReader):
-    """One input partition per page; every field as text, then ``ingest_seq`` in page order."""
-
-    def __init__(self, provider: Provider, schema: StructType, options: Mapping[str, str]):
-        self.provider, self.schema, self.options = provider, schema, dict(options)
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(self.provider.pages(self.options))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        names = [f.name for f in self.schema if f.name != "ingest_seq"]
-        for k, r in enumerate(self.provider.fetch(self.options, partition.value)):
-            yield (*[None if r.get(n) is None else str(r[n]) for n in names], partition.value * PAGE_ROWS + k)
-
-
-class PagedRecords(DataSource):
-    """spark.read.format("paged_records").option("files", json list).option("after", day).schema(...)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_records"
-
-    def schema(self) -> str:
-        return "cusip string, auction_date string, ingest_seq long"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return PagedReader(FolderProvider(json.loads(self.options["files"])), schema, self.options)
+def relation(frame: DataFrame, name: str) -> DataFrame:
+    """Make a frame known to SQL under a name for this session; a name that exists is replaced."""
+    frame.createOrReplaceTempView(name)
+    return frame.sparkSession.table(name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,9 +48,55 @@ def run_available(result: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(latest)).where(F.col("__r") == 1).select(*result.columns)
 
 
+def subscribed(updates: DataFrame, wanted: Mapping[str, Sequence[str]], fields: Sequence[str] = FIELDS) -> DataFrame:
+    """The updates of the wanted securities, each with the fields wanted of it; others are null. Works on streams and tables."""
+    asked = [f for f in fields if f in updates.columns]
+    of = lambda f: F.col("security").isin([s for s, names in wanted.items() if f in names])
+    return updates.where(F.col("security").isin(list(wanted))).withColumns({f: F.when(of(f), F.col(f)) for f in asked})
+
+
+def stamped(updates: DataFrame) -> DataFrame:
+    """The updates with arrival_ts, the time at which their micro-batch came in."""
+    return updates.withColumn("arrival_ts", F.current_timestamp())
+
+
 def throttled(result: DataFrame, show: Callable[[DataFrame, int], None], every: str = "1 second") -> StreamingQuery:
-    """Hand the whole state to ``show`` at most once per interval. Starting and stopping are the query's own."""
-    return result.writeStream.outputMode("complete").foreachBatch(show).trigger(processingTime=every).start()
+    """Hand the whole state to ``show`` at most once per interval."""
+    place = shared_path(result.sparkSession, "feed")
+    return result.writeStream.outputMode("complete").foreachBatch(show).option("checkpointLocation", place).trigger(processingTime=every).start()
+
+
+class LiveFeed:
+    """A running feed: the state goes to ``on_data`` at most once per interval, status events to ``on_status``. Starting and stopping twice does nothing."""
+
+    def __init__(self, state: DataFrame, on_data: Callable[[DataFrame, int], None], every: str = "1 second", on_status: Callable[[str, object], None] | None = None):
+        self._state, self._on_data, self._every = state, on_data, every
+        self._listener = StatusListener(on_status) if on_status else None
+        self._query: StreamingQuery | None = None
+
+    @property
+    def running(self) -> bool:
+        return self._query is not None and self._query.isActive
+
+    def start(self) -> LiveFeed:
+        if not self.running:
+            if self._listener:
+                self._state.sparkSession.streams.addListener(self._listener)
+            self._query = throttled(self._state, self._on_data, self._every)
+        return self
+
+    def stop(self) -> None:
+        if self._query is not None:
+            self._query.stop()
+            self._query = None
+            if self._listener:
+                self._state.sparkSession.streams.removeListener(self._listener)
+
+    def __enter__(self) -> LiveFeed:
+        return self.start()
+
+    def __exit__(self, *_) -> None:
+        self.stop()
 
 
 class StatusListener(StreamingQueryListener):

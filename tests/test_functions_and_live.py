@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tenorlab.functions.scalars import assemble_timestamp, column_name, price_32nds, register_sql, status_label, utc_naive
 from tenorlab.operators import connector, live, universe
 from tenorlab.operators.bars import fill_gaps, intraday_bars, resample
-from tenorlab.sources.readers import PagedRecords, with_retry
-from tenorlab.streaming.feeds import StatusListener, file_stream, live_last_values, run_available
+from tenorlab.sources.paging import PagedRecords, with_retry
+from tenorlab.session import shared_path
+from tenorlab.streaming.feeds import LiveFeed, StatusListener, file_stream, live_last_values, run_available, stamped, subscribed
 
 PRICES = {112.640625: "112-20+", 112.625: "112-20", 112.65625: "112-21", 112.6484375: "112-206", 99.5: "099-16", 112.6328125: "112-202", 101.00390625: "101-001", 99.999: "099-32"}
 
@@ -109,3 +110,40 @@ def test_status_listener():
     seen = []
     StatusListener(lambda kind, e: seen.append(kind)).onQueryStarted(None)
     assert seen == ["started"]
+
+
+def test_feeds_take_what_is_subscribed(spark):
+    got = subscribed(updates(spark), {"S1": ["BID"], "S3": ["ASK"]}).collect()
+    assert [(r.security, r.BID, r.ASK) for r in sorted(got, key=lambda r: r.seq)] == [("S1", 1.0, None), ("S1", None, None), ("S1", 3.0, None)]
+    assert all(r.arrival_ts is not None for r in stamped(updates(spark)).collect())
+
+
+def test_a_feed_starts_and_stops_once(spark, tmp_path):
+    import time
+
+    updates(spark).write.parquet(f"file://{tmp_path}/in/0")
+    stream = stamped(file_stream(spark, f"file://{tmp_path}/in", updates(spark).schema))
+    shown, said = [], []
+    feed = LiveFeed(live_last_values(stream), lambda rows, n: shown.append({r.security: r.BID for r in rows.collect()}), "1 second", lambda kind, _: said.append(kind))
+    with feed:
+        assert feed.start() is feed and feed.running and len(spark.streams.active) == 1
+        for i in range(200):
+            if shown:
+                break
+            if i == 100:
+                updates(spark).write.parquet(f"file://{tmp_path}/in/1")
+            time.sleep(0.1)
+    feed.stop()
+    assert not feed.running and shown[0] == {"S1": 3.0, "S2": None} and "started" in said
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Session, "x")

@@ -12,7 +12,7 @@ def test_query_matches_sql(spark, sf, name):
 
 def test_every_query_is_registered(spark):
     assert set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"schema_probe"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows(spark):
