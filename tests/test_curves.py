@@ -62,3 +62,10 @@ def test_breakeven_pair_stays(spark, n1, t1, want):
 def test_no_price_on_the_first_day_gives_no_pair(spark):
     ranked = curves.headline(eod(spark, ["2024-02-01"]), auctions(spark))
     assert curves.tips_nominal_pairs(curves.tips_first_issues(auctions(spark)), ranked).count() == 0
+
+
+def test_a_linker_reopened_under_another_term_counts_in_both(spark):
+    ranked = spark.createDataFrame([(D("2024-02-01"), "10-Year", "tips", "T1", "c", 99.0, 1.9)], "ts date, tenor string, asset_class string, cusip string, status string, px_last double, yld_ytm_mid double")
+    pairs = spark.createDataFrame([("10-Year", "T1", "N1"), ("5-Year", "T1", "N2")], "tenor string, tips_cusip string, nominal_cusip string")
+    got = {(r.tenor, r.nominal_cusip, round(r.breakeven, 6)) for r in curves.breakeven(ranked, pairs, eod(spark, ["2024-02-01"], yields={("N2", "2024-02-01"): 4.5})).collect()}
+    assert got == {("10-Year", "N1", 2.1), ("5-Year", "N2", 2.6)}
