@@ -36,6 +36,13 @@ def lenient_date(text: Column, form: str = "yyyy-MM-dd") -> Column:
     return F.to_date(F.try_to_timestamp(text, F.lit(form)))
 
 
+def any_date(value: Column) -> Column:
+    """The day of a date, a time stamp or a text of either, compact or with dashes or slashes; null for what is none."""
+    text = value.cast("string")
+    forms = (F.lit("yyyy-MM-dd"), F.lit("yyyyMMdd"), F.lit("MM/dd/yyyy"), F.lit("yyyy/MM/dd"))
+    return F.coalesce(text.try_cast("timestamp").cast("date"), *[F.to_date(F.try_to_timestamp(text, form)) for form in forms])
+
+
 def lenient_double(text: Column) -> Column:
     return null_if_nan(text.try_cast("double"))
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tenorlab.operators import curves, dml, ingest
+from tenorlab.schemas import BREAKEVEN, HEADLINE, KEYS
 from tenorlab.session import build_session, exists
 from tenorlab.sources.paging import paged_records
 from tenorlab.sources.readers import table
@@ -34,15 +35,21 @@ def breakeven(spark: SparkSession, store: str) -> DataFrame:
     return curves.breakeven(ranked, curves.tips_nominal_pairs(curves.tips_first_issues(_source(spark, store, "auctions")), ranked), _source(spark, store, "ust_eod"))
 
 
+#: The stored tables' schemas, and words that ask for a build anew.
+TABLES = {"headline": HEADLINE, "breakeven": BREAKEVEN}
+FULL = ("full", "all", "refresh")
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"headline": headline, "breakeven": breakeven}
 
 
 def build(spark: SparkSession, store: str, name: str, rebuild: bool = False) -> tuple[str, int]:
-    """Build a table in its store: what was done ('full', 'append' or 'nothing') and how many rows went in."""
-    done, rows = dml.build(lambda: BUILDS[name](spark, store), stored(spark, store, name), "full" if rebuild else "incremental")
+    """Build a table in its store, made first where it is not there: what was done ('full', 'append' or 'nothing') and how many rows went in."""
+    path = f"{store}/{name}.parquet"
+    dml.ensure_table(spark, path, TABLES[name])
+    sink = stored(spark, store, name)
+    done, rows = dml.build(lambda: dml.align(BUILDS[name](spark, store), sink), sink, "full" if rebuild else "incremental")
     if rows is None:
         return done, 0
-    path = f"{store}/{name}.parquet"
+    dml.assert_unique(rows, KEYS[name])
     return done, dml.written(rows, (lambda r: dml.full_refresh(r, path)) if done == "full" else (lambda r: dml.append(r, path)))
 
 
@@ -63,19 +70,21 @@ def pull_auctions(spark: SparkSession, store: str, rebuild: bool = False, **opti
 def main(arguments: Sequence[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Build a stored table")
     parser.add_argument("table", choices=[*BUILDS, "auctions"])
+    parser.add_argument("mode", nargs="?", choices=["incremental", *FULL], default="incremental", help="how to build; full, all and refresh mean --rebuild")
     parser.add_argument("--store", required=True, help="folder of the stored tables")
     parser.add_argument("--rebuild", action="store_true", help="build it anew instead of adding what is new")
     parser.add_argument("--url", help="auctions: address of the paged API")
     parser.add_argument("--files", help="auctions: landed pages as a JSON list of files")
     asked = parser.parse_args(arguments)
+    rebuild = asked.rebuild or asked.mode in FULL
     spark = build_session()
     if asked.table == "auctions":
         options = {k: v for k, v in (("url", asked.url), ("files", asked.files)) if v}
         if not options:
             parser.error("auctions need --url or --files")
-        done, n = pull_auctions(spark, asked.store, asked.rebuild, **options)
+        done, n = pull_auctions(spark, asked.store, rebuild, **options)
     else:
-        done, n = build(spark, asked.store, asked.table, asked.rebuild)
+        done, n = build(spark, asked.store, asked.table, rebuild)
     print(f"{asked.table}: {'up to date' if done == 'nothing' else f'{n:,} rows, {done}'}")
     return 0
 

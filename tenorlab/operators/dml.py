@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tenorlab.session import exists, move, remove
@@ -128,6 +129,14 @@ def assert_unique(rows: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"key {tuple(keys)} is not unique: {twice[0]}")
 
 
+def ensure_table(spark: SparkSession, path: str, schema: StructType, partition_by: Sequence[str] = ()) -> bool:
+    """Make an empty table of the schema unless there is one; a frame's schema makes an empty copy of it. True where it was made."""
+    if exists(spark, path):
+        return False
+    spark.createDataFrame([], schema).write.partitionBy(*partition_by).parquet(path)
+    return True
+
+
 def print_rows(rows: DataFrame, n: int = 20) -> None:
     """The first rows on the console."""
     rows.show(n, truncate=False)

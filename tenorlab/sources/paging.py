@@ -11,7 +11,7 @@ from typing import NamedTuple, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 PAGE_ROWS, TIMEOUT_S, RETRIES, BACKOFF = 10_000, 60, 5, 2.0
 #: Comparisons that a source understands, by the kind of Spark's filter.
@@ -100,6 +100,29 @@ class WebProvider:
         return _page(with_retry(get, backoff=self.backoff))
 
 
+def one_shot(url: str, timeout: float = TIMEOUT_S, retries: int = RETRIES, backoff: float = BACKOFF, sleep: Callable[[float], None] = time.sleep) -> list[Mapping[str, object]]:
+    """All records of an API that answers at once; whatever content type it names, the answer must be JSON, and no other is tried again and again."""
+
+    def get() -> list[Mapping[str, object]]:
+        asked = urllib.request.Request(url, headers={"Accept": "application/json"})
+        with urllib.request.urlopen(asked, timeout=timeout) as answer:
+            body, kind = answer.read(), answer.headers.get_content_type()
+            try:
+                found = json.loads(body.decode(answer.headers.get_content_charset() or "utf-8"))
+            except ValueError as wrong:
+                raise ValueError(f"{url} answered {kind} that is no JSON") from wrong
+        return found if isinstance(found, list) else found.get("data") or []
+
+    return with_retry(get, retries, backoff, sleep)
+
+
+def landed(spark: SparkSession, records: list[Mapping[str, object]]) -> DataFrame:
+    """Records of one answer as text columns, with ``ingest_seq`` in their order; columns of all records together."""
+    names = list(dict.fromkeys(n for r in records for n in r))
+    rows = [(*[None if r.get(n) is None else str(r[n]) for n in names], i) for i, r in enumerate(records)]
+    return spark.createDataFrame(rows, StructType([*[StructField(n, StringType()) for n in names], StructField("ingest_seq", LongType())]))
+
+
 class _Start(InputPartition):
     """A page, or all pages from the first on."""
 

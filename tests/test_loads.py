@@ -124,5 +124,13 @@ def test_tables_are_built_by_command(spark, tmp_path, capsys):
     assert jobs.build(spark, store, "breakeven", rebuild=True) == ("full", 4)
     got = {(str(r.ts), r.tips_cusip, r.nominal_cusip, r.breakeven) for r in spark.read.parquet(f"{store}/breakeven.parquet").collect()}
     assert got == {("2024-01-10", "T0", "N0", 2.0), ("2024-01-20", "T0", "N0", 2.0), ("2024-02-01", "T0", "N0", 2.0), ("2024-02-01", "T1", "N1", 2.0)}
+    assert jobs.main(["headline", "refresh", "--store", store]) == 0 and "headline: 8 rows, full" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         jobs.main(["auctions", "--store", store])
+
+
+def test_tables_are_made_once(spark):
+    path = shared_path(spark, "made")
+    rows = frame(spark, [("a", 1.0, "t0")])
+    assert dml.ensure_table(spark, path, rows.schema) and not dml.ensure_table(spark, path, rows.schema)
+    assert spark.read.parquet(path).count() == 0 and spark.read.parquet(path).columns == rows.columns

@@ -7,7 +7,8 @@ import urllib.parse
 import pytest
 from pyspark.sql import functions as F
 
-from tenorlab.sources.paging import PUSHDOWN, PagedRecords, paged_records
+from tenorlab.functions.scalars import any_date
+from tenorlab.sources.paging import PUSHDOWN, PagedRecords, landed, one_shot, paged_records
 from tenorlab.sources.readers import landed_pages, list_columns, relation, table
 from tenorlab.sources.vendor import Event, VendorSession
 
@@ -120,3 +121,37 @@ def test_vendor_sessions_answer_and_fail_in_words():
         VendorSession(Backend(up=False)).ask("ref", "HistoricalDataRequest")
     with pytest.raises(TimeoutError):
         VendorSession(Backend(), event_s=0.005).ask("ref", "HistoricalDataRequest")
+
+
+def test_one_answer_is_read_whatever_type_it_names(spark):
+    answers = [("text/html", b"<html>busy</html>"), ("text/plain", b'[{"cusip": "C1", "x": 1.5}, {"cusip": "C2", "y": null}]')]
+
+    class Once(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            kind, body = answers.pop(0) if len(answers) > 1 else answers[0]
+            self.send_response(200)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Once)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    waits = []
+    try:
+        records = one_shot(f"http://127.0.0.1:{server.server_port}/", sleep=waits.append)
+        assert waits == [1.0] and [tuple(r) for r in landed(spark, records).orderBy("ingest_seq").collect()] == [("C1", "1.5", None, 0), ("C2", None, None, 1)]
+        answers[:] = [("application/json", b"no")]
+        with pytest.raises(ValueError, match="is no JSON"):
+            one_shot(f"http://127.0.0.1:{server.server_port}/", retries=2, sleep=waits.append)
+    finally:
+        server.shutdown()
+
+
+def test_any_date(spark):
+    texts = ["2024-01-05", "2024-01-05 13:00:00", "20240105", "01/05/2024", "2024/01/05", "x", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("stamp", F.lit("2024-01-05 23:59:59").cast("timestamp"))
+    got = rows.orderBy("i").select(any_date(F.col("t")).alias("a"), any_date(F.col("stamp")).alias("b"), any_date(F.to_date("stamp")).alias("c")).collect()
+    assert [str(r.a) for r in got] == ["2024-01-05"] * 5 + ["None"] * 3 and {(str(r.b), str(r.c)) for r in got} == {("2024-01-05", "2024-01-05")}
