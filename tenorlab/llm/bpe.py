@@ -39,6 +39,9 @@ MIN_SHARE = 1e-6
 #: Bytes from which a word is merged in arrays; a text with a run of so many characters of one kind is cut by the pattern first.
 LONG = 512
 _RUN = regex.compile(rf"\s{{{LONG}}}|\S{{{LONG}}}")
+_BYTES = [bytes((b,)) for b in range(256)]
+#: First bytes of words after which a worker remembers where the automaton stands.
+HEAD = 4
 #: Words a worker remembers, and counts it holds before it emits them.
 REMEMBERED = 400_000
 
@@ -71,6 +74,8 @@ class Vocabulary:
         self.merges = {(self.ids[raw(a)], self.ids[raw(b)]): (rank, self.ids[raw(a) + raw(b)]) for rank, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.pieces = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.numbers = [str(i) for i in range(len(self.pieces))]
         # where ids stand in merge order, byte strings and ids are all that a rank-merging library needs
         merged = [new for _, new in self.merges.values()]
         self.core = tiktoken.Encoding("own", pat_str=WORDS.pattern, mergeable_ranks=self.ids, special_tokens=self.special) if merged == sorted(merged) else None
@@ -92,7 +97,7 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The text cut into words and special strings, nothing left out."""
-        if self._split is None or not self._split.search(text):
+        if self._split is None or not any(s in text for s in self.special):
             return WORDS.findall(text)
         out: list[str] = []
         for k, part in enumerate(self._split.split(text)):
@@ -253,19 +258,33 @@ class Transducer:
             parts.append(numbers[at : at + 4 * n].cast("I"))
             at += 4 * n
         self._first, self._target, self._out, self._offset, self._ids = parts
+        self._heads: dict[bytes, tuple[int, int] | None] = {}
         self._end, self._labels = at, at + self.n_states + -self.n_states % 4
 
-    def ids(self, word: str) -> list[int] | None:
-        state, rank, find, base, first = self.root, 0, self._map.find, self._labels, self._first
-        for b in word.encode("utf-8", "surrogatepass"):
-            arc = find(bytes((b,)), base + first[state], base + first[state + 1])
+    def _walk(self, data: bytes, state: int, rank: int) -> tuple[int, int] | None:
+        """State and rank after some bytes; None where no word goes on so."""
+        find, base, first, out, target = self._map.find, self._labels, self._first, self._out, self._target
+        for b in data:
+            arc = find(_BYTES[b], base + first[state], base + first[state + 1])
             if arc < 0:
                 return None
-            rank += self._out[arc - base]
-            state = self._target[arc - base]
-        if not self._map[self._end + state]:
+            rank += out[arc - base]
+            state = target[arc - base]
+        return state, rank
+
+    def ids(self, word: str) -> list[int] | None:
+        data = word.encode("utf-8", "surrogatepass")
+        head = data[:HEAD]
+        try:
+            at = self._heads[head]
+        except KeyError:
+            if len(self._heads) >= REMEMBERED // 4:
+                self._heads.clear()
+            at = self._heads[head] = self._walk(head, self.root, 0)
+        at = at and self._walk(data[HEAD:], *at)
+        if not at or not self._map[self._end + at[0]]:
             return None
-        return self._ids[self._offset[rank] : self._offset[rank + 1]].tolist()
+        return self._ids[self._offset[at[1]] : self._offset[at[1] + 1]].tolist()
 
 
 class Memory(dict):
@@ -342,7 +361,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, min_share: float = M
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(vocabulary_path)
-        memory = Memory(known, lexicon(name), lambda ids: (",".join(map(str, ids)), b"".join(known.bytes[i] for i in ids)))
+        numbers, pieces = known.numbers, known.pieces
+        memory = Memory(known, lexicon(name), lambda ids: (",".join([numbers[i] for i in ids]), b"".join([pieces[i] for i in ids])))
         for batch in batches:
             n, said, back = [], [], []
             for text in batch.column(1).to_pylist():
