@@ -12,8 +12,8 @@ before it, d at most, in either set. Empty blocks, alike in all documents, and b
 Sets that share a key are candidates. Equal sets are one class from the start. First a key's sets meet only the key's centre, the set that
 meets most others over all its keys: a candidate must pass the bound of two dense parity sketches and then the exact count over both whole
 sets. Verified links join components; a key whose sets are in one component is finished, since a further link in it changes no
-component. Of the keys that are left, those of few pairs, in proportion to their rows, are compared pair by pair. The others are settled by
-what their sets differ in from the centre c: sets x and y link if and only if x ^ c and y ^ c share at least (|x ^ c| + |y ^ c| - d) / 2
+component. Of the keys that are left, small ones are compared pair by pair. The others are settled by what their sets differ in from a
+centre c, for all keys of a component's sets the one of them that meets most others: sets x and y link if and only if x ^ c and y ^ c share at least (|x ^ c| + |y ^ c| - d) / 2
 tokens. Two sets that link with c are one component already, and where one does not, that is at least one token. So a prefix filter holds:
 each set sends, common ones last, as many tokens of its difference as a partner must share one of, and a pair is formed only
 where the places of a shared token leave room for the overlap it needs. Copies edited at random, however many, share few such tokens. No pair
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenorlab.llm._common import drop_table, lower_ascii, materialize, mix64, read, word_hashes
+from tenorlab.llm._common import drop_table, free_shuffles, lower_ascii, materialize, mix64, read, word_hashes
 from tenorlab.llm.components import connected_components
 
 #: Bytes of text handled at once.
@@ -286,12 +286,15 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def _centre(members: DataFrame) -> DataFrame:
-    """g, m: each key's sets paired with the key's centre."""
+    """g, m: each key's sets paired with the key's centre: of the component (root) of its set that meets most others, the set that does so."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    meets = members.select("key", "g").join(sizes, "key").groupBy("g").agg(F.sum("size").alias("meets"))
+    meets = members.select("key", "g", "root").join(sizes, "key").groupBy("g", "root").agg(F.sum("size").alias("meets"))
+    meets = materialize(meets, "meets")
+    most = lambda *by: meets.groupBy(*by).agg(F.max(F.struct("meets", F.col("g").alias("m"))).alias("most"))
     ranked = materialize(members.select("key", "g").join(meets, "g"), "ranked")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("meets", F.col("g").alias("m"))).alias("centre"))
-    return ranked.join(centres, "key").select("g", F.col("centre.m").alias("m")).where(F.col("g") != F.col("m")).distinct()
+    first = ranked.groupBy("key").agg(F.max(F.struct("meets", "g", "root")).alias("first")).select("key", F.col("first.root").alias("root"))
+    centres = materialize(first.join(most("root"), "root").select("key", F.col("most.m").alias("m")), "centres")
+    return ranked.select("key", "g").join(centres, "key").select("g", "m").where(F.col("g") != F.col("m")).distinct()
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -392,11 +395,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFr
     """node, root: the components of the classes (g, n, doc_id, h, c1, c2) that link with another one."""
     # two sets of one c1 both take its keys; what they share is verified
     members = materialize(shared_keys(keys(docs, how)).join(classes.select("c1", "g"), "c1").select("key", "g"), "members")
+    free_shuffles(docs.sparkSession)
     wanted = classes.join(members.select("g").distinct(), "g", "left_semi").select("g", "n", "doc_id", "h", "c1", "c2")
     with small_batches(docs.sparkSession):
         sets = materialize(token_sets(docs, wanted, how), "sets")
-        pairs = materialize(_centre(members).select(*_ordered("g", "m")).distinct(), "pairs")
+        free_shuffles(docs.sparkSession)
+        pairs = materialize(_centre(members.withColumn("root", F.col("g"))).select(*_ordered("g", "m")).distinct(), "pairs")
         links = materialize(verify(pairs, sets, how), "links")
+    drop_table(pairs)
     roots = connected_components(links)
     open_ = materialize(_unfinished(members, roots), "open")
     drop_table(members)
@@ -406,20 +412,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFr
         differ = materialize(apart(met, sets, how), "apart")
         prefixes = materialize(_prefixes(differ), "prefixes")
         left = _small_pairs(open_.where("few")).unionByName(_overlapping(prefixes, how)).distinct()
-        found = materialize(verify(materialize(left, "pairs"), sets, how), "links")
+        pairs = materialize(left, "pairs")
+        found = materialize(verify(pairs, sets, how), "links")
+    for done in (sets, open_, prefixes, pairs):
+        drop_table(done)
     near = differ.where(~F.col("far")).select(*_ordered("g", "m"))
     return connected_components(links.unionByName(near).unionByName(found))
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
-
-    Two rows link when their sets' similarity is at least ``percent`` / 100. A null or empty text and one without words have no
-    shingles, link with nothing and are their own component. Repeated rows link with each other; rows that share an id but not the text are
-    compared each by its own text. A null doc_id is never a component's smallest; where there is no other it is null. Other columns
-    are ignored; an empty table gives an empty result.
-    """
-    how = Similarity(k, percent)
+def _grouped(docs: DataFrame, how: Similarity) -> DataFrame:
+    """doc_id, h (of the text), n_shingles, component_id for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     rows = materialize(profiles(docs, how), "profiles")
     held = rows.where(F.col("n") > 0)
@@ -432,24 +434,37 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     named = classes.join(at, "g", "left").select("c1", "c2", "n", "doc_id", F.coalesce("root", "g").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "root").select("c1", "c2", "n", "component_id")
-    out = held.select("doc_id", "n", "c1", "c2").join(of_class, ["c1", "c2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    out = held.join(of_class, ["c1", "c2", "n"]).select("doc_id", "h", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where(F.col("n") == 0).select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    Two rows link when their sets' similarity is at least ``percent`` / 100. A null or empty text and one without words have no
+    shingles, link with nothing and are their own component. Repeated rows link with each other; rows that share an id but not the text are
+    compared each by its own text. A null doc_id is never a component's smallest; where there is no other it is null. Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    return _grouped(docs, Similarity(k, percent)).drop("h")
+
+
 def keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """``docs`` without all but one document of each group of linked ones; texts without words stay.
 
     The document of the group's smallest id stays. Of the rows that repeat its id and text, the one whose other columns come first as JSON
     stays. A group whose ids are all null stays as it is, but for such repeats. Names of columns are free; an empty table stays empty.
     """
-    groups = jaccard_components(docs, k, percent)
-    stay = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), F.struct(*docs.columns).alias("row"))
-    kept = rows.join(stay, F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    groups = _grouped(docs, Similarity(k, percent))
+    stays = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    # plain columns as keys, so that the join's shuffle of the texts serves the grouping too
+    names = lambda id_, h: (F.coalesce(id_, F.lit(0).cast("long")).alias("id"), id_.isNull().alias("none"), h.alias("h"))
+    rows = docs.select(*names(F.col("doc_id").cast("long"), F.xxhash64("text")), F.struct(*docs.columns).alias("row"))
+    kept = rows.join(stays.select(*names(F.col("doc_id"), F.col("h"))).distinct(), ["id", "none", "h"], "left_semi")
     # others than id and text decide between repeats, so that a task that runs again keeps the same row
     rest = F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
-    return kept.groupBy("id", "h").agg(F.min_by("row", rest).alias("row")).select("row.*")
+    return kept.groupBy("id", "none", "h").agg(F.min_by("row", rest).alias("row")).select("row.*")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

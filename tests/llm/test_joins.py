@@ -127,6 +127,14 @@ def test_repeats_that_differ_elsewhere_keep_one_row_always_the_same(spark):
     assert got.columns == ["doc_id", "text", "stays"] and sorted((r.doc_id or 0, r.stays) for r in got.collect()) == [(0, "y"), (1, "a")]
 
 
+def test_rows_of_one_id_and_null_ids_stay_by_their_own_text(spark):
+    texts = [(7, words(1, 80), "a"), (7, words(2, 80), "b"), (3, words(1, 80), "c"), (None, words(2, 80), "d"), (None, words(3, 80), "e")]
+    got = jaccard_join.keep_one(spark.createDataFrame(texts, "doc_id long, text string, h string"), 5, 80)
+    # of the rows and of the ids that stay
+    assert got._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(id#") == 2
+    assert sorted(r.h for r in got.collect()) == ["b", "c", "e"]
+
+
 def test_odd_rows(docs, none):
     got = jaccard_join.jaccard_components(docs).collect()
     assert len(got) == len(rows())
