@@ -89,18 +89,21 @@ def range_search(queries: np.ndarray, stored: np.ndarray, lists: list[np.ndarray
     linked = np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
     cos = np.full((n_q, n), -np.inf)
 
-    def visit(q: np.ndarray, nodes: np.ndarray) -> None:
-        new = np.unique(q[fresh] * n + nodes[fresh]) if (fresh := cos[q, nodes] == -np.inf).any() else np.empty(0, np.int64)
-        for at in range(0, len(new), VISITED):
-            i, j = np.divmod(new[at : at + VISITED], n)
-            cos[i, j] = np.einsum("ij,ij->i", queries[i], stored[j])
+    def visit(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Compute what was not visited yet of (query, node) pairs, and tell which that was."""
+        new = np.zeros((n_q, n), bool)
+        new[q, nodes] = True
+        i, j = np.nonzero(new & (cos == -np.inf))
+        for at in range(0, len(i), VISITED):
+            k, m = i[at : at + VISITED], j[at : at + VISITED]
+            cos[k, m] = np.einsum("ij,ij->i", queries[k], stored[m])
+        return i, j
 
     def beyond(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Queries and neighbours of (query, node) pairs, visited."""
+        """Queries and neighbours of (query, node) pairs."""
         size = first[nodes + 1] - first[nodes]
         at = np.arange(size.sum()) + np.repeat(first[nodes] - (np.cumsum(size) - size), size)
-        visit(qq := np.repeat(q, size), flat := linked[at])
-        return qq, flat
+        return np.repeat(q, size), linked[at]
 
     done = np.zeros((n_q, n), bool)
     rows, k = np.arange(n_q)[:, None], min(BEAM, n)
@@ -114,6 +117,7 @@ def range_search(queries: np.ndarray, stored: np.ndarray, lists: list[np.ndarray
         nodes = beam[q, c]
         done[q, nodes] = True
         qq, flat = beyond(q, nodes)
+        visit(qq, flat)
         offered = np.full((n_q, n), -np.inf)
         offered[qq, flat] = cos[qq, flat]
         q, c = np.nonzero(beam >= 0)
@@ -130,8 +134,8 @@ def range_search(queries: np.ndarray, stored: np.ndarray, lists: list[np.ndarray
         if not len(q):
             return cos >= threshold
         expanded[q, nodes] = True
-        qq, flat = beyond(q, nodes)
-        open_[qq, flat] |= cos[qq, flat] >= threshold - MARGIN
+        i, j = visit(*beyond(q, nodes))
+        open_[i, j] = cos[i, j] >= threshold - MARGIN
 
 
 def forest(found: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
