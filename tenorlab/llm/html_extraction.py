@@ -187,8 +187,11 @@ class _Blocks:
 
 
 def subtree_hashes(node: Element, mains: set[int]) -> dict[int, int]:
-    """id(element) -> hash of its tag, text and children, for block elements, in a main part without PROSE; without text there is none."""
-    done, todo, keep = {}, [(node, False, False)], {}
+    """id(element) -> hash of its tag, text and children, for block elements, in a main part without PROSE; without text there is none.
+
+    Beside marked main parts only the outermost elements count that hold none: what is in them goes with them.
+    """
+    done, todo, keep, holding = {}, [(node, False, False)], {}, set()
     while todo:
         x, ready, main = todo.pop()
         if not ready:
@@ -206,9 +209,22 @@ def subtree_hashes(node: Element, mains: set[int]) -> dict[int, int]:
                     h.update(b"\1" + inner)
                     empty = empty and blank
             done[id(x)] = (h.digest(), empty)
+            if id(x) in mains or any(id(c) in holding for c in x.children if not isinstance(c, str)):
+                holding.add(id(x))
             if not empty and x.tag not in INLINE and x.tag not in ("html", "body", "#root") and not (main and x.tag in PROSE):
                 keep[id(x)] = int.from_bytes(h.digest(), "big", signed=True)
-    return keep
+    if not mains:
+        return keep
+    counted, walk = {}, [(node, False)]
+    while walk:
+        x, main = walk.pop()
+        main = main or id(x) in mains
+        if id(x) in keep and (main or id(x) not in holding):
+            counted[id(x)] = keep[id(x)]
+            if not main:
+                continue
+        walk += [(c, main) for c in x.children if not isinstance(c, str)]
+    return counted
 
 
 def _signed(x: int) -> int:
