@@ -12,7 +12,9 @@ before it, d at most, in either set. Empty blocks, alike in all documents, and b
 Sets that share a key are candidates. Equal sets are one class from the start. First a key's sets meet only the key's centre, the set that
 meets most others over all its keys: a candidate must pass the bound of two dense parity sketches and then the exact count over both whole
 sets. Verified links join components; a key whose sets are in one component is finished, since a further link in it changes no
-component. Of the keys that are left, small ones are compared pair by pair. The others are settled by what their sets differ in from a
+component. Of the keys that are left, small ones are compared pair by pair. In the others, a set with more tokens that no other component
+holds than a linked set may lack is done, and sets whose rarest tokens make up a prefix meet by these. What has too few rare tokens, or
+may link with such a set, is settled by what it differs in from a
 centre c, for all keys of a component's sets the one of them that meets most others: sets x and y link if and only if x ^ c and y ^ c share at least (|x ^ c| + |y ^ c| - d) / 2
 tokens. Two sets that link with c are one component already, and where one does not, that is at least one token. So a prefix filter holds:
 each set sends, common ones last, as many tokens of its difference as a partner must share one of, and a pair is formed only
@@ -40,7 +42,9 @@ SLICE = 1 << 21
 BAND, FILL = 1.3, 0.78
 #: Sets up to which a key's pairs are simply joined.
 SMALL_KEY = 16
-#: Tokens put last in prefixes: held by more than one in so many of a centre's sets, and so many at most.
+#: A token is rare that so many of the large keys' sets hold at most.
+RARE = 16
+#: Tokens put last in prefixes of differences: held by more than one in so many of a centre's sets, and so many at most.
 OFTEN, MOST_OFTEN = 16, 512
 #: Rows with whole sets that a Python worker holds at once.
 BATCH = 256
@@ -72,6 +76,10 @@ class Similarity:
     def sizes_may_link(self, n: int, m: int) -> bool:
         return 100 * min(n, m) >= self.percent * max(n, m)
 
+    def most_without(self, n: int | Column) -> int | Column:
+        """The most tokens of a set of size n that a linked set lacks."""
+        return F.floor((100 - self.percent) * n / 100) if isinstance(n, Column) else (100 - self.percent) * n // 100
+
     def apart_from_any(self, n: int, high: int) -> int:
         """Largest symmetric difference of a set of size n and a linked one of at most ``high``."""
         return self.most_apart(n + min(high, n * 100 // self.percent))
@@ -297,6 +305,47 @@ def _centre(members: DataFrame) -> DataFrame:
     return ranked.select("key", "g").join(centres, "key").select("g", "m").where(F.col("g") != F.col("m")).distinct()
 
 
+def rarities(large: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """g, root, n, own, rare of the large keys' sets that may link with one of another component.
+
+    own: how many of the set's tokens no other component holds; rare: those of the others that at most RARE of the sets hold, by how many
+    and by token. With more tokens of its own than a linked set may lack a set links with none.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [x.view(np.int64) for x in views(batch.column("tokens"))]
+            ends, first = np.cumsum([len(x) for x in tokens]), 0
+            while first < len(tokens):
+                # sets of SLICE / 8 tokens in all, one at least
+                after = max(first + 1, int(np.searchsorted(ends, ends[first] - len(tokens[first]) + SLICE // 8, "right")))
+                at = pa.array(np.repeat(np.arange(first, after), [len(x) for x in tokens[first:after]]))
+                columns = [*(batch.column(c).take(at) for c in ("g", "root", "n")), pa.array(np.concatenate(tokens[first:after]))]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "root", "n", "token"])
+                first = after
+
+    each = large.select("g", "root").distinct().join(sets.select("g", "n", "tokens"), "g").repartition("g").mapInArrow(work, "g long, root long, n long, token long")
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    shared = each.join(held.select("token", "held"), "token").groupBy("g", "root", "n")
+    of_others = shared.agg(F.count(F.lit(1)).alias("shared"), F.sort_array(F.collect_list(F.when(F.col("held") <= RARE, F.struct("held", "token")))).alias("rare"))
+    own = of_others.select("g", "root", "n", (F.col("n") - F.col("shared")).alias("own"), F.transform("rare", lambda x: x["token"]).alias("rare"))
+    return own.where(F.col("own") <= how.most_without(F.col("n")))
+
+
+def _rarest(ranked: DataFrame, how: Similarity) -> DataFrame:
+    """a, b: pairs of different components whose prefixes share a rare token early enough to link.
+
+    Tokens are ordered from rarest to commonest, so a prefix of one token more than a linked set may lack holds one that the linked set's
+    prefix has too. Sets whose prefix is rare throughout take part; a token thus makes at most RARE squared pairs.
+    """
+    rows = ranked.select("g", "root", "n", "own", F.posexplode(F.slice("rare", F.lit(1), (how.most_without(F.col("n")) + 1 - F.col("own")).cast("int"))).alias("at", "token"))
+    rows = materialize(rows.select("token", "g", "root", "n", (F.col("n") - F.col("own") - F.col("at")).alias("left")), "rarest")
+    side = lambda s: rows.select("token", *[F.col(c).alias(s + c) for c in ("g", "root", "n", "left")])
+    room = (100 + how.percent) * F.least("xleft", "yleft") >= how.percent * (F.col("xn") + F.col("yn"))
+    both = side("x").join(side("y"), "token").where((F.col("xg") < F.col("yg")) & (F.col("xroot") != F.col("yroot")) & room)
+    return both.select(F.col("xg").alias("a"), F.col("yg").alias("b")).distinct()
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -380,7 +429,10 @@ def _overlapping(rows: DataFrame, how: Similarity) -> DataFrame:
 def _unfinished(members: DataFrame, roots: DataFrame) -> DataFrame:
     """key, g, root, few of the keys whose sets are in several components; few: pairs in proportion to sets."""
     at = roots.select(F.col("node").alias("g"), "root")
-    placed = materialize(members.join(at, "g", "left").withColumn("root", F.coalesce("root", "g")), "placed")
+    return _in_several(materialize(members.join(at, "g", "left").withColumn("root", F.coalesce("root", "g")), "placed"))
+
+
+def _in_several(placed: DataFrame) -> DataFrame:
     by = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
     return placed.join(by.where("lo != hi").select("key", (F.col("size") <= SMALL_KEY).alias("few")), "key")
 
@@ -407,12 +459,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, how: Similarity) -> DataFr
     open_ = materialize(_unfinished(members, roots), "open")
     drop_table(members)
     large = open_.where("NOT few")
+    # sets with enough rare tokens meet by these; those with few, and those that may link with such a one, by their differences from a centre
+    most = how.most_without(F.col("n"))
+    with small_batches(docs.sparkSession):
+        ranked = materialize(rarities(large, sets, how), "ranked")
+    free_shuffles(docs.sparkSession)
+    scarce = F.col("own") + F.size("rare")
+    few_rare = ranked.where(scarce <= most + how.most_without(F.floor(100 * F.col("n") / how.percent))).select("g")
+    common = materialize(_in_several(materialize(large.select("key", "g", "root").join(few_rare, "g", "left_semi"), "common")), "common")
+    large = common.where("NOT few")
     met = _centre(large).join(large.select("g", "root").distinct(), "g")
     with small_batches(docs.sparkSession):
         differ = materialize(apart(met, sets, how), "apart")
         prefixes = materialize(_prefixes(differ), "prefixes")
-        left = _small_pairs(open_.where("few")).unionByName(_overlapping(prefixes, how)).distinct()
-        pairs = materialize(left, "pairs")
+        left = _small_pairs(open_.where("few").unionByName(common.where("few")))
+        left = left.unionByName(_rarest(ranked.where(scarce > most), how)).unionByName(_overlapping(prefixes, how))
+        pairs = materialize(left.distinct(), "pairs")
         found = materialize(verify(pairs, sets, how), "links")
     for done in (sets, open_, prefixes, pairs):
         drop_table(done)

@@ -112,6 +112,40 @@ def test_clouds_of_copies_around_the_threshold(spark, monkeypatch, small, seed):
     assert got == want and len({c for _, c in want.values()}) > 10
 
 
+@pytest.mark.parametrize(("rare", "small"), [(1, 1), (2, 1), (3, 4), (16, 1), (1000, 1)])
+def test_rare_tokens_and_differences_together_lose_no_link(spark, monkeypatch, rare, small):
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    monkeypatch.setattr(jaccard_join, "SMALL_KEY", small)
+    r = random.Random(rare)
+    passage = words(7, 50).split()
+    texts = []
+    for g in range(14):
+        # texts that share a passage; of some there are chains of copies
+        base = [*words(300 + g, r.choice([20, 60, 100])).split(), *passage]
+        for _ in range(r.choice([1, 2, 3, 12])):
+            base = edited(base, r.choice([0.01, 0.02, 0.03]), r).split()
+            texts.append((len(texts), " ".join(base)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(texts, 4, 85)
+
+
+def test_a_shared_passage_sends_few_tokens(spark, monkeypatch):
+    made, plain = {}, jaccard_join.materialize
+
+    def counting(df, tag):
+        out = plain(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counting)
+    passage = words(8, 80).split()
+    texts = [(i, " ".join([*words(500 + i, 60).split(), *passage])) for i in range(120)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80).collect()
+    assert {x.component_id for x in got} == set(range(120))
+    # 60 words of its own leave no text a link; all of them met in keys of the passage
+    assert made["open"] > 120 and made["prefixes"] + made.get("rarest", 0) < 120
+
+
 def test_rows_of_one_id_and_null_ids_are_compared_by_their_own_text(spark):
     near = words(1, 80).split()
     texts = [(7, words(1, 80)), (7, words(2, 80)), (None, words(2, 80)), (3, " ".join([*near[:40], "x", *near[41:]])), (None, words(3, 80)), (None, words(3, 80) + " y")]
