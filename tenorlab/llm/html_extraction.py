@@ -11,13 +11,15 @@ A subtree is counted once for every different text of the page around it, so cop
 a host is on no site and loses nothing to templates.
 
 The counts are pre-aggregated before their shuffle, so one host may hold any share of the pages; the html itself is
-never shuffled.
+never shuffled. A page's blocks are stored and shuffled deflated, and name the subtrees around them by their places in the page's list.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenorlab.llm._common import let, materialize, read
+from tenorlab.llm._common import materialize, read
 
 #: Beside a marked main part a subtree goes when it is on at least so many different pages of the host.
 MIN_PAGES = 5
@@ -257,29 +259,52 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^[a-zA-Z][\w+.-]*:", "", url or "").lstrip("/").split("/")[0].split("?")[0].split("#")[0].lower()
 
 
+def packed(blocks: list[tuple[str, list[int], bool]], places: dict[int, int]) -> bytes:
+    """The blocks with the places of the subtrees around them that may go; the text of a block that is none of the article's is not needed again."""
+    data = [[t if may else None, [places[s] for s in around if s in places]] for t, around, may in blocks]
+    return zlib.compress(json.dumps(data, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
+
+
+def without_templates(blocks: bytes, marked: bool, beside: set[int], unmarked: set[int], inside: set[int]) -> tuple[str, int, int]:
+    """The text that is left of packed blocks, how many there were and how many went; the sets hold places of subtrees that go."""
+    found = json.loads(zlib.decompress(blocks).decode("utf-8", "surrogatepass"))
+    goes = [not (unmarked if not marked else beside if t is None else inside).isdisjoint(around) for t, around in found]
+    left = [t for (t, _), gone in zip(found, goes, strict=True) if t is not None and not gone]
+    if marked and not left:
+        left = [t for t, _ in found if t is not None]
+    return "\n".join(left), len(found), sum(goes)
+
+
 _PARSED = (
-    "page_id long, url string, host string, marked boolean, blocks array<struct<text:string,around:array<bigint>>>, "
+    "page_id long, url string, host string, marked boolean, blocks binary, "
     "whole bigint, subtrees array<struct<subtree:bigint,rest:bigint>>"
 )
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
     seen = pa.list_(pa.struct([("subtree", pa.int64()), ("rest", pa.int64())]))
     for batch in batches:
         host, marks, blocks, wholes, subtrees = [], [], [], [], []
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             found, marked, (whole, rests) = read_page(page)
-            # the text of a block that is none of the article's is not needed again
-            blocks.append([{"text": t if may else None, "around": a} for t, a, may in found])
+            blocks.append(packed(found, {s: i for i, s in enumerate(rests)}))
             subtrees.append([{"subtree": s, "rest": r} for s, r in rests.items()])
             wholes.append(whole)
             marks.append(marked)
             host.append(host_of(url))
-        columns = [pa.array(host, pa.string()), pa.array(marks, pa.bool_()), pa.array(blocks, kind), pa.array(wholes, pa.int64()), pa.array(subtrees, seen)]
+        columns = [pa.array(host, pa.string()), pa.array(marks, pa.bool_()), pa.array(blocks, pa.binary()), pa.array(wholes, pa.int64()), pa.array(subtrees, seen)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["page_id", "url", "host", "marked", "blocks", "whole", "subtrees"])
 
 
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["marked", "blocks", "beside", "unmarked", "inside"]
+    for batch in batches:
+        each = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        done = [without_templates(blocks, marked, *(set(x or ()) for x in sets)) for marked, blocks, *sets in each]
+        columns = [pa.array([x[i] for x in done], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], ["page_id", "url", "text", "n_blocks", "n_template"])
+
+
 def site_templates(parsed: DataFrame) -> DataFrame:
     """host, subtree, often, in_main: subtrees that recur on MIN_PAGES different pages of their host, and whether on enough for a page or main part as a whole."""
     of_sites = parsed.where("host != ''")
@@ -298,19 +323,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     empty table gives an empty result.
     """
     parsed = materialize(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_parsed, _PARSED).withColumn("rid", F.monotonically_increasing_id()), "pages")
-    around = parsed.where("host != ''").select("rid", "host", F.explode("subtrees.subtree").alias("subtree"))
+    around = parsed.where("host != ''").select("rid", "host", F.posexplode("subtrees.subtree").alias("place", "subtree"))
     found = around.join(site_templates(parsed), ["host", "subtree"])
-    some = lambda c, name: F.collect_set(F.when(F.col(c), F.col("subtree"))).alias(name)
-    gone = found.groupBy("rid").agg(F.collect_set("subtree").alias("beside"), some("often", "unmarked"), some("in_main", "inside"))
-    none = F.expr("cast(array() as array<bigint>)")
-    hit = lambda b, name: F.arrays_overlap(b["around"], F.coalesce(name, none))
-    deleted = lambda b: F.when(~F.col("marked"), hit(b, F.col("unmarked"))).when(b["text"].isNotNull(), hit(b, F.col("inside"))).otherwise(hit(b, F.col("beside")))
-    left = F.filter("blocks", lambda b: b["text"].isNotNull() & ~deleted(b))
-    mine = F.filter("blocks", lambda b: b["text"].isNotNull())
-    kept = let(left, lambda x: F.when(F.col("marked") & (F.size(x) == 0), mine).otherwise(x))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text")
-    n_template = F.size(F.filter("blocks", deleted)).cast("long").alias("n_template")
-    out = parsed.join(gone, "rid", "left").select("page_id", "url", text, F.size("blocks").cast("long").alias("n_blocks"), n_template)
+    some = lambda c, name: F.collect_set(F.when(F.col(c), F.col("place"))).alias(name)
+    gone = found.groupBy("rid").agg(F.collect_set("place").alias("beside"), some("often", "unmarked"), some("in_main", "inside"))
+    out = parsed.select("rid", "page_id", "url", "marked", "blocks").join(gone, "rid", "left").drop("rid").mapInArrow(_left, "page_id long, url string, text string, n_blocks long, n_template long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_template")
 
 

@@ -193,6 +193,20 @@ def test_copies_of_a_page_are_one_page(spark):
     assert {got[i] for i in range(6)} == {"One story"} and got[9] == "Text 9" and got[22] == "Only page"
 
 
+def test_stored_blocks_are_small_and_whole():
+    page = "<nav><p>Home \u00fc</p></nav><article>" + "".join(f"<div><p>Words of the block {i} &amp; more</p></div>" for i in range(60)) + "</article>"
+    found, marked, (_, rests) = html_extraction.read_page(page)
+    places = {s: i for i, s in enumerate(rests)}
+    stored = html_extraction.packed(found, places)
+    assert len(stored) < len("".join(t for t, _, _ in found)) / 2
+    text, n, gone = html_extraction.without_templates(stored, marked, set(), set(), set())
+    assert text == "\n".join(t for t, _, may in found if may) and (n, gone) == (61, 0)
+    # a subtree in the main part and one beside it
+    inner, beside = places[found[5][1][-1]], places[found[0][1][-1]]
+    text, n, gone = html_extraction.without_templates(stored, marked, {beside}, set(), {inner})
+    assert gone == 2 and text == "\n".join(t for i, (t, _, may) in enumerate(found) if may and i != 5)
+
+
 def test_a_part_of_a_large_host_has_a_menu(spark):
     menu = "<div><p>Sports</p><p>Weather</p></div>"
     data = [(i, f"https://a.example.com/{i}", f"<body>{menu if i < 220 else ''}<p>Text {i}</p></body>") for i in range(900)]
