@@ -40,8 +40,8 @@ STEPS = 1000
 FENCE = 3
 #: A text fails over the median and so many times the distance from there to the upper quartile, or so many steps if that is more: classes, words.
 SPREAD, LEAST_EXCESS = (8, 4), (150, 150)
-#: Languages that have references: those of the most rows.
-MOST_LANGUAGES = 64
+#: References up to which they stand in the plan; more are a broadcast row.
+IN_PLAN = 64
 KINDS = ("class", "word")
 
 
@@ -118,8 +118,8 @@ def references(counts: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     sums = [F.sum(F.col("class_hist")[i]).alias(f"c{i}") for i in range(n_class - 1)] + [F.sum("n_all").alias("all")]
     sums += [F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(n_word)]
     out = []
-    by = counts.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), *sums)
-    for r in sorted(by.orderBy(F.desc("rows"), "lang").limit(MOST_LANGUAGES).collect(), key=lambda r: r["lang"]):
+    by = counts.where(F.col("lang").isNotNull()).groupBy("lang").agg(*sums)
+    for r in sorted(by.collect(), key=lambda r: r["lang"]):
         c = [r[f"c{i}"] or 0 for i in range(n_class - 1)]
         c.append(max(0, (r["all"] or 0) - sum(c)))
         w = [r[f"w{i}"] or 0 for i in range(n_word)]
@@ -128,20 +128,27 @@ def references(counts: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     return out
 
 
-def js_distances(hist: Column, references: list[list[float]]) -> Column:
-    """Per reference of shares, the square root of its Jensen-Shannon divergence (base 2) from a histogram of counts.
+def _negated_entropy(shares: Column) -> Column:
+    return F.aggregate(shares, F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+
+
+def _own(references: list[list[float]]) -> list[float]:
+    return [sum(q * log2(q) for q in r if q > 0) for r in references]
+
+
+def js_distances(hist: Column, references: list[list[float]] | Column) -> Column:
+    """Per reference of shares (or of a column: array of structs own, the sum of share times log2 of it, and shares), the square root of its Jensen-Shannon divergence (base 2) from a histogram of counts.
 
     The divergence is the entropy of the mean less the mean of the entropies. Without counts the distances are null.
     """
-    bits = lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0)
-    negated = lambda x: F.aggregate(x, F.lit(0.0), lambda a, p: a + bits(p))
-    constant = [sum(q * log2(q) for q in r if q > 0) for r in references]
     shares = let(F.aggregate(hist, F.lit(0.0), lambda a, n: a + n), lambda total: F.when(total > 0, F.transform(hist, lambda n: n / total)))
 
     def against(p: Column) -> Column:
-        own = negated(p)
-        mean = lambda r: negated(F.zip_with(p, F.array(*map(F.lit, r)), lambda a, q: (a + q) / 2))
-        return let(own, lambda h: F.array(*[F.sqrt(F.greatest((h + c) / 2 - mean(r), F.lit(0.0))) for r, c in zip(references, constant, strict=True)]))
+        mean = lambda r: _negated_entropy(F.zip_with(p, r, lambda a, q: (a + q) / 2))
+        one = lambda h, c, r: F.sqrt(F.greatest((h + c) / 2 - mean(r), F.lit(0.0)))
+        if isinstance(references, Column):
+            return let(_negated_entropy(p), lambda h: F.transform(references, lambda r: one(h, r["own"], r["shares"])))
+        return let(_negated_entropy(p), lambda h: F.array(*[one(h, c, F.array(*map(F.lit, r))) for r, c in zip(references, _own(references), strict=True)]))
 
     return let(shares, against)
 
@@ -150,8 +157,17 @@ def distances(counts: DataFrame, known: list[tuple[str, list[float], list[float]
     """``counts`` with class_distance and word_distance, each to the nearest of the ``known`` references."""
     if not known:
         return counts.withColumns({f"{k}_distance": F.lit(None).cast("double") for k in KINDS})
-    of_classes = js_distances(with_rest(F.col("class_hist"), F.col("n_all")), [c for _, c, _ in known])
-    return counts.withColumns({"class_distance": F.array_min(of_classes), "word_distance": F.array_min(js_distances(F.col("word_hist"), [w for _, _, w in known]))})
+    against = [c for _, c, _ in known], [w for _, _, w in known]
+    rest = []
+    if len(known) > IN_PLAN:
+        rest = ["_classes", "_words"]
+        row = [list(zip(_own(x), x, strict=True)) for x in against]
+        kind = "array<struct<own:double,shares:array<double>>>"
+        counts = counts.crossJoin(F.broadcast(counts.sparkSession.createDataFrame([row], ", ".join(f"{c} {kind}" for c in rest))))
+        against = tuple(F.col(c) for c in rest)
+    of_classes = js_distances(with_rest(F.col("class_hist"), F.col("n_all")), against[0])
+    nearest = {"class_distance": F.array_min(of_classes), "word_distance": F.array_min(js_distances(F.col("word_hist"), against[1]))}
+    return counts.withColumns(nearest).drop(*rest)
 
 
 def step(kind: str) -> Column:

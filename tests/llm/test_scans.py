@@ -174,6 +174,16 @@ def test_kept_rows_are_counted_once(spark, docs):
     assert "regexp_replace" not in plan and "split(" not in plan and good.columns == docs.columns
 
 
+def test_every_language_has_a_reference(spark, monkeypatch):
+    # 70 languages; the smallest one's texts look like no other's
+    data = [(i, words(i, 100), f"l{i % 69:02}") for i in range(138)] + [(200, " ".join(f"{j}{j}" for j in range(100, 200)), "rare")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(frame).collect()}
+    assert got[200].class_distance < 1e-6 and got[200].kept
+    monkeypatch.setattr(quality_rules, "IN_PLAN", 1000)
+    assert all(abs(r.class_distance - got[r.doc_id].class_distance) < 1e-9 for r in quality_rules.apply_rules(frame).collect())
+
+
 def test_without_labelled_text_the_base_rules_decide(spark):
     frame = spark.createDataFrame([(1, words(1, 100), None), (2, "x", None)], "doc_id long, text string, lang string")
     assert {r.doc_id: (r.kept, r.class_distance) for r in quality_rules.apply_rules(frame).collect()} == {1: (True, None), 2: (False, None)}
