@@ -2,7 +2,7 @@
 
 Documents become token items: a document's ids and one closing id, cut into full pieces when longer than a sequence (the first
 piece takes what is left over). Full pieces are sequences already. The others are dealt evenly to partitions, and each
-partition packs its items best-fit, longest first. Nearly full bins are final. Underfull bins go on as items, four partitions to
+partition packs its items best-fit, longest first. Full bins are final. Underfull bins go on as items, four partitions to
 one, and are packed again, until one partition is left.
 
 A partition hands on its OPEN emptiest bins and closes the rest as they are, so no task's input grows with the corpus, and that closes no bin
@@ -30,8 +30,8 @@ from tenorlab.llm.bpe import default_vocabulary, vocabulary
 
 CAPACITY = 2048
 END_ID = 0
-#: Items in a partition of the first level, partitions that merge into one, free tokens up to which a bin is final, bins handed on.
-ITEMS_A_PARTITION, FAN_IN, NEARLY_FULL, OPEN = 20_000, 4, 4, 4_096
+#: Items in a partition of the first level, partitions that merge into one, bins handed on.
+ITEMS_A_PARTITION, FAN_IN, OPEN = 20_000, 4, 4_096
 ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -100,7 +100,7 @@ def pack_level(items: DataFrame, level: int, capacity: int, last: bool) -> DataF
         sizes = np.zeros(len(names), np.int64)
         np.maximum.at(sizes, which, column("offset") + column("length"))
         bins, offset, free = best_fit(sizes, capacity)
-        final = (free <= NEARLY_FULL) | last
+        final = (free == 0) | last
         if (~final).sum() > OPEN:  # the fullest are closed as they are
             emptiest = np.argsort(-free, kind="stable")[:OPEN]
             handed = np.zeros(len(free), bool)

@@ -129,6 +129,27 @@ def test_levels_merge_and_lose_nothing(spark, monkeypatch):
     assert check_packing(placed, 100) <= 1.1 * least
 
 
+@pytest.mark.parametrize("at", [0, 2, 3])
+def test_bins_with_little_room_take_what_fits(spark, monkeypatch, at):
+    # a partition an item: three tokens meet the bins that have three free on later levels only
+    monkeypatch.setattr(packing, "ITEMS_A_PARTITION", 1)
+    lengths = [97] * 4
+    lengths.insert(at, 3)
+    items = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.ITEM).coalesce(1)
+    assert check_packing(packing.pack_items(items, 100).collect(), 100) == 4
+
+
+def test_the_bins_kept_back_save_no_sequence(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_A_PARTITION", 30)
+    r = random.Random(5)
+    items = spark.createDataFrame([(i, 0, 0, r.choice([r.randint(1, 10), r.randint(40, 99)]), i) for i in range(900)], packing.ITEM).coalesce(1)
+    n = []
+    for handed_on in (16, 10**6):
+        monkeypatch.setattr(packing, "OPEN", handed_on)
+        n.append(check_packing(packing.pack_items(items, 100).collect(), 100))
+    assert n[0] == n[1]
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offset, free = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and offset.tolist() == [0, 0, 6, 5, 8] and free.tolist() == [0, 0]
