@@ -45,7 +45,7 @@ DEALT = 512
 DEGREE, CANDIDATES, SLACK, BEAM, MARGIN = 16, 48, 1.2, 8, 0.02
 AUDITED, MIN_RECALL = 16, 0.98
 #: Queries searched together, and cosines computed at once.
-TOGETHER, VISITED = 256, 1 << 16
+TOGETHER, VISITED = 256, 1 << 12
 
 
 def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarray]:
@@ -54,14 +54,15 @@ def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarr
     k = min(candidates, n - 1)
     if k < 1:
         return [np.empty(0, np.int64)] * n
-    own = cos.copy()
-    np.fill_diagonal(own, -np.inf)
-    near = np.argpartition(-own, k - 1, axis=1)[:, :k]
-    far = 1 - np.take_along_axis(own, near, 1)
-    order = np.argsort(far, axis=1, kind="stable")
-    near, far = np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+    far = 1 - cos
+    np.fill_diagonal(far, np.inf)
+    near = np.argpartition(far, k - 1, axis=1)[:, :k]
+    own = np.take_along_axis(far, near, 1)
+    order = np.argsort(own, axis=1, kind="stable")
+    near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
     alive, rows = np.ones(near.shape, bool), np.arange(n)
     kept = np.full((n, degree), -1)
+    limit, flat = own / SLACK, far.ravel()
     for r in range(degree):
         first = alive.argmax(1)
         some = alive[rows, first]
@@ -69,8 +70,9 @@ def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarr
             break
         best = near[rows, first]
         kept[some, r] = best[some]
-        alive &= ~(SLACK * (1 - cos[best[:, None], near]) <= far)
         alive[rows, first] = False
+        if r + 1 < degree:
+            alive &= flat[best[:, None] * n + near] > limit
     return [x[x >= 0] for x in kept]
 
 
@@ -83,21 +85,29 @@ def both_ways(lists: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def range_search(queries: np.ndarray, stored: np.ndarray, lists: list[np.ndarray], medoid: int, own: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean queries x stored: what the search reaches within the threshold. Cosines are computed for visited nodes only; own: a query's place or -1."""
+    """Boolean queries x stored: what the search reaches within the threshold. Cosines are computed for visited nodes only; own: a query's place or -1.
+
+    Nothing but the cosines' own table is as large as queries x stored, and no step of the search reads that whole.
+    """
     n_q, n = len(queries), len(stored)
     first = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     linked = np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
-    cos = np.full((n_q, n), -np.inf)
-
-    def visit(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Compute what was not visited yet of (query, node) pairs, and tell which that was."""
-        new = np.zeros((n_q, n), bool)
-        new[q, nodes] = True
-        i, j = np.nonzero(new & (cos == -np.inf))
-        for at in range(0, len(i), VISITED):
-            k, m = i[at : at + VISITED], j[at : at + VISITED]
-            cos[k, m] = np.einsum("ij,ij->i", queries[k], stored[m])
-        return i, j
+    cos = np.full(n_q * n, -np.inf)
+    last = np.empty(n_q * n, np.int32)  # where a pair stands last among those offered: of equal ones that one counts
+
+    def visit(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of (query, node) pairs those not visited yet, each once and in order, and their cosines."""
+        at = q * n + nodes
+        new = np.flatnonzero(cos[at] == -np.inf)
+        last[at[new]] = new
+        new = new[last[at[new]] == new]
+        i, j = q[new], nodes[new]
+        got = np.empty(len(new))
+        for k in range(0, len(new), VISITED):
+            part = slice(k, k + VISITED)
+            got[part] = np.einsum("ij,ij->i", queries[i[part]], stored[j[part]])
+        cos[at[new]] = got
+        return i, j, got
 
     def beyond(q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Queries and neighbours of (query, node) pairs."""
@@ -105,37 +115,36 @@ def range_search(queries: np.ndarray, stored: np.ndarray, lists: list[np.ndarray
         at = np.arange(size.sum()) + np.repeat(first[nodes] - (np.cumsum(size) - size), size)
         return np.repeat(q, size), linked[at]
 
-    done = np.zeros((n_q, n), bool)
-    rows, k = np.arange(n_q)[:, None], min(BEAM, n)
-    beam = np.full((n_q, k), -1)
-    beam[:, 0] = medoid
-    visit(rows[:, 0], beam[:, 0])
+    k = min(BEAM, n)
+    beam, near, done = np.full((n_q, k), -1), np.full((n_q, k), -np.inf), np.ones((n_q, k), bool)
+    beam[:, 0], done[:, 0] = medoid, False
+    near[:, 0] = visit(np.arange(n_q), beam[:, 0])[2]
     for _ in range(24):  # greedy: the best of the beam and of what it links to
-        q, c = np.nonzero((beam >= 0) & ~done[rows, beam])
+        q, c = np.nonzero(~done)
         if not len(q):
             break
-        nodes = beam[q, c]
-        done[q, nodes] = True
-        qq, flat = beyond(q, nodes)
-        visit(qq, flat)
-        offered = np.full((n_q, n), -np.inf)
-        offered[qq, flat] = cos[qq, flat]
-        q, c = np.nonzero(beam >= 0)
-        offered[q, beam[q, c]] = cos[q, beam[q, c]]
-        best = np.argpartition(-offered, k - 1, axis=1)[:, :k]
-        beam = np.where(np.take_along_axis(offered, best, 1) > -np.inf, best, -1)
+        done[q, c] = True
+        i, j, got = visit(*beyond(q, beam[q, c]))
+        better = got > near.min(1)[i]  # the beam holds the best of all visited, so only what is new and better can enter it
+        i, j, got = i[better], j[better], got[better]
+        rows, start, size = np.unique(i, return_index=True, return_counts=True)
+        if not len(rows):
+            continue
+        row, column = np.repeat(np.arange(len(rows)), size), k + np.arange(len(i)) - np.repeat(start, size)
+        pad = ((0, 0), (0, int(size.max())))
+        nodes, value, old = np.pad(beam[rows], pad, constant_values=-1), np.pad(near[rows], pad, constant_values=-np.inf), np.pad(done[rows], pad, constant_values=True)
+        nodes[row, column], value[row, column], old[row, column] = j, got, False
+        best = np.argpartition(-value, k - 1, axis=1)[:, :k]
+        beam[rows], near[rows], done[rows] = (np.take_along_axis(x, best, 1) for x in (nodes, value, old))
     placed = np.flatnonzero(own >= 0)
     visit(placed, own[placed])
-    expanded = np.zeros((n_q, n), bool)
     open_ = cos >= threshold - MARGIN
-    open_[placed, own[placed]] = True
-    while True:  # range: whatever is near enough passes the search on
-        q, nodes = np.nonzero(open_ & ~expanded)
-        if not len(q):
-            return cos >= threshold
-        expanded[q, nodes] = True
-        i, j = visit(*beyond(q, nodes))
-        open_[i, j] = cos[i, j] >= threshold - MARGIN
+    open_[placed * n + own[placed]] = True
+    q, nodes = np.divmod(np.flatnonzero(open_), n)
+    while len(q):  # range: whatever is near enough passes the search on
+        i, j, got = visit(*beyond(q, nodes))
+        q, nodes = i[got >= threshold - MARGIN], j[got >= threshold - MARGIN]
+    return (cos >= threshold).reshape(n_q, n)
 
 
 def forest(found: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
@@ -221,8 +230,23 @@ def shards_of(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarr
     return np.concatenate(row), np.concatenate(pivot), np.concatenate(home)
 
 
+def vectors_of(column: pa.ListArray) -> list[np.ndarray]:
+    """The vectors of a column without nulls, as views of its buffer."""
+    return np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
+
+
+def rows_of(column: pa.ListArray, dim: int) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    return column.flatten().to_numpy().reshape(-1, dim)
+
+
+def unpacked(column: pd.Series) -> np.ndarray:
+    """A column of packed vectors of one length as a matrix."""
+    return np.frombuffer(b"".join(column)).reshape(len(column), -1)
+
+
 def _stored(reps: DataFrame, known: Broadcast, whole: bool) -> DataFrame:
-    """g, unit, mult, home, label, dim, shard: every vector in each shard where it may be asked for; -1 where a label has one shard."""
+    """g, label, dim, mult, unit (packed doubles), shard, home: every vector in each shard where it may be asked for; -1 where a label has one shard."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,21 +262,28 @@ def _stored(reps: DataFrame, known: Broadcast, whole: bool) -> DataFrame:
                     home.append(np.ones(len(at), bool))
                     continue
                 pivots, first = known.value[key]
-                x = np.array(batch.column("unit").take(pa.array(at)).to_pylist())
+                x = rows_of(batch.column("unit").take(pa.array(at)), key[1])
                 r, p, nearest = shards_of(x, pivots, REACH if whole else REACH * min(1.0, SPREAD / key[1] ** 0.5))
                 row.append(np.array(at)[r])
                 shard.append(first + p)
                 home.append(nearest)
-            table = batch.take(pa.array(np.concatenate(row))) if row else batch
-            yield pa.RecordBatch.from_arrays([*table.columns, pa.array(np.concatenate(shard) if row else [], pa.int64()), pa.array(np.concatenate(home) if row else [], pa.bool_())], [*batch.schema.names, "shard", "home"])
+            every = pa.array(np.concatenate(row) if row else [], pa.int64())
+            packed = pa.array([x.tobytes() for x in vectors_of(batch.column("unit"))], pa.binary())
+            columns = [*batch.drop_columns(["unit"]).take(every).columns, packed.take(every), pa.array(np.concatenate(shard) if row else [], pa.int64()), pa.array(np.concatenate(home) if row else [], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "label", "dim", "mult", "unit", "shard", "home"])
+
+    return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label string, dim int, mult long, unit binary, shard long, home boolean")
 
-    return reps.select("g", "label", "dim", "mult", "unit").mapInArrow(deal, "g long, label string, dim int, mult long, unit array<double>, shard long, home boolean")
+
+def _labels(spark: SparkSession, keys: list[tuple[str, int]]) -> DataFrame:
+    """A small table of label and dim that is part of the plan: one made from Python rows would start a worker per core to read it."""
+    return spark.createDataFrame(pa.table({"label": pa.array([a for a, _ in keys], pa.string()), "dim": pa.array([int(b) for _, b in keys], pa.int32())}))
 
 
 def _true_links(reps: DataFrame, known: Broadcast) -> DataFrame:
     """g, label, dim, links: what a fixed number of vectors of each label with several shards link with in the whole label."""
     spark = reps.sparkSession
-    keys = spark.createDataFrame([(a, int(b)) for a, b in known.value], "label string, dim int")
+    keys = _labels(spark, list(known.value))
     several = reps.join(F.broadcast(keys), ["label", "dim"])
     each = max(LEAST_COMPARED, min(MOST_COMPARED, COMPARED // max(1, len(known.value))))
     sizes = several.groupBy("label", "dim").agg((each / F.count(F.lit(1))).alias("part"))
@@ -274,7 +305,7 @@ def _true_links(reps: DataFrame, known: Broadcast) -> DataFrame:
             for key, at in by.items():
                 g, units = sent.value[key]
                 part = batch.take(pa.array(at))
-                near = (units @ np.array(part.column("unit").to_pylist()).T >= THRESHOLD) & (g[:, None] != part.column("g").to_numpy()[None, :])
+                near = (units @ rows_of(part.column("unit"), key[1]).T >= THRESHOLD) & (g[:, None] != part.column("g").to_numpy()[None, :])
                 out += [(x, *key, n) for x, n in zip(g.tolist(), (near @ part.column("mult").to_numpy()).tolist(), strict=True)]
             columns = list(zip(*out, strict=True)) or [[]] * 4
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64())
@@ -294,8 +325,7 @@ def _short(reps: DataFrame, known: Broadcast, counts: DataFrame) -> list[tuple[s
 
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    x = np.array(frame["unit"].tolist())
-    g = frame["g"].to_numpy()
+    x, g = unpacked(frame["unit"]), frame["g"].to_numpy()
     return pd.DataFrame({"g": g, "near": [g[i] for i in both_ways(robust_prune(x @ x.T, DEGREE, CANDIDATES))]})
 
 
@@ -305,6 +335,17 @@ def least_recall(found: np.ndarray, truth: np.ndarray) -> float:
     return float(((found & truth).sum(1)[n > 0] / n[n > 0]).min(initial=1.0))
 
 
+def _places(ids: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where each id stands in the ascending ``g``; -1 for none."""
+    at = np.minimum(np.searchsorted(g, ids), len(g) - 1)
+    return np.where(g[at] == ids, at, -1)
+
+
+def _search_with(asked: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """_search with the chunk's lists, which come without vectors."""
+    return _search(asked.assign(near=lists.set_index("g")["near"].reindex(asked["g"]).to_numpy()))
+
+
 def _search(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts and forest links of one chunk's queries: g, links, other (null in a count row)."""
     stored, asked = frame[frame["stored"]].sort_values("g"), frame[frame["home"]].sort_values("g")
@@ -312,16 +353,16 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
     if not len(stored) or not len(asked):
         return empty
     g, mult = stored["g"].to_numpy(), stored["mult"].to_numpy()
-    x = np.array(stored["unit"].tolist())
-    place = {v: i for i, v in enumerate(g.tolist())}
-    lists = [np.array([place[v] for v in near if v in place], np.int64) for near in stored["near"]]
+    x = unpacked(stored["unit"])
+    near, ends = np.concatenate(stored["near"].tolist()), np.cumsum(stored["near"].map(len).to_numpy())
+    to = _places(near, g)
+    lists = np.split(to[to >= 0], np.append(0, np.cumsum(to >= 0))[ends[:-1]])
     medoid = int((x @ x.mean(0)).argmax())
     out, wide = [empty], None
     for at in range(0, len(asked), TOGETHER):
         part = asked.iloc[at : at + TOGETHER]
         mine = part["g"].to_numpy()
-        own = np.array([place.get(v, -1) for v in mine.tolist()])
-        queries = np.array(part["unit"].tolist())
+        own, queries = _places(mine, g), unpacked(part["unit"])
         found = range_search(queries, x, lists, medoid, own, THRESHOLD)
         audit = np.arange(0, len(mine), AUDITED)
         truth = queries[audit] @ x.T >= THRESHOLD
@@ -349,9 +390,10 @@ def _links(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = built.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     # a vector is stored in its chunk of each shard and asks in every chunk of its home shard
     every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    asking = sized.withColumn("to", F.explode(every)).withColumn("stored", F.col("to") == F.col("chunk"))
-    asking = asking.join(lists, "g").select(*place, "to", "g", "mult", "unit", "home", "stored", "near")
-    found = materialize(asking.groupBy(*place, "to").applyInPandas(_search, "g long, links long, other long"), "found")
+    asking = sized.withColumn("to", F.explode(every)).select(*place, "to", "g", "mult", "unit", "home", (F.col("to") == F.col("chunk")).alias("stored"))
+    known = sized.select("g", *place, "chunk").join(lists, "g").toDF("g", *place, "to", "near")
+    both = asking.groupBy(*place, "to").cogroup(known.groupBy(*place, "to"))
+    found = materialize(both.applyInPandas(_search_with, "g long, links long, other long"), "found")
     counts = found.where(F.col("other").isNull()).groupBy("g").agg(F.sum("links").alias("links"))
     return counts, found.where(F.col("other").isNotNull()).select(F.col("g").alias("a"), F.col("other").alias("b"))
 
@@ -363,17 +405,19 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     component. Labels of any type are compared by their text. Repeated rows are other vectors that link. Vectors of other lengths never meet. A null id is never a
     component's smallest and is not kept. Other columns are ignored; an empty table gives an empty result.
     """
+    # hashes skip nulls in an array, so a vector that holds one has none, or it would pass for the vector without
+    whole = lambda h: F.when(~F.exists("embedding", lambda x: x.isNull()), h)
     rows = vectors.select(
-        F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), _unit(F.col("embedding")).alias("unit"),
-        F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(7919), "embedding").alias("h2"),
+        F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), "embedding",
+        whole(F.xxhash64("embedding")).alias("h1"), whole(F.xxhash64(F.lit(7919), "embedding")).alias("h2"),
     )
-    linked = F.col("label").isNotNull() & F.col("unit").isNotNull()
-    classes = rows.where(linked).groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
-    reps = materialize(classes.withColumn("dim", F.size("unit")).withColumn("g", F.monotonically_increasing_id()), "vectors")
+    equal = rows.where(F.col("label").isNotNull() & F.col("h1").isNotNull()).groupBy("label", "h1", "h2")
+    classes = equal.agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding")).withColumn("unit", _unit(F.col("embedding"))).drop("embedding")
+    reps = materialize(classes.where(F.col("unit").isNotNull()).withColumn("dim", F.size("unit")).withColumn("g", F.monotonically_increasing_id()), "vectors")
     known = vectors.sparkSession.sparkContext.broadcast(_pivots(reps))
     counts, edges = _links(_stored(reps, known, False))
     if short := _short(reps, known, counts):
-        again = reps.join(F.broadcast(vectors.sparkSession.createDataFrame(short, "label string, dim int")), ["label", "dim"])
+        again = reps.join(F.broadcast(_labels(vectors.sparkSession, short)), ["label", "dim"])
         more, further = _links(_stored(again, known, True))
         counts = counts.join(again.select("g"), "g", "left_anti").unionByName(more)
         edges = edges.unionByName(further)
@@ -382,9 +426,10 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     named = named.join(roots, named["g"] == roots["node"], "left").withColumn("root", F.coalesce("root", "g"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = named.join(least, "root").select("label", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component_id")
-    joined = rows.where(linked).select("vec_id", "label", "h1", "h2").join(of_class, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where(~linked).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    # of equal vectors all have a class or none, so a row without one links with nothing
+    joined = rows.select("vec_id", "label", "h1", "h2").join(of_class, ["label", "h1", "h2"], "left")
+    result = joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,12 @@ def test_odd_vectors(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_a_vector_that_holds_a_null_is_not_taken_for_the_one_without(spark):
+    data = [(1, [1.0, 2.0], 0), (2, [1.0, None, 2.0], 0), (3, [1.0, 2.0, None], 0), (4, [1.0, 2.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 1, False)]
+
+
 def test_labels_of_other_types(spark):
     for kind, labels in (("string", ["a", "a", "b", None]), ("double", [1.2, 1.2, 1.9, None])):
         frame = spark.createDataFrame([(i, [1.0, 0.5], x) for i, x in enumerate(labels)], f"vec_id long, embedding array<float>, label {kind}")
@@ -283,6 +289,37 @@ def test_the_search_computes_few_cosines(monkeypatch):
     assert sum(computed) < 0.5 * truth.size and found.sum() >= 0.98 * truth.sum() and not (found & ~truth).any()
 
 
+def test_no_step_of_the_search_ranks_all_queries_with_all_stored(monkeypatch):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lists = embedding_dedup.both_ways(embedding_dedup.robust_prune(x @ x.T, embedding_dedup.DEGREE, embedding_dedup.CANDIDATES))
+    ranked, real = [], np.argpartition
+    monkeypatch.setattr(np, "argpartition", lambda a, *args, **kw: ranked.append(a.size) or real(a, *args, **kw))
+    found = embedding_dedup.range_search(x[:200], x, lists, 3, np.arange(200), embedding_dedup.THRESHOLD)
+    assert found.sum() == 200 and 0 < sum(ranked) < 0.5 * found.size
+
+
+def test_vectors_are_not_shuffled_to_meet_their_lists(spark, monkeypatch):
+    """The lists go to the chunks by themselves: a join of both carried every stored vector through one shuffle more."""
+    joins, real = [], embedding_dedup.materialize
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    def noted(df, tag):
+        if tag == "found":
+            joins.extend(n.output().mkString(" ") for n in nodes(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join")
+        return real(df, tag)
+
+    monkeypatch.setattr(embedding_dedup, "materialize", noted)
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    embedding_dedup.near_duplicates(spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int")).collect()
+    assert any("near" in x for x in joins) and not any("near" in x and "unit" in x for x in joins)
+
+
 def test_robust_prune_keeps_the_nearest():
     x = np.random.default_rng(0).normal(size=(200, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
