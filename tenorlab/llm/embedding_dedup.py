@@ -6,8 +6,9 @@ so a dense group has one shard, not many. A linked query at most REACH away whos
 the difference of the two products by at most REACH * |p - p*|; vectors within that are stored in p's shard. In many dimensions
 few differences point that way, so SPREAD standard deviations of a random one are tried first; then a fixed number of vectors of each
 label is compared with the whole label, and a label below MIN_RECALL is dealt again by the full bound, which misses none.
+A label of at most OVERLAP * CHUNK vectors is one shard and one chunk: every vector asks where all are stored, so no routing can miss a link.
 
-A shard larger than CHUNK is cut into chunks of stored vectors. Every chunk builds a robust-pruned neighbour list
+A larger shard is cut into chunks of CHUNK stored vectors. Every chunk builds a robust-pruned neighbour list
 for its vectors; the lists of a vector from all its shards are united. A query then searches every chunk of its home shard:
 greedily from the chunk's medoid and from its own place in the graph, and from whatever it reaches the range is expanded over the
 united lists until no vector within the threshold is left to expand. Each chunk audits the recall of a fixed share of its
@@ -20,7 +21,7 @@ whatever the data's size; chunks bound a task's memory whatever a shard's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,8 @@ DEALT = 512
 #: Neighbours kept, candidates pruned from, the pruning slack, the beam, and how far below the threshold the range still expands.
 DEGREE, CANDIDATES, SLACK, BEAM, MARGIN = 16, 48, 1.2, 8, 0.02
 AUDITED, MIN_RECALL = 16, 0.98
-#: Queries searched together, and cosines computed at once.
-TOGETHER, VISITED = 256, 1 << 12
+#: Queries searched together, cosines computed at once, and candidates pruned at once.
+TOGETHER, VISITED, PRUNED = 256, 1 << 12, 24576
 
 
 def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarray]:
@@ -56,13 +57,43 @@ def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarr
         return [np.empty(0, np.int64)] * n
     far = 1 - cos
     np.fill_diagonal(far, np.inf)
+    near, own = _nearest(far, k)
+    flat = far.ravel()
+    return _kept(near, own, degree, lambda best, first: flat[best[:, None] * n + near])
+
+
+def pruned_lists(x: np.ndarray, degree: int, candidates: int) -> list[np.ndarray]:
+    """robust_prune of the vectors' cosines, a block of vectors at a time: memory grows with their number, not with its square."""
+    n = len(x)
+    k = min(candidates, n - 1)
+    if k < 1:
+        return [np.empty(0, np.int64)] * n
+    out = []
+    block = max(1, PRUNED // k)
+    for at in range(0, n, block):
+        far = 1 - x[at : at + block] @ x.T
+        rows = np.arange(len(far))
+        far[rows, at + rows] = np.inf
+        near, own = _nearest(far, k)
+        of = x[near]
+        apart = 1 - of @ of.transpose(0, 2, 1)
+        out += _kept(near, own, degree, lambda best, first, rows=rows, apart=apart: apart[rows, first])
+    return out
+
+
+def _nearest(far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of each row in order, and how far they are."""
     near = np.argpartition(far, k - 1, axis=1)[:, :k]
     own = np.take_along_axis(far, near, 1)
     order = np.argsort(own, axis=1, kind="stable")
-    near, own = np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
-    alive, rows = np.ones(near.shape, bool), np.arange(n)
-    kept = np.full((n, degree), -1)
-    limit, flat = own / SLACK, far.ravel()
+    return np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)
+
+
+def _kept(near: np.ndarray, own: np.ndarray, degree: int, apart: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Of each row's candidates those the pruning keeps; apart: how far all are from the row's best one, by its number and its column."""
+    alive, rows = np.ones(near.shape, bool), np.arange(len(near))
+    kept = np.full((len(near), degree), -1)
+    limit = own / SLACK
     for r in range(degree):
         first = alive.argmax(1)
         some = alive[rows, first]
@@ -72,7 +103,7 @@ def robust_prune(cos: np.ndarray, degree: int, candidates: int) -> list[np.ndarr
         kept[some, r] = best[some]
         alive[rows, first] = False
         if r + 1 < degree:
-            alive &= flat[best[:, None] * n + near] > limit
+            alive &= apart(best, first) > limit
     return [x[x >= 0] for x in kept]
 
 
@@ -185,7 +216,8 @@ def _pivots(reps: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, int]]:
     total = reps.count()
     share = max(SHARD, -(-total // MAX_PIVOTS))
     k = F.floor(F.col("n") / share)
-    wanted = sizes.select("label", "dim", k.alias("k"), (2 * k / F.col("n")).alias("part")).where(F.col("k") >= 2)  # at most MAX_PIVOTS / 2 rows
+    large = sizes.where(F.col("n") > OVERLAP * CHUNK)  # the others are one chunk
+    wanted = large.select("label", "dim", k.alias("k"), (2 * k / F.col("n")).alias("part")).where(F.col("k") >= 2)  # at most MAX_PIVOTS / 2 rows
     spread = F.pmod(F.xxhash64("g", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     # about twice the wanted rows pass a threshold on the hash, so that the ranking's input is bounded too
     few = reps.select("g", "label", "dim").join(F.broadcast(wanted), ["label", "dim"]).where(spread <= F.col("part"))
@@ -326,7 +358,7 @@ def _short(reps: DataFrame, known: Broadcast, counts: DataFrame) -> list[tuple[s
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     x, g = unpacked(frame["unit"]), frame["g"].to_numpy()
-    return pd.DataFrame({"g": g, "near": [g[i] for i in both_ways(robust_prune(x @ x.T, DEGREE, CANDIDATES))]})
+    return pd.DataFrame({"g": g, "near": [g[i] for i in both_ways(pruned_lists(x, DEGREE, CANDIDATES))]})
 
 
 def least_recall(found: np.ndarray, truth: np.ndarray) -> float:
@@ -368,7 +400,7 @@ def _search(frame: pd.DataFrame) -> pd.DataFrame:
         truth = queries[audit] @ x.T >= THRESHOLD
         truth[own[audit] >= 0, own[audit][own[audit] >= 0]] = False  # a vector that finds itself tells nothing
         if least_recall(found[audit], truth) < MIN_RECALL:
-            wide = wide or both_ways([np.union1d(a, b) for a, b in zip(lists, robust_prune(x @ x.T, 4 * DEGREE, 4 * CANDIDATES), strict=True)])
+            wide = wide or both_ways([np.union1d(a, b) for a, b in zip(lists, pruned_lists(x, 4 * DEGREE, 4 * CANDIDATES), strict=True)])
             found |= range_search(queries, x, wide, medoid, own, THRESHOLD)
             if least_recall(found[audit], truth) < MIN_RECALL:
                 found = queries @ x.T >= THRESHOLD
@@ -384,7 +416,8 @@ def _links(dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(g, links) of every vector and (a, b), enough links to join what links."""
     stored = materialize(dealt, "shards")
     place = ["label", "dim", "shard"]
-    sizes = stored.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    n = F.count(F.lit(1))
+    sizes = stored.groupBy(*place).agg(F.when(n <= OVERLAP * CHUNK, 1).otherwise(F.ceil(n / CHUNK)).cast("int").alias("chunks"))
     sized = stored.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("g"), F.col("chunks")).cast("int"))
     built = sized.select(*place, "chunk", "g", "unit").groupBy(*place, "chunk").applyInPandas(_build, "g long, near array<long>")
     lists = built.groupBy("g").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))

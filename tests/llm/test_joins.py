@@ -320,6 +320,50 @@ def test_vectors_are_not_shuffled_to_meet_their_lists(spark, monkeypatch):
     assert any("near" in x for x in joins) and not any("near" in x and "unit" in x for x in joins)
 
 
+def test_a_label_of_few_chunks_is_asked_once_and_loses_no_link(spark, monkeypatch):
+    """Dealt to shards, every vector was stored about OVERLAP times, asked in two chunks or more, and found fewer links."""
+    monkeypatch.setattr(embedding_dedup, "SHARD", 60)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 100)
+    rows, real = {}, embedding_dedup.materialize
+
+    def noted(df, tag):
+        out = real(df, tag)
+        rows[tag] = out.where("other is null").count() if tag == "found" else out.count()
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "materialize", noted)
+    data = vectors(labels=1)
+    m, component = brute_links(data)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
+    assert rows["vectors"] > 3 * 100 and rows["shards"] == rows["found"] == rows["vectors"]
+    assert {i: r.n_links for i, r in got.items()} == dict(enumerate(m.sum(1).tolist())) and m.sum() > 100
+    assert {i: r.component_id for i, r in got.items()} == component
+
+
+@pytest.mark.parametrize(("shard", "chunk"), [(60, 45), (60, 20), (30, 20)])
+def test_dealt_labels_against_brute_force(spark, monkeypatch, shard, chunk):
+    monkeypatch.setattr(embedding_dedup, "SHARD", shard)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+    dealt, real = [], embedding_dedup._pivots
+    monkeypatch.setattr(embedding_dedup, "_pivots", lambda reps: dealt.append(real(reps)) or dealt[-1])
+    data = vectors()
+    m, component = brute_links(data)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    assert dealt[0] and all(got[i].n_links <= m[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * m.sum() > 100
+    assert sum(got[i].component_id != component[i] for i in got) <= 2
+
+
+def test_lists_built_in_blocks_are_those_built_at_once(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PRUNED", 48 * 64)  # 64 vectors a block, the last one smaller
+    x = np.random.default_rng(2).normal(size=(500, 64))
+    x[100:140] = x[100] + np.random.default_rng(3).normal(size=(40, 64)) * 0.1
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for n in (500, 30, 1, 0):
+        at_once, blocks = embedding_dedup.robust_prune(x[:n] @ x[:n].T, 16, 48), embedding_dedup.pruned_lists(x[:n], 16, 48)
+        assert [v.tolist() for v in at_once] == [v.tolist() for v in blocks] and len(blocks) == n
+
+
 def test_robust_prune_keeps_the_nearest():
     x = np.random.default_rng(0).normal(size=(200, 16))
     x /= np.linalg.norm(x, axis=1)[:, None]
