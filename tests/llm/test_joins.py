@@ -391,6 +391,19 @@ def test_a_dense_group_over_many_pivots_keeps_its_links(spark, monkeypatch):
     assert all(got[i].component_id == component[i] for i in got)
 
 
+def test_a_dense_group_in_a_dealt_label_keeps_its_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 30)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 500)
+    dealt, real = [], embedding_dedup._pivots
+    monkeypatch.setattr(embedding_dedup, "_pivots", lambda reps: dealt.append(real(reps)) or dealt[-1])
+    data = dense(n=3000, group=1200, noise=0.13)
+    m, component = brute_links(data)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    assert dealt[0] and all(got[i].n_links <= m[i].sum() for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * m.sum() > 10_000
+    assert all(got[i].component_id == component[i] for i in got)
+
+
 def test_every_linked_query_asks_where_the_vector_is_stored():
     r = np.random.default_rng(5)
     x = r.normal(size=(3000, 8)) + 2 * r.normal(size=8)
